@@ -2,3 +2,4 @@
 
 from oracle.base import ORACLE
 import oracle.intervals  # noqa: E402,F401
+import oracle.sequences  # noqa: E402,F401

@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 from timedspark.plans import interval_queries  # noqa: F401
+from timedspark.plans import sequence_queries  # noqa: F401
