@@ -35,7 +35,7 @@ def iou(a: Column, b: Column) -> Column:
 def face_person_score(face: Column, person: Column) -> Column:
     """Share of the face inside the person, or 0 when the face cannot belong to it."""
     centre = face["y"] + face["h"] / 2
-    inside = intersection(face, person) / area(face)
+    inside = F.try_divide(intersection(face, person), area(face))
     possible = ((person["w"] > 0) & (person["h"] > 0) & (face["w"] > 0) & (face["h"] > 0)
                 & (centre >= person["y"]) & (centre <= person["y"] + person["h"] * 0.6)
                 & (face["w"] >= person["w"] * 0.05))

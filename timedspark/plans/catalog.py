@@ -2,3 +2,6 @@
 
 from timedspark.plans import interval_queries  # noqa: F401
 from timedspark.plans import sequence_queries  # noqa: F401
+from timedspark.plans import frame_queries  # noqa: F401
+from timedspark.plans import reply_queries  # noqa: F401
+from timedspark.plans import store_queries  # noqa: F401
