@@ -34,9 +34,9 @@ oracle("existing_jobs", """
 SELECT user_id, video_id, arg_max(job_id, {'c': created_at, 'j': job_id}) AS job_id FROM jb j
 WHERE state IN ('queued', 'running', 'completed', 'partial') GROUP BY ALL""")
 oracle("upsert_users", """
-WITH b AS (SELECT c_custkey AS user_id, c_name AS name, 0 AS at, 0 AS side FROM customer
+WITH b AS (SELECT c_custkey AS user_id, c_name AS name, 0 AS t, 0 AS side FROM customer
            UNION ALL SELECT user_id * 3, event_type, event_id, 1 FROM events)
-SELECT user_id, arg_max(name, {'a': at, 's': side}) AS name, max(at)::BIGINT AS "at" FROM b GROUP BY user_id""")
+SELECT user_id, arg_max(name, {'a': t, 's': side}) AS name, max(t)::BIGINT AS "at" FROM b GROUP BY user_id""")
 oracle("insert_ignore", """
 SELECT job_id, min(line * 1000000 + part)::BIGINT AS "at" FROM rl r WHERE line > 2 AND job_id NOT IN (SELECT job_id FROM rl WHERE line <= 2) GROUP BY job_id""")
 oracle("upload_status", """
@@ -68,7 +68,7 @@ SELECT job_id, created_at FROM jb j WHERE job_id % 2 = 0 AND state = 'queued'
  AND (job_id % 3 = 0 OR (job_id % 3 = 1 AND created_at + INTERVAL 200 DAY < TIMESTAMP '1999-01-01')) ORDER BY created_at, job_id LIMIT 20""")
 oracle("job_cards", """
 SELECT j.job_id, name, coalesce(n, 0) AS ready_count, t AS first_title FROM jb j JOIN usr u ON u.user_id = j.user_id
-LEFT JOIN (SELECT job_id, count(*) AS n, arg_min(title, path) AS t FROM rl GROUP BY ALL) r ON r.job_id = j.job_id""")
+LEFT JOIN (SELECT job_id, count(*) AS n, arg_min(title, {'p': path, 't': title}) AS t FROM rl GROUP BY ALL) r ON r.job_id = j.job_id""")
 oracle("visible_jobs", "SELECT u.user_id, job_id FROM usr u JOIN jb j ON j.user_id = u.user_id WHERE NOT admin")
 oracle("newest_artifact", """
 SELECT l_partkey AS key, arg_max(l_orderkey || '/' || l_linenumber, {'d': l_shipdate, 'p': l_orderkey || '/' || l_linenumber}) AS path FROM lineitem GROUP BY ALL""")

@@ -181,7 +181,7 @@ def ready_tasks(tasks: DataFrame, jobs: DataFrame, kind: str, now: Column, limit
 
 def job_cards(jobs: DataFrame, reels: DataFrame, users: DataFrame) -> DataFrame:
     """Jobs with owner and number of finished reels; the reels of a job are counted before the join."""
-    ready = reels.groupBy("job_id").agg(F.count("*").alias("ready_count"), F.min_by("title", "path").alias("first_title"))
+    ready = reels.groupBy("job_id").agg(F.count("*").alias("ready_count"), F.min_by("title", F.struct("path", "title")).alias("first_title"))
     return (jobs.join(users, "user_id").join(ready, "job_id", "left")
             .withColumn("ready_count", F.coalesce("ready_count", F.lit(0)).cast("bigint")))
 
