@@ -7,3 +7,4 @@ import oracle.frames  # noqa: E402,F401
 import oracle.replies  # noqa: E402,F401
 import oracle.store  # noqa: E402,F401
 import oracle.sources  # noqa: E402,F401
+import oracle.streams  # noqa: E402,F401

@@ -1,0 +1,120 @@
+"""Streams with custom state per key."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from timedspark.operators.selection import Admission
+
+TOKEN_RESULT = "token STRING, at_ms BIGINT, outcome STRING"
+CHUNK_RESULT = "job_id BIGINT, chunk_index BIGINT, sha256 STRING, outcome STRING"
+PICK_RESULT = "media_id BIGINT, section BIGINT, seq BIGINT, final_start BIGINT, final_end BIGINT, score BIGINT, in_order BOOLEAN"
+
+
+def _stateful(stream: DataFrame, keys: list[str], fn, result: str) -> DataFrame:
+    return stream.groupBy(*keys).applyInPandasWithState(
+        fn, outputStructType=result, stateStructType="state STRING", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+
+
+def consume_tokens(stream: DataFrame) -> DataFrame:
+    """One-time tokens: rows (token, kind issue|use, at_ms, ttl_ms); each use is accepted, used or expired.
+
+    Rows of one batch are taken in time order.
+    """
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"until": None, "used": False}
+        rows = pd.concat(list(batches)).sort_values(["at_ms", "kind"])
+        out = []
+        for row in rows.itertuples(index=False):
+            if row.kind == "issue":
+                held = {"until": int(row.at_ms + row.ttl_ms), "used": False}
+                continue
+            if held["until"] is None or row.at_ms >= held["until"]:
+                outcome = "expired"
+            else:
+                outcome = "used" if held["used"] else "accepted"
+                held["used"] = True
+            out.append((key[0], int(row.at_ms), outcome))
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(out, columns=["token", "at_ms", "outcome"])
+    return _stateful(stream, ["token"], step, TOKEN_RESULT)
+
+
+def chunk_intake(stream: DataFrame) -> DataFrame:
+    """Upload chunks in any order: (job_id, chunk_index, sha256, total).
+
+    The first copy of a chunk is stored, an equal one is a repeat, another one
+    a conflict; the chunk that completes the upload reports it once. State is
+    the digest per chunk, and an upload has at most a few dozen chunks.
+    """
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = json.loads(state.get[0]) if state.exists else {}
+        out = []
+        for row in pd.concat(list(batches)).sort_values("arrival").itertuples(index=False):
+            index = str(row.chunk_index)
+            if index in seen:
+                outcome = "repeat" if seen[index] == row.sha256 else "conflict"
+            else:
+                seen[index] = row.sha256
+                outcome = "complete" if len(seen) == row.total else "stored"
+            out.append((key[0], int(row.chunk_index), row.sha256, outcome))
+        state.update((json.dumps(seen),))
+        yield pd.DataFrame(out, columns=["job_id", "chunk_index", "sha256", "outcome"])
+    return _stateful(stream, ["job_id"], step, CHUNK_RESULT)
+
+
+def admit_incrementally(stream: DataFrame) -> DataFrame:
+    """Live form of `admit_by_section`: picks come out before later sections arrive.
+
+    Rows carry the candidate columns plus `arrival`; per recording and section
+    one row with `seq` -1 closes the section, `last` marks the final one.
+    Sections are worked in order; early ones wait in the state. When the last
+    section is done, deferred candidates fill what is left. Exact repeats of a
+    row change nothing.
+    """
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {
+            "next": 0, "spans": [], "waiting": {}, "closed": [], "deferred": [], "last": None, "done": False}
+        admission = Admission([tuple(s) for s in held["spans"]])
+        for row in pd.concat(list(batches)).itertuples(index=False):
+            section = int(row.section)
+            if held["done"] or section < held["next"]:
+                continue
+            if row.seq < 0:
+                if section not in held["closed"]:
+                    held["closed"].append(section)
+                if row.last:
+                    held["last"] = section
+                continue
+            item = [int(-row.score), int(row.seq), int(row.allowance), int(row.target), int(row.start_ms), int(row.end_ms),
+                    int(row.final_start), int(row.final_end)]
+            waiting = held["waiting"].setdefault(str(section), [])
+            if item not in waiting:
+                waiting.append(item)
+        out = []
+        pick = lambda section, item, live: out.append((key[0], section, item[1], item[6], item[7], -item[0], live))
+        while held["next"] in held["closed"]:
+            section = held["next"]
+            for item in sorted(held["waiting"].pop(str(section), [])):
+                outcome = admission.offer(section, item[2], item[3], *item[4:])
+                if outcome == "accepted":
+                    pick(section, item, True)
+                elif outcome == "deferred":
+                    held["deferred"].append([item[0], section, *item[1:]])
+            held["closed"].remove(section)
+            held["next"] += 1
+            if section == held["last"]:
+                for rank, sect, *rest in sorted(held["deferred"]):
+                    item = [rank, *rest]
+                    if len(admission.spans) < item[3] and admission.take(*item[4:]) == "accepted":
+                        pick(sect, item, False)
+                held.update(deferred=[], done=True)
+        held["spans"] = admission.spans
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(out, columns=["media_id", "section", "seq", "final_start", "final_end", "score", "in_order"])
+    return _stateful(stream, ["media_id"], step, PICK_RESULT)
