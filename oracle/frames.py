@@ -140,3 +140,13 @@ s AS (""" + fold("p", "media_id", "{'sp': speaker_id, 'd': dens, 'want': want}",
     """list_concat(a, [{'sp': x[1].sp, 'd': x[1].d, 'want': CASE WHEN list_contains(list_transform(a, lambda y: y.want), x[1].want)
          THEN coalesce(list_filter(x[1].d, lambda c: c <> x[1].want)[1], x[1].want) ELSE x[1].want END}])""") + """)
 SELECT media_id, r.sp AS speaker_id, r.want AS cluster FROM s""")
+
+oracle("layout_panels", """
+WITH b AS (SELECT media_id, frame, panel, max(area) AS area FROM placed GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY media_id, frame ORDER BY area DESC, panel) AS place FROM b),
+f AS (SELECT media_id, frame, frame // 60 AS layout, string_agg(panel::VARCHAR, ',' ORDER BY panel) AS panels FROM r WHERE place <= 2 GROUP BY ALL HAVING count(*) = 2)
+SELECT media_id, layout, min(frame) AS frame, arg_min(panels, frame) AS panels FROM f GROUP BY ALL""")
+oracle("shot_samples", """
+WITH s AS (SELECT media_id, start_frame, end_frame, least(4, greatest(0, (end_frame - start_frame - 1) // 4)) AS i FROM shotl),
+p AS (SELECT *, start_frame + i AS lo, end_frame - 1 - i AS hi FROM s)
+SELECT DISTINCT media_id, start_frame, lo + (hi - lo) * k // 2 AS frame FROM p, range(3) t(k)""")

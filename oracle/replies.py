@@ -169,3 +169,6 @@ oracle("danda_words", """
 WITH r AS (SELECT media_id, turn, seq, CASE WHEN turn % 5 = 0 AND pos = 1 THEN 'नमस्ते।' WHEN pos % 9 = 0 THEN text || '।' ELSE text END AS text,
                   bool_or(turn % 5 = 0 AND pos = 1) OVER (PARTITION BY media_id, turn) AS mixed FROM words)
 SELECT media_id, seq, CASE WHEN NOT mixed OR regexp_matches(text, '\\p{Latin}') THEN replace(text, '।', '.') ELSE text END AS fixed FROM r WHERE contains(text, '।')""")
+oracle("scored_prompts", "SELECT media_id || '-' || clip AS key, 'count ' || count(*) AS raw FROM ctx GROUP BY media_id, clip")
+oracle("latest_replies", """
+SELECT user_id AS key, max(event_id) AS attempt, arg_max(event_type, event_id) AS raw FROM events WHERE event_type NOT IN ('view', 'error') GROUP BY ALL""")

@@ -1,6 +1,6 @@
 """Run registered queries in Spark and DuckDB and compare columns, types and values.
 
-Usage: python tests/compare.py SF [NAME ...]
+Usage: python tests/tests_compare.py SF [NAME ...]
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def fenced(raw: Column) -> Column:
@@ -39,7 +40,7 @@ def lenient_array(raw: Column) -> Column:
     return F.when(whole.startswith("[") & F.try_parse_json(whole).isNotNull(), whole).when(inner != "", inner)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _leading_array(text: pd.Series) -> pd.Series:
     decoder = json.JSONDecoder()
 

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 TITLE_MAX_CHARS = 38
 TITLE_MIN_WORDS, TITLE_MAX_WORDS = 3, 7
@@ -129,7 +130,7 @@ def caption_with_tags(caption: Column, tags: Column, limit: int = 2_200) -> Colu
     return F.left(full, F.lit(limit))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def skeleton(text: pd.Series) -> pd.Series:
     """Lower case without combining marks and punctuation, one space between tokens."""
     def bare(value):
@@ -140,7 +141,7 @@ def skeleton(text: pd.Series) -> pd.Series:
     return text.map(bare)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio in [0, 1]."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])

@@ -179,8 +179,7 @@ def measure_within(queries: DataFrame, ident: list[str], regions: DataFrame | No
     axis = Axis(keys, ("at", "side"), 2 * width)
     swept = scan(edges.unionByName(stream, allowMissingColumns=True), axis,
                  **{"__" + w: total(F.coalesce(F.col(w), zero)) for w in weights}).filter("side = 0")
-    t = F.col("at") / 2
-    covered = (t * F.col("__opened")).cast("bigint") + F.col("__moment")
+    covered = F.expr("at div 2") * F.col("__opened") + F.col("__moment")
     return swept.groupBy(*keys, *ident).agg(
         *([F.sum(F.col("sign") * covered).alias("overlap_ms")] if regions is not None else []),
         *[F.sum(F.col("sign") * F.col("__" + n)).alias(n) for n in counted])

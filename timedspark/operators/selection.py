@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timedspark.operators.fold import streaming_fold
 from timedspark.operators.scan import Axis, islands, peak
+from timedspark.operators.stage import stage
 
 MEDIA = ("media_id",)
 
@@ -164,45 +165,43 @@ def admit_by_section(candidates: DataFrame, keys: tuple[str, ...] = MEDIA) -> Da
     return filled.drop("__allow", "__rank", "__state")
 
 
-def spaced_top(rows: DataFrame, count: int, distance: int, keys: tuple[str, ...] = MEDIA) -> DataFrame:
-    """Up to `count` rows by score whose starts are at least `distance` apart (2: the fullest chorus and one more)."""
-    def start():
-        used = []
+def _pick_rounds(rows: DataFrame, count: int, keys: tuple[str, ...], order: Column, blocked: Column) -> DataFrame:
+    """`count` rounds of: take the best row per key, remove the rows it blocks.
+
+    `blocked` sees the row and the pick, whose columns start with `p_`. Each
+    round is a map-side aggregate and a join with one row per key, so a long
+    key is never sorted or gathered.
+    """
+    left, picks = stage(rows), []
+    for number in range(1, count + 1):
+        best = left.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("p"))
+        best = stage(best.select("p.*"))
+        picks.append(best.withColumn("pick", F.lit(number)))
+        taken = best.select(*keys, *[F.col(c).alias("p_" + c) for c in rows.columns if c not in keys])
+        left = left.join(taken, list(keys)).filter(~blocked).select(*rows.columns)
+    result = picks[0]
+    for more in picks[1:]:
+        result = result.unionByName(more)
+    return result
 
-        def step(begin):
-            if len(used) >= count or any(abs(begin - u) < distance for u in used):
-                return None
-            used.append(begin)
-            return (len(used),)
-        return step
 
-    # Of the rows with one start only the best can be taken.
-    distinct = best_per_span(rows, *keys, "start_ms").withColumn("__rank", -F.col("score"))
-    return streaming_fold(distinct, list(keys), ["__rank", "seq"], ["start_ms"], start, "pick INT").drop("__rank")
+def spaced_top(rows: DataFrame, count: int, distance: int, keys: tuple[str, ...] = MEDIA) -> DataFrame:
+    """Up to `count` rows by score whose starts are at least `distance` apart (2: the fullest chorus and one more)."""
+    near = F.abs(F.col("start_ms") - F.col("p_start_ms")) < distance
+    return _pick_rounds(rows, count, keys, F.struct("score", -F.col("seq")), near)
 
 
 def peaks_with_suppression(frames: DataFrame, count: int, floor: float = 0.55,
                            keys: tuple[str, ...] = MEDIA) -> DataFrame:
     """Highest frames first; each blanks [blank_from, blank_to) and none below `floor` of the top counts.
 
-    Needs (frame, level, blank_from, blank_to). Frames below the floor are
-    removed before the shuffle to the fold.
+    Needs (frame, level, blank_from, blank_to).
     """
-    def start():
-        blanked = []
-
-        def step(frame, lo, hi):
-            if len(blanked) >= count or any(a <= frame < b for a, b in blanked):
-                return None
-            blanked.append((lo, hi))
-            return (len(blanked),)
-        return step
-
     tops = frames.groupBy(*keys).agg(F.max("level").alias("__top"))
-    high = (frames.join(tops, list(keys)).filter(F.col("level") >= floor * F.col("__top"))
-            .withColumn("__rank", -F.col("level")).drop("__top"))
-    return streaming_fold(high, list(keys), ["__rank", "frame"], ["frame", "blank_from", "blank_to"], start,
-                          "pick INT").drop("__rank")
+    high = frames.join(tops, list(keys)).filter(F.col("level") >= floor * F.col("__top")).select(*frames.columns)
+    blanked = (F.col("frame") == F.col("p_frame")) | (
+        (F.col("frame") >= F.col("p_blank_from")) & (F.col("frame") < F.col("p_blank_to")))
+    return _pick_rounds(high, count, keys, F.struct("level", -F.col("frame")), blanked)
 
 
 def best_section(scores: DataFrame, minimum: float = 5.0) -> DataFrame:

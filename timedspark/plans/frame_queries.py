@@ -208,3 +208,18 @@ def box_overlaps(spark, sf):
     face = G.box(F.col("x") + F.floor(F.col("w") / 3), F.col("y") + 5, F.floor(F.col("w") / 4), F.floor(F.col("h") / 8))
     return b.select(*KEYS, "person", F.round(G.iou(F.col("box"), F.col("other")), 6).alias("iou"),
                     G.face_visible(face, F.col("other")).alias("visible"))
+
+
+@query("layout_panels")
+def layout_panels(spark, sf):
+    best = R.prominent_panels(numbered_boxes(spark, sf), panels(spark, sf))
+    layouts = bind.media_frames(spark, sf).withColumn("layout", F.floor(F.col("frame") / 60).cast(BIG))
+    chosen = R.panels_per_layout(best, layouts)
+    return chosen.select("media_id", "layout", "frame", F.array_join(F.transform("panels", lambda p: p.cast("string")), ",").alias("panels"))
+
+
+@query("shot_samples")
+def shot_samples(spark, sf):
+    lengths = bind.signatures(spark, sf).groupBy("media_id").agg((F.max("frame") + 1).alias("frames"))
+    tiles = R.shots_from_cuts(stage(cuts(spark, sf)), lengths)
+    return R.inset_samples(tiles, 30.0, 3).select("media_id", "start_frame", "frame")

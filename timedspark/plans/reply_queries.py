@@ -344,3 +344,22 @@ def danda_words(spark, sf):
     per = rows.groupBy("media_id", "turn").agg((F.bool_and(T.latin_only(F.col("text"))) & F.bool_or(T.has_letters(F.col("text")))).alias("latin"))
     fixed = rows.join(per, ["media_id", "turn"]).select("media_id", "seq", "text", T.romanise_danda(F.col("text"), F.col("latin")).alias("fixed"))
     return fixed.filter(F.contains("text", F.lit("।"))).select("media_id", "seq", "fixed")
+
+
+@query("scored_prompts")
+def scored_prompts(spark, sf):
+    """A deterministic scorer over prompts; real scorers plug in the same way."""
+    context = C.context_words(bind.words(spark, sf).select("media_id", "seq", "start_ms", "end_ms", "text"),
+                              bind.clips(spark, sf).select("media_id", "clip", "clip_start", "clip_end"))
+    prompts = M.context_prompt(context, ["media_id", "clip"]).select(
+        F.concat_ws("-", F.col("media_id").cast("string"), F.col("clip").cast("string")).alias("key"), F.lit("count").alias("system_prompt"),
+        F.col("prompt").alias("user_prompt"))
+    return M.score_with(prompts, lambda system, user: f"{system} {len(user.splitlines())}")
+
+
+@query("latest_replies")
+def latest_replies(spark, sf):
+    """Event types as attempts per user: the last attempt with text and without an error."""
+    e = bind.table(spark, sf, "events")
+    tries = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("attempt"), F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type")).alias("raw"))
+    return M.latest_good(tries, ["key"], F.col("raw") != "error")

@@ -1,43 +1,42 @@
-"""Table schemas. Times are integer milliseconds."""
+"""Table schemas as DDL, usable in readers and `from_json`. Times are integer milliseconds."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 WORD = "STRUCT<start_ms: BIGINT, end_ms: BIGINT, text: STRING, confidence: DOUBLE>"
 
-MEDIA = StructType.fromDDL(
+MEDIA = (
     "media_id STRING, path STRING, duration_ms BIGINT, width INT, height INT, fps DOUBLE, "
     "has_audio BOOLEAN, codec STRING")
-WORDS = StructType.fromDDL(
+WORDS = (
     "media_id STRING, pass STRING, seq BIGINT, start_ms BIGINT, end_ms BIGINT, text STRING, confidence DOUBLE")
-SEGMENTS = StructType.fromDDL(
+SEGMENTS = (
     f"media_id STRING, seg INT, start_ms BIGINT, end_ms BIGINT, text STRING, words ARRAY<{WORD}>")
-TURNS = StructType.fromDDL("media_id STRING, start_ms BIGINT, end_ms BIGINT, speaker_id STRING")
-CLIPS = StructType.fromDDL(
+TURNS = "media_id STRING, start_ms BIGINT, end_ms BIGINT, speaker_id STRING"
+CLIPS = (
     "media_id STRING, seq BIGINT, start_ms BIGINT, end_ms BIGINT, title STRING, reason STRING, hook_score DOUBLE")
-DETECTIONS = StructType.fromDDL(
+DETECTIONS = (
     "media_id STRING, frame INT, det INT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, confidence DOUBLE, cls INT")
-TIMELINE = StructType.fromDDL("media_id STRING, start_ms BIGINT, end_ms BIGINT, label STRING, cluster INT")
-CHUNKS = StructType.fromDDL("media_id STRING, idx INT, start_ms BIGINT, end_ms BIGINT")
-CAPTIONS = StructType.fromDDL(
+TIMELINE = "media_id STRING, start_ms BIGINT, end_ms BIGINT, label STRING, cluster INT"
+CHUNKS = "media_id STRING, idx INT, start_ms BIGINT, end_ms BIGINT"
+CAPTIONS = (
     f"media_id STRING, line BIGINT, start_ms BIGINT, end_ms BIGINT, words ARRAY<{WORD}>")
-PANELS = StructType.fromDDL("media_id STRING, frame INT, left INT, right INT")
-SHOTS = StructType.fromDDL(
+PANELS = "media_id STRING, frame INT, left INT, right INT"
+SHOTS = (
     "media_id STRING, shot INT, start_frame INT, end_frame INT, mode STRING, confidence DOUBLE, "
     "reason STRING, review_error BOOLEAN")
-AUDIO_EVENTS = StructType.fromDDL(
+AUDIO_EVENTS = (
     "media_id STRING, start_ms BIGINT, end_ms BIGINT, text STRING, confidence DOUBLE")
-EXCLUDED = StructType.fromDDL("media_id STRING, start_ms BIGINT, end_ms BIGINT")
-REPLIES = StructType.fromDDL("task STRING, key STRING, attempt INT, raw STRING")
-USAGE = StructType.fromDDL(
+EXCLUDED = "media_id STRING, start_ms BIGINT, end_ms BIGINT"
+REPLIES = "task STRING, key STRING, attempt INT, raw STRING"
+USAGE = (
     "model STRING, seconds DOUBLE, cost_usd DECIMAL(18,8), usage MAP<STRING,STRING>, "
     "generation_id STRING, elapsed_seconds DOUBLE, received_at TIMESTAMP")
 
 # On-disk transcript in seconds, as written by a transcriber.
-TRANSCRIPT_JSON = StructType.fromDDL(
+TRANSCRIPT_JSON = (
     "language STRING, segments ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING, "
     "words: ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING, confidence: DOUBLE>>>>")
 
