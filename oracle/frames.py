@@ -150,3 +150,50 @@ oracle("shot_samples", """
 WITH s AS (SELECT media_id, start_frame, end_frame, least(4, greatest(0, (end_frame - start_frame - 1) // 4)) AS i FROM shotl),
 p AS (SELECT *, start_frame + i AS lo, end_frame - 1 - i AS hi FROM s)
 SELECT DISTINCT media_id, start_frame, lo + (hi - lo) * k // 2 AS frame FROM p, range(3) t(k)""")
+
+
+def iou(p: str, q: str) -> str:
+    return IOU.replace("{p}", p).replace("{q}", q)
+
+
+def let(name: str, value: str, body: str) -> str:
+    """`body` with `name` bound to `value`."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+NO_BOX = "NULL::STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, fx DOUBLE)"
+define("pools", """
+  SELECT media_id, frame, pool, pool[list_position(list_transform(pool, lambda b: b.w * b.h), list_max(list_transform(pool, lambda b: b.w * b.h)))] AS big FROM (
+    SELECT media_id, frame, {front} AS pool FROM tracked)
+""".replace("{front}", "CASE WHEN len(list_filter(bs, lambda b: b.fx IS NOT NULL)) > 0 THEN list_filter(bs, lambda b: b.fx IS NOT NULL) ELSE bs END"))
+NEAREST = ("x[1].pool[list_position(list_transform(x[1].pool, lambda b: " + iou("b", "a[-1].body") + "), "
+           "list_max(list_transform(x[1].pool, lambda b: " + iou("b", "a[-1].body") + ")))]")
+CENTRED = "{'x': CASE WHEN c.fx IS NULL THEN c.x ELSE c.fx - c.w / 2 END, 'y': c.y, 'w': c.w, 'h': c.h, 'fx': NULL::DOUBLE}"
+oracle("follow_primary", "WITH src AS (SELECT media_id, frame, pool, big FROM pools UNION ALL SELECT DISTINCT media_id, -1, [], " + NO_BOX + " FROM pools),\ns AS (" + fold(
+    "src", "media_id", "{'f': frame, 'pool': pool, 'big': big, 'body': " + NO_BOX + ", 'out': " + NO_BOX + "}", "frame",
+    "list_concat(a, [CASE WHEN x[1].f % 2 = 1 THEN {'f': x[1].f, 'pool': [], 'big': " + NO_BOX + ", 'body': a[-1].body, 'out': a[-1].body}"
+    " WHEN len(x[1].pool) = 0 THEN {'f': x[1].f, 'pool': [], 'big': " + NO_BOX + ", 'body': a[-1].body, 'out': " + NO_BOX + "}"
+    " ELSE " + let("c", "CASE WHEN a[-1].body IS NULL THEN x[1].big ELSE " + let(
+        "n", NEAREST, "CASE WHEN " + iou("n", "a[-1].body") + " >= 1e-4 THEN n ELSE x[1].big END") + " END",
+        "{'f': x[1].f, 'pool': [], 'big': " + NO_BOX + ", 'body': " + CENTRED + ", 'out': " + CENTRED + "}") + " END])") + """)
+SELECT media_id, r.f AS frame, round(r.out.x, 6) AS x, round(r.out.y, 6) AS y, round(r.out.w, 6) AS w, round(r.out.h, 6) AS h FROM s WHERE r.f >= 0""")
+
+define("crowds", """
+  SELECT media_id, frame // 100 AS shot, frame, bs AS pool,
+         bs[list_position(list_transform(bs, lambda b: b.w * b.h), list_max(list_transform(bs, lambda b: b.w * b.h)))] AS big FROM tracked""")
+SNAPPED = "greatest(0, least(1312, (round_even(greatest(0, least(1312, round_even(c.x + c.w / 2 - 304, 0))) / 8, 0) * 8)))::DOUBLE"
+STEP = let("c", "CASE WHEN len(x[1].pool) = 0 THEN " + NO_BOX + " WHEN a[-1].body IS NULL THEN x[1].big ELSE " + let(
+    "n", NEAREST, "CASE WHEN " + iou("n", "a[-1].body") + " >= 0.15 THEN n ELSE x[1].big END") + " END",
+    let("s", "CASE WHEN c IS NULL OR a[-1].body IS NULL THEN 0 ELSE " + iou("c", "a[-1].body") + " END",
+    let("keep", "c IS NULL OR (a[-1].target IS NOT NULL AND s >= 0.5)",
+    let("nt", "CASE WHEN keep THEN a[-1].target ELSE " + SNAPPED + " END",
+    let("miss", "CASE WHEN c IS NULL THEN a[-1].miss + 1 ELSE 0 END",
+    let("sh", "CASE WHEN NOT keep AND a[-1].shown IS NOT NULL AND s < 0.15 THEN nt ELSE a[-1].shown END",
+    let("adv", "CASE WHEN sh IS NULL THEN nt WHEN sh = nt THEN sh WHEN abs(round_even(sh + (nt - sh) / 16, 0) - nt) <= 1 THEN nt ELSE round_even(sh + (nt - sh) / 16, 0) END",
+    let("idle", "c IS NULL AND NOT (a[-1].shown IS NOT NULL AND miss <= 15)",
+        "{'f': x[1].f, 'pool': [], 'big': " + NO_BOX + ", 'body': CASE WHEN keep THEN a[-1].body ELSE c END, 'target': nt, 'miss': miss, "
+        "'shown': CASE WHEN idle THEN a[-1].shown ELSE adv END, 'out': CASE WHEN idle THEN 656 ELSE adv END}"))))))))
+oracle("locked_crops", "WITH src AS (SELECT * FROM crowds UNION ALL SELECT DISTINCT media_id, shot, -1, [], " + NO_BOX + " FROM crowds),\ns AS (" + fold(
+    "src", "media_id, shot", "{'f': frame, 'pool': pool, 'big': big, 'body': " + NO_BOX + ", 'target': NULL::DOUBLE, 'miss': 0, 'shown': NULL::DOUBLE, 'out': NULL::DOUBLE}",
+    "frame", "list_concat(a, [" + STEP + "])") + """)
+SELECT media_id, shot, r.f AS frame, r.out::INTEGER AS crop_x FROM s WHERE r.f >= 0""")
