@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timedspark.operators.scan import Axis, islands, latest, peak, scan, total, upcoming
+from timedspark.operators.scan import Axis, latest, peak, scan, total, upcoming
+from timedspark.operators.stage import stage
 
 MEDIA = ("media_id",)
 
@@ -61,28 +62,34 @@ def point_join(points: DataFrame, spans: DataFrame, width: int, at: str,
                         ).drop("__from", "__to", "__end")
 
 
+def _furthest_ends(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row per start. A map-side aggregate, which bounds a block by its number of distinct milliseconds."""
+    return df.groupBy(*keys, "start_ms").agg(F.max("end_ms").alias("end_ms"))
+
+
 def union_ranges(df: DataFrame, keys: tuple[str, ...] = MEDIA, width: int = 600_000) -> DataFrame:
     """Merge overlapping or touching ranges.
 
-    Equal starts collapse first in a map-side aggregate, which bounds a block
-    by its number of distinct milliseconds.
+    A merged range starts where a start lies beyond everything before it, and
+    ends at the furthest end seen before the next such start. Only these
+    starts take part in the second pass.
     """
-    starts = df.groupBy(*keys, "start_ms").agg(F.max("end_ms").alias("end_ms"))
+    starts = _furthest_ends(df, keys)
     axis = Axis(keys, ("start_ms",), width)
-    grouped = islands(starts, axis, {"__reach": peak(F.col("end_ms"))},
-                      F.col("start_ms") > F.col("__reach"))
-    return (grouped.groupBy(*keys, "island")
-            .agg(F.max("end_ms").alias("end_ms"))
-            .select(*keys, F.col("island").alias("start_ms"), "end_ms"))
+    seen = scan(starts, axis, __reach=peak(F.col("end_ms")))
+    heads = stage(seen.filter(F.col("__reach").isNull() | (F.col("start_ms") > F.col("__reach")))
+                  .select(*keys, "start_ms", "__reach"))
+    closed = scan(heads, axis, __end=upcoming(F.col("__reach")))
+    last = df.groupBy(*keys).agg(F.max("end_ms").alias("__last"))
+    return closed.join(last, list(keys)).select(*keys, "start_ms", F.coalesce("__end", "__last").alias("end_ms"))
 
 
 def gaps(covered: DataFrame, durations: DataFrame, keys: tuple[str, ...] = MEDIA,
          width: int = 600_000) -> DataFrame:
-    """Uncovered ranges of [0, duration_ms]; `covered` need not be merged."""
-    merged = union_ranges(covered, keys, width)
+    """Uncovered ranges of [0, duration_ms]; `covered` need not be merged. One pass."""
     ends = durations.select(*keys, F.col("duration_ms").alias("start_ms"), F.col("duration_ms").alias("end_ms"),
                             F.lit(1).alias("closing"))
-    rows = merged.withColumn("closing", F.lit(0)).unionByName(ends)
+    rows = _furthest_ends(covered, keys).withColumn("closing", F.lit(0)).unionByName(ends)
     axis = Axis(keys, ("start_ms", "closing"), width)
     seen = scan(rows, axis, cursor=peak(F.col("end_ms")))
     return (seen.select(*keys, F.greatest(F.coalesce("cursor", F.lit(0)), F.lit(0)).cast("bigint").alias("gap_start"),
