@@ -77,3 +77,13 @@ def oracle(name: str, body: str) -> None:
         ORACLE[name] = "WITH " + (prefix + ",\n" if prefix else "") + own[5:]
     else:
         ORACLE[name] = (f"WITH {prefix}\n" if prefix else "") + own
+
+
+def rounded(x: str, digits: int) -> str:
+    """SQL for the nearest number with `digits` decimals by the exact binary value; true halves go to even."""
+    scale = 2 * 10 ** digits
+    return (f"list_transform([({x})::DOUBLE], lambda v: list_transform([v * 134217729.0::DOUBLE - (v * 134217729.0::DOUBLE - v)], lambda h: "
+            f"(floor(v * {scale} / 2) + CASE WHEN NOT (v * {scale} = floor(v * {scale}) AND (v * {scale}) % 2 = 1) "
+            f"THEN floor(v * {scale} / 2 + 0.5) - floor(v * {scale} / 2) "
+            f"WHEN (h * {scale} - v * {scale}) + (v - h) * {scale} < 0 THEN 0 WHEN (h * {scale} - v * {scale}) + (v - h) * {scale} > 0 THEN 1 "
+            f"ELSE floor(v * {scale} / 2) % 2 END) / {10 ** digits})[1])[1]")

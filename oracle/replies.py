@@ -1,6 +1,6 @@
 """Statements for ``timedspark.plans.reply_queries``: the expected outcome of every reply variant."""
 
-from oracle.base import define, oracle
+from oracle.base import define, oracle, rounded
 from oracle.sequences import fold
 
 oracle("discovery", """
@@ -67,14 +67,14 @@ def scorecard(name: str, dims: tuple[str, ...], tail: str) -> None:
     total = " + ".join(dims)
     oracle(name, f"""
 WITH l AS (SELECT doc_id, quality, doc_id % 7 AS v, {levels} FROM (SELECT *, doc_id % 7 AS v FROM labels)),
-o AS (SELECT *, ({total}) / {len(dims)} AS mean, CASE WHEN v = 3 THEN 4.5::DOUBLE ELSE round_even(({total}) / {len(dims)}, 1) END AS ov FROM l)
+o AS (SELECT *, ({total}) / {len(dims)} AS mean, CASE WHEN v = 3 THEN 4.5::DOUBLE ELSE {rounded(f"({total}) / {len(dims)}", 1)} END AS ov FROM l)
 SELECT doc_id, {", ".join(f"CASE WHEN v <> 5 THEN {d}::INTEGER END AS {d}" for d in dims)}, CASE WHEN v <> 5 THEN ov END AS overall,
   CASE WHEN doc_id % 11 = 0 THEN 'skip' WHEN v = 5 THEN 'review' WHEN v = 4 THEN 'publish' WHEN ov >= 4 THEN 'publish' WHEN ov >= 3 THEN 'review' ELSE 'skip' END AS verdict,
   CASE WHEN doc_id % 11 = 0 THEN 'empty transcript' WHEN v = 5 THEN 'parse error' ELSE 'fine' END AS feedback{tail} FROM o""")
 
 
 scorecard("scorecard", ("hook", "arc", "ending", "standalone", "shareability", "title_match"),
-          ", CASE WHEN v <> 5 THEN round_even((0.5::DOUBLE + quality * 0.25::DOUBLE) * 0.3::DOUBLE + mean / 5 * 0.7::DOUBLE, 2) END AS final_score")
+          ", CASE WHEN v <> 5 THEN " + rounded("(0.5::DOUBLE + quality * 0.25::DOUBLE) * 0.3::DOUBLE + mean / 5 * 0.7::DOUBLE", 2) + " END AS final_score")
 scorecard("trailer_scorecard", ("opener_hook", "thematic_coherence", "pacing", "closer_punch", "standalone_quality"), "")
 
 oracle("tech_metrics", """
@@ -111,7 +111,7 @@ oracle("scorecard_prompts", """
 WITH w AS (SELECT c.media_id, clip, clip_end - clip_start AS len, seq, greatest(start_ms - clip_start, 0) AS s, text
            FROM clips c JOIN words w ON w.media_id = c.media_id AND start_ms < clip_end AND end_ms > clip_start),
 a AS (SELECT media_id, clip, len, count(*) AS n, string_agg(text, ' ' ORDER BY seq) AS t, coalesce(string_agg(text, ' ' ORDER BY seq) FILTER (s < 2000), '') AS o FROM w GROUP BY ALL)
-SELECT media_id, clip, 'Clip ' || clip AS title, n AS word_count, round_even(len / 1000, 1) AS duration_seconds, o AS opening,
+SELECT media_id, clip, 'Clip ' || clip AS title, n AS word_count, """ + rounded("len / 1000", 1) + """ AS duration_seconds, o AS opening,
        CASE WHEN contains(t, '.') THEN trim(split_part(t, '.', 1)) || '.' ELSE t[1:80] END AS first_sentence,
        CASE WHEN len(string_split(t, '.')) >= 3 THEN trim(string_split(t, '.')[-2]) || '.' ELSE right(t, 80) END AS last_sentence FROM a""")
 oracle("timestamped_lines", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timedspark.functions import extract as E
 from timedspark.functions import text as T
+from timedspark.functions.numeric import round_exact
 from timedspark.operators import replies as M
 from timedspark.operators import scoring as A
 
@@ -97,6 +98,14 @@ def test_verdicts_and_ranges(table):
     assert [round(r.t, 4) for r in got] == [round(v * 0.15 + 0.075, 4) for _, v in rates]
 
 
+def test_rounding_follows_the_exact_binary_value(table):
+    import random
+    rng = random.Random(4)
+    values = [0.575, 2.675, 1.005, 0.285, 0.125, 0.375, 2.5, -0.575, 0.0, 4.35] + [rng.randrange(10_000) / 2_000 for _ in range(300)]
+    got = table([(v,) for v in values], "v DOUBLE").select("v", round_exact(F.col("v"), 2).alias("r"), round_exact(F.col("v"), 1).alias("s")).collect()
+    assert [(r.r, r.s) for r in got] == [(round(r.v, 2), round(r.v, 1)) for r in got]
+
+
 def test_text_rules(table):
     df = table([("  Big  idea!? ",), ("A/B: test_case — Ünïted",), ("***",)], "t STRING")
     assert [r[0] for r in df.select(T.normalise_title(F.col("t"))).collect()][0] == "Big idea"

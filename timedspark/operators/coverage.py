@@ -45,14 +45,16 @@ def coverage_findings(words: DataFrame, speech: DataFrame, reference: DataFrame,
     covered = (short.join(durations, "media_id")
                .select("media_id", F.greatest(F.col("start_ms") - rules.pad_ms, F.lit(0)).alias("start_ms"),
                        F.least(F.col("end_ms") + rules.pad_ms, F.col("duration_ms")).alias("end_ms")))
-    holes = gaps(covered, durations).select("media_id", kind("gap"), F.col("start_ms").alias("qid"), "start_ms", "end_ms")
+    # Speech is disjoint, so only gaps of this length can hold enough of it.
+    holes = gaps(covered, durations).filter(length >= rules.min_speech_ms).select(
+        "media_id", kind("gap"), F.col("start_ms").alias("qid"), "start_ms", "end_ms")
     step = rules.window_ms // 2
     windows = (durations.filter("duration_ms > 0")
                .withColumn("start_ms", F.explode(F.sequence(
                    F.lit(0).cast("bigint"), F.col("duration_ms") - 1, F.lit(step).cast("bigint"))))
                .select("media_id", kind("sparse"), F.col("start_ms").alias("qid"), "start_ms",
                        F.least(F.col("start_ms") + rules.window_ms, F.col("duration_ms")).alias("end_ms")))
-    queries = long_words.unionByName(holes).unionByName(windows)
+    queries = stage(long_words.unionByName(holes).unionByName(windows))
     measured = measure_within(queries, ["kind", "qid", "start_ms", "end_ms"], speech,
                               {"n_words": short, "n_reference": reference})
 

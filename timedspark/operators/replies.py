@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from timedspark.functions import text as T
 from timedspark.functions.extract import flat_object, leading_array, lenient_array, outer_object
+from timedspark.functions.numeric import round_exact
 from timedspark.schema import finite, to_ms
 
 RAW_CLIP = "ARRAY<STRUCT<start: STRING, end: STRING, title: STRING, reason: STRING, hook_score: STRING>>"
@@ -234,7 +235,7 @@ def scorecard_prompt(words: DataFrame, keys: list[str], title: str, length: str)
     facts = words.groupBy(*keys, title, length).agg(
         F.count("*").alias("word_count"), texts(F.lit(True)).alias("transcript"),
         texts((F.col("start_ms") >= 0) & (F.col("start_ms") < 2_000)).alias("opening_2_seconds"))
-    payload = F.struct(F.col(title).alias("title"), "transcript", F.bround(F.col(length) / 1_000, 1).alias("duration_seconds"),
+    payload = F.struct(F.col(title).alias("title"), "transcript", round_exact(F.col(length) / 1_000, 1).alias("duration_seconds"),
                        "word_count", "opening_2_seconds", T.first_sentence(F.col("transcript")).alias("first_sentence"),
                        T.last_sentence(F.col("transcript")).alias("last_sentence"))
     return facts.select(*keys, F.to_json(payload).alias("prompt"))

@@ -111,7 +111,7 @@ def scan(df: DataFrame, axis: Axis, **specs: Running) -> DataFrame:
         ).alias("__far_" + n) for n, s in specs.items()])
     near = blocked.select("*", *[
         row_fold[s.kind](s.value).over(frame(s)).alias("__near_" + n) for n, s in specs.items()])
-    joined = near.join(carry, local_keys)
+    joined = near.join(carry, local_keys, "left")  # left: a row without a key or position is kept
     return joined.select(
         *[c for c in df.columns if c not in specs],
         *[combine[s.kind](F.col("__near_" + n), F.col("__far_" + n)).alias(n)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timedspark.functions.extract import outer_object
+from timedspark.functions.numeric import round_exact
 
 DIMENSIONS = ("hook", "arc", "ending", "standalone", "shareability", "title_match")
 TRAILER_AXES = ("opener_hook", "thematic_coherence", "pacing", "closer_punch", "standalone_quality")
@@ -45,7 +46,7 @@ def verdict_of(overall: Column) -> Column:
 
 def final_score(tech: Column, content_mean: Column) -> Column:
     """30 percent technical, 70 percent content; halves round to even."""
-    return F.bround(tech * 0.3 + content_mean / 5 * 0.7, 2)
+    return round_exact(tech * 0.3 + content_mean / 5 * 0.7, 2)
 
 
 def parse_scorecard(replies: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
@@ -68,7 +69,7 @@ def parse_scorecard(replies: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS
         rows = rows.withColumn(name, F.when(readable, score(name)))
     total = sum((F.col(d) for d in dimensions[1:]), F.col(dimensions[0]))
     said = F.coalesce(get("$.overall", "double"), F.lit(0.0))
-    overall = F.when(said != 0, said).otherwise(F.bround(total / len(dimensions), 1))
+    overall = F.when(said != 0, said).otherwise(round_exact(total / len(dimensions), 1))
     claimed = F.coalesce(get("$.verdict", "string"), F.lit("review"))
     rows = rows.withColumn("overall", F.when(readable, overall))
     empty = F.coalesce(F.trim("transcript"), F.lit("")) == ""
