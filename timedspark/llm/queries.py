@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedspark.llm import decontaminate, mixing, sharding
+from timedspark.llm import decontaminate, exact_dedup, html_text, licences, mixing, sharding, token_counts, warc
 from timedspark.llm.common import table
 
 #: Target weights of the sources; the others have `OTHER_WEIGHT`.
 WEIGHTS = {"src0": 1.0, "src1": 2.0, "src2": 2.0, "src3": 2.0, "src4": 0.5, "src5": 0.5}
 OTHER_WEIGHT = 1.0
+#: Rank file of the tokenizer; another path may be set in the session's `timedspark.tokenizer`.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op1_sampled_splitters(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,15 +29,46 @@ def op2_poisson_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "source", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "rate", "copies", "copy", "mix_key")
 
 
+def op3_quotient_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.mark_copies(table(spark, sf, "documents"))
+
+
+def op4_licence_automaton(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf, "documents"))
+
+
+def op5_tag_path_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf, "pages"))
+
+
 def op6_positional_index(spark: SparkSession, sf: str) -> DataFrame:
     out = decontaminate.find_phrases(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_chunked_records(spark: SparkSession, sf: str) -> DataFrame:
+    archives = warc.archive_folder(spark)
+    pages = table(spark, sf, "pages")
+    warc.write_archives(pages, archives)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return warc.read_records(spark, archives).select(F.expr(f"try_cast(record AS {kind})").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
+                                                     F.expr(f"try_cast(refers_to AS {kind})").alias("refers_to"))
+
+
+def op10_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = token_counts.read_vocabulary(spark.conf.get("timedspark.tokenizer", VOCABULARY))
+    return token_counts.length_histogram(token_counts.with_token_counts(table(spark, sf, "documents"), vocabulary))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sampled_splitters": op1_sampled_splitters,
     "op2_poisson_mixing": op2_poisson_mixing,
+    "op3_quotient_filters": op3_quotient_filters,
+    "op4_licence_automaton": op4_licence_automaton,
+    "op5_tag_path_ratios": op5_tag_path_ratios,
     "op6_positional_index": op6_positional_index,
+    "op9_chunked_records": op9_chunked_records,
+    "op10_length_histogram": op10_length_histogram,
 }
 
 ORACLE: dict[str, str] = {}
