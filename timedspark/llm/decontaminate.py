@@ -99,8 +99,8 @@ def find_phrases(docs: DataFrame, items: DataFrame, length: int = 10, text: str
     names = docs.columns
     key, words, found = fresh(docs, "_key"), fresh(docs, "_words"), fresh(docs, "_found")
     keyed = docs.withColumn(key, F.xxhash64(doc_id, text))
-    windows, _, _, index = (parts := _indexed(keyed, items, length, key, text, item_id, item_text))
-    places = intersect(index, parts[1], parts[2], key)
+    windows, anchors, n_anchors, index = _indexed(keyed, items, length, key, text, item_id, item_text)
+    places = intersect(index, anchors, n_anchors, key)
     n_windows = windows.count()
     phrase = F.array_join("words", " ")
     places = cut(places.join(_small(windows, n_windows), "window")
@@ -117,3 +117,10 @@ def find_phrases(docs: DataFrame, items: DataFrame, length: int = 10, text: str
     marked = checked.select(*names, "n_words", F.coalesce(F.size(hit), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(ids, none).alias("items"), F.col(found).isNotNull().alias(found))
     return marked.select(*names, "n_words", F.when(F.col(found), F.col("n_hit")).otherwise(F.lit(0)).cast("long").alias("n_hit"), "items",
                          F.size("items").cast("long").alias("n_items"), (F.size("items") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The documents in which no window of the benchmark occurs, with the columns they came with."""
+    added = ("n_words", "n_hit", "items", "n_items", "contaminated")
+    found = find_phrases(docs, items, **options).where("NOT contaminated")
+    return found.toDF(*docs.columns, *[f"_added_{c}" for c in added]).select(*docs.columns)

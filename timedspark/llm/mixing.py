@@ -82,3 +82,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], other: float = 1.0,
     placed = copies.select(*names, "rate", "copies", "copy", uniform(seed + 1, F.col(doc_id), F.col(digest), F.col("copy")).alias("mix_key"))
     return placed.repartition("mix_key").sortWithinPartitions("mix_key")
 
+
+
+def mixed_documents(docs: DataFrame, weights: dict[str, float], other: float = 1.0, **options) -> DataFrame:
+    """The copies in their global order, with the columns the documents came with."""
+    mixed = mix_sources(docs, weights, other, **options)
+    return mixed.toDF(*docs.columns, "_rate", "_copies", "_copy", "_mix_key").select(*docs.columns)

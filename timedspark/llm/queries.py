@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedspark.llm import decontaminate, exact_dedup, html_text, licences, mixing, sharding, token_counts, warc
+from timedspark.llm import decontaminate, exact_dedup, html_text, licences, mixing, near_dedup, sharding, token_counts, toxicity, warc
 from timedspark.llm.common import table
 
 #: Target weights of the sources; the others have `OTHER_WEIGHT`.
@@ -46,6 +46,15 @@ def op6_positional_index(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_subsequence_kernel(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, table(spark, sf, "labels")).drop("text")
+
+
+def op8_dart_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.mark_near_copies(table(spark, sf, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op9_chunked_records(spark: SparkSession, sf: str) -> DataFrame:
     archives = warc.archive_folder(spark)
     pages = table(spark, sf, "pages")
@@ -67,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licence_automaton": op4_licence_automaton,
     "op5_tag_path_ratios": op5_tag_path_ratios,
     "op6_positional_index": op6_positional_index,
+    "op7_subsequence_kernel": op7_subsequence_kernel,
+    "op8_dart_minhash": op8_dart_minhash,
     "op9_chunked_records": op9_chunked_records,
     "op10_length_histogram": op10_length_histogram,
 }
