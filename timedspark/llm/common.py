@@ -50,6 +50,12 @@ def aside(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def as_before(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The leading columns of `df`, which are those of `docs` in order, under their own names."""
+    places = [f"_{k}" for k in range(len(df.columns))]
+    return df.toDF(*places).select(*places[:len(docs.columns)]).toDF(*docs.columns)
+
+
 def ascii_lower(word: Column) -> Column:
     """Lower-case A-Z only; words without capitals skip the slow translation."""
     return F.when(F.lower(word) == word, word).otherwise(F.translate(word, UPPER, UPPER.lower()))

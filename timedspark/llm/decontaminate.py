@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timedspark.llm.common import ascii_lower, aside, cut, fresh, raw_words
+from timedspark.llm.common import as_before, ascii_lower, aside, cut, fresh, raw_words
 
 #: Rows up to which a side built from the benchmark, or the candidates, are broadcast (under 40 MB); above it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -121,6 +121,4 @@ def find_phrases(docs: DataFrame, items: DataFrame, length: int = 10, text: str
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with the columns they came with."""
-    added = ("n_words", "n_hit", "items", "n_items", "contaminated")
-    found = find_phrases(docs, items, **options).where("NOT contaminated")
-    return found.toDF(*docs.columns, *[f"_added_{c}" for c in added]).select(*docs.columns)
+    return as_before(find_phrases(docs, items, **options).where("NOT contaminated"), docs)

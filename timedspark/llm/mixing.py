@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timedspark.llm.common import aside, fresh
+from timedspark.llm.common import as_before, aside, fresh
 
 #: A larger mean is met by the sum of several draws, so that exp(-mean) stays a normal number.
 MEAN_PER_DRAW = 64.0
@@ -86,5 +86,4 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], other: float = 1.0,
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float], other: float = 1.0, **options) -> DataFrame:
     """The copies in their global order, with the columns the documents came with."""
-    mixed = mix_sources(docs, weights, other, **options)
-    return mixed.toDF(*docs.columns, "_rate", "_copies", "_copy", "_mix_key").select(*docs.columns)
+    return as_before(mix_sources(docs, weights, other, **options), docs)

@@ -65,7 +65,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = whole[at:at + CHUNK]
                 raw = data.encode()
                 running.update(raw)
-                rows.append({"record": str(record), "chunk": chunk, "last": at + CHUNK >= len(whole), "kind": kind, "refers_to": None if refers is None else str(refers),
+                rows.append({"record": "null" if record is None else str(record), "chunk": chunk, "last": at + CHUNK >= len(whole), "kind": kind, "refers_to": None if refers is None else str(refers),
                              "uri": uri, "digest": digest, "payload_bytes": n_bytes, "data": data, "data_bytes": len(raw), "so_far": _base32(running)})
                 held += len(raw)
                 if held > 4 << 20:
