@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from timedspark.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 from timedspark.llm.common import table
 from timedspark.llm.queries import OTHER_WEIGHT, WEIGHTS
+from timedspark.operators.stage import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -53,10 +54,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents of `sf_dir`. Tables between stages lie in the session's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timedspark.operators.stage import shared_folder
+
 #: The characters between words once A-Z is lower-cased, and the same before.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -20,16 +22,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from that copy.
 
-    The folder is the session's `spark.checkpoint.dir`. Spark deletes the copy
-    with its DataFrame when `spark.cleaner.referenceTracking.cleanCheckpoints`
-    is on.
+    The folder is the session's `spark.checkpoint.dir`; only a local session without one gets a folder of its own.
+    Spark deletes the copy with its DataFrame when `spark.cleaner.referenceTracking.cleanCheckpoints` is on.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timedspark.operators.stage import shared_folder
+
 #: Code points of a payload in one chunk; longer payloads become several segment records.
 CHUNK = 1 << 18
 #: Repeated payloads up to which their table is broadcast (about 60 bytes each).
@@ -184,7 +186,4 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder for archives under the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared.rstrip('/')}/archives-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
