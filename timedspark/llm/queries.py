@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedspark.llm import decontaminate, exact_dedup, html_text, licences, mixing, near_dedup, sharding, token_counts, toxicity, warc
+from timedspark.llm import decontaminate, exact_dedup, html_text, licences, mixing, near_dedup, oracle, sharding, token_counts, toxicity, warc
 from timedspark.llm.common import table
 
 #: Target weights of the sources; the others have `OTHER_WEIGHT`.
@@ -26,7 +26,7 @@ def op1_sampled_splitters(spark: SparkSession, sf: str) -> DataFrame:
 
 def op2_poisson_mixing(spark: SparkSession, sf: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf, "documents"), WEIGHTS, OTHER_WEIGHT)
-    return out.select("doc_id", "source", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "rate", "copies", "copy", "mix_key")
+    return out.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "rate", "copies", "copy", "mix_key")
 
 
 def op3_quotient_filters(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,4 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_length_histogram": op10_length_histogram,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_poisson_mixing": oracle.poisson_mixing(WEIGHTS, OTHER_WEIGHT),
+    "op3_quotient_filters": oracle.QUOTIENT_FILTERS,
+    "op6_positional_index": oracle.POSITIONAL_INDEX,
+    "op9_chunked_records": oracle.CHUNKED_RECORDS,
+}
