@@ -8,7 +8,7 @@ ORACLE: dict[str, str] = {}
 
 CTES: dict[str, str] = {
     "words": """
-      SELECT media_id, turn, pos, turn * 1000000 + pos AS seq, role,
+      SELECT media_id, turn, pos, turn * 4294967296 + pos AS seq, role,
              (end_raw - len_ms)::BIGINT AS start_ms, end_raw::BIGINT AS end_ms, text
       FROM (SELECT *, sum(gap_ms + len_ms) OVER (PARTITION BY media_id ORDER BY turn, pos) AS end_raw
             FROM (SELECT *, 80 * length(text) + 60 AS len_ms,

@@ -82,7 +82,7 @@ WITH fr AS (SELECT f.media_id, f.frame, n > 0 AS person, EXISTS (SELECT 1 FROM f
             FROM fcount f LEFT JOIN lbox l ON l.media_id = f.media_id AND l.frame = f.frame),
 m AS (SELECT media_id, sum(face::INT)::BIGINT / count(*) AS fv, sum(person::INT)::BIGINT / count(*) AS sc,
              CASE WHEN count(xc) >= 2 THEN greatest(0, 1 - stddev_pop(xc) / 288.0::DOUBLE) ELSE 1 END AS st FROM fr GROUP BY ALL),
-c AS (SELECT media_id, least(duration_ms, 20000 + media_id * 700) AS len FROM durs),
+c AS (SELECT media_id, duration_ms AS len FROM durs),
 w AS (SELECT c.media_id, len, count(seq) AS n, coalesce(sum(greatest(0, end_ms - start_ms)), 0)::BIGINT AS ms
       FROM c LEFT JOIN words x ON x.media_id = c.media_id AND end_ms <= len GROUP BY ALL),
 a AS (SELECT m.*, len, n / greatest(0.1, len / 1000) AS wps, least(1, ms / 1000 / greatest(0.1, len / 1000)) AS cov FROM w JOIN m USING (media_id))
@@ -131,12 +131,12 @@ WITH p AS (SELECT l_orderkey AS media_id, l_linenumber - 1 AS pass, sum(l_quanti
 a AS (SELECT * FROM p WHERE pass = 0),
 b AS (SELECT media_id, max(n) AS bn, arg_max(pass, {'n': n, 'p': -pass}) AS bp FROM p WHERE pass > 0 GROUP BY ALL)
 SELECT media_id, CASE WHEN s THEN bp ELSE 0 END::INTEGER AS pass, CASE WHEN s THEN bn ELSE n END AS n_words FROM (
-  SELECT a.*, bn, bp, coalesce(sec >= 3 AND n / nullif(sec, 0) < 1.5 AND media_id % 13 <> 0 AND bn > n, false) AS s FROM a LEFT JOIN b USING (media_id))""")
+  SELECT media_id, n, bn, bp, n IS NULL OR coalesce(sec >= 3 AND n / nullif(sec, 0) < 1.5 AND media_id % 13 <> 0 AND bn > n, false) AS s FROM a FULL JOIN b USING (media_id))""")
 oracle("usage_report", """
 WITH r AS (SELECT o_orderpriority AS model, year(o_orderdate)::INTEGER AS year, round(o_totalprice * 100)::BIGINT AS cost, o_custkey AS sec, o_orderkey % 9973 AS el FROM orders)
-SELECT model, year, count(*) AS requests, sum(cost)::BIGINT AS cost_usd, sum(sec)::BIGINT AS seconds,
+SELECT model, year, GROUPING_ID(model, year)::INTEGER AS level, count(*) AS requests, sum(cost)::BIGINT AS cost_usd, sum(sec)::BIGINT AS seconds,
        round(sum(cost)::BIGINT / sum(sec)::BIGINT * 3600, 4) AS cost_per_hour, min(el) AS fastest, max(el) AS slowest
-FROM r GROUP BY GROUPING SETS ((model, year), (model))""")
+FROM r GROUP BY GROUPING SETS ((model, year), (model), ())""")
 oracle("judge_agreement", """
 SELECT dimension, round(c, 6) AS correlation, c > 0.7 AS agrees FROM (
   SELECT 'quality' AS dimension, corr(quality + doc_id % 3, quality * 2) AS c FROM labels
@@ -150,8 +150,9 @@ o AS (SELECT *, coalesce(s IS NOT NULL AND e IS NOT NULL AND s >= 0 AND e >= s A
 p AS (SELECT *, last_value(CASE WHEN ok THEN s END IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM o)
 SELECT media_id, seq, CASE WHEN NOT ok THEN 'invalid' ELSE 'unordered' END AS problem FROM p WHERE NOT ok OR s < prev""")
 oracle("titles", """
-WITH l AS (SELECT doc_id, text, rtrim(trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g'))[1:36], ' .,!?;:') AS title FROM documents)
-SELECT doc_id, title, CASE WHEN title = '' THEN 0 ELSE len(string_split(title, ' ')) END BETWEEN 3 AND 7 AND length(title) <= 38 AS fits,
+WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INTEGER AS line FROM documents),
+l AS (SELECT *, rtrim(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' .,!?;:') AS title FROM d)
+SELECT doc_id, line, title, CASE WHEN title = '' THEN 0 ELSE len(string_split(title, ' ')) END BETWEEN 3 AND 7 AND length(title) <= 38 AS fits,
        CASE WHEN title = '' THEN 0 ELSE len(string_split(title, ' ')) END::BIGINT AS n_words,
        CASE WHEN contains(text, '.') THEN trim(split_part(text, '.', 1)) || '.' ELSE text[1:80] END AS first_sentence,
        CASE WHEN len(string_split(text, '.')) >= 3 THEN trim(string_split(text, '.')[-2]) || '.' ELSE right(text, 80) END AS last_sentence FROM l""")
@@ -161,10 +162,13 @@ SELECT p_partkey, CASE WHEN s = '' THEN 'clip' ELSE s END AS slug FROM (
 oracle("video_links", """
 SELECT page_id, CASE WHEN page_id % 8 IN (0, 1, 2, 5) THEN lpad((page_id * 7919)::VARCHAR, 11, 'a') END AS video FROM pages""")
 oracle("hashtags", """
-WITH t AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, ' ')[1:30], lambda w: '#' || regexp_replace(w, '[^A-Za-z0-9_]', '', 'g')), lambda w: length(w) > 1) AS ts FROM documents),
-d AS (SELECT doc_id, text, list_filter(ts, lambda w, i: NOT list_contains(list_transform(ts[1:i-1], lambda v: lower(v)), lower(w)))[1:15] AS ts FROM t)
-SELECT doc_id, array_to_string(ts, ' ') AS tags,
-       least(2200, length(trim(text)) + CASE WHEN len(ts) > 0 THEN 2 + length(array_to_string(ts, ' ')) ELSE 0 END)::BIGINT AS caption_chars FROM d""")
+WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+c AS (SELECT doc_id, '#' || regexp_replace(w, '[^A-Za-z0-9_]', '', 'g') AS tag, i FROM t),
+f AS (SELECT doc_id, arg_min(tag, i) AS tag, min(i) AS i FROM c WHERE length(tag) > 1 GROUP BY doc_id, lower(tag)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f),
+j AS (SELECT doc_id, string_agg(tag, ' ' ORDER BY i) AS tags FROM r WHERE k <= 15 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(tags, '') AS tags,
+       least(2200, length(trim(text)) + CASE WHEN tags IS NULL THEN 0 ELSE 2 + length(tags) END)::BIGINT AS caption_chars FROM documents d LEFT JOIN j USING (doc_id)""")
 oracle("danda_words", """
 WITH r AS (SELECT media_id, turn, seq, CASE WHEN turn % 5 = 0 AND pos = 1 THEN 'नमस्ते।' WHEN pos % 9 = 0 THEN text || '।' ELSE text END AS text,
                   bool_or(turn % 5 = 0 AND pos = 1) OVER (PARTITION BY media_id, turn) AS mixed FROM words)

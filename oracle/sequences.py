@@ -85,7 +85,7 @@ o AS (SELECT *, coalesce(sum(len + 600) OVER (PARTITION BY media_id ORDER BY tur
 SELECT w.media_id, o.turn AS pick, seq, start_ms - s + off AS start_ms, least(end_ms - s, len) + off AS end_ms
 FROM words w JOIN o ON o.media_id = w.media_id AND o.turn = w.turn WHERE start_ms - s BETWEEN 0 AND len""")
 oracle("split_spans", """
-WITH w AS (SELECT media_id, turn, pos, text, greatest(length(text), 1) AS n FROM words WHERE pos < 7),
+WITH w AS (SELECT media_id, turn, pos, text, greatest(length(text), 1) AS n FROM words),
 c AS (SELECT *, sum(n) OVER (PARTITION BY media_id, turn ORDER BY pos) AS upto, sum(n) OVER (PARTITION BY media_id, turn) AS total FROM w)
 SELECT media_id, turn, text, turn * 100000 + round(7001 * (upto - n) / total)::BIGINT AS start_ms,
        turn * 100000 + round(7001 * upto / total)::BIGINT AS end_ms FROM c""")
@@ -122,7 +122,7 @@ SELECT media_id, r.seq AS seq, r.s AS start_ms, r.e AS end_ms FROM s""")
 
 define("buys", "SELECT media_id, seq, start_ms, end_ms, score FROM ev WHERE kind = 'purchase'")
 oracle("score_order", """
-SELECT * FROM (SELECT media_id, seq, score, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, seq)::INTEGER AS place FROM buys b) WHERE place <= 100""")
+SELECT * FROM (SELECT media_id, seq, score, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, seq)::INTEGER AS place FROM buys b)""")
 GREEDY = fold("buys", "media_id", "{'seq': seq, 's': start_ms, 'e': end_ms, 'score': score}", "score DESC, seq",
               "CASE WHEN len(a) >= 5 OR len(list_filter(a, lambda y: y.s < x[1].e AND y.e > x[1].s)) > 0 THEN a ELSE list_concat(a, x) END")
 oracle("greedy_clips", "WITH s AS (" + GREEDY + """)

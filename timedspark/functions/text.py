@@ -119,9 +119,9 @@ def clean_tags(tags: Column, limit: int = 15) -> Column:
 
     def add(kept: Column, tag: Column) -> Column:
         known = F.exists(kept, lambda k: F.lower(k) == F.lower(tag))
-        return F.when(known, kept).otherwise(F.concat(kept, F.array(tag)))
+        return F.when(known | (F.size(kept) >= limit), kept).otherwise(F.concat(kept, F.array(tag)))
 
-    return F.slice(F.aggregate(cleaned, F.filter(cleaned, lambda t: F.lit(False)), add), 1, limit)
+    return F.aggregate(cleaned, F.filter(cleaned, lambda t: F.lit(False)), add)
 
 
 def caption_with_tags(caption: Column, tags: Column, limit: int = 2_200) -> Column:

@@ -92,7 +92,7 @@ def coverage_scores(findings: DataFrame) -> DataFrame:
 
 def valid_words(words: DataFrame, durations: DataFrame) -> DataFrame:
     """media_id, valid: all words non-blank, ordered and inside the audio (20 ms and 100 ms slack)."""
-    seen = scan(words, Axis(("media_id",), ("seq",), 1_000_000), __prev=latest(F.col("end_ms")))
+    seen = scan(words, Axis(("media_id",), ("seq",), 8_192), __prev=latest(F.col("end_ms")))
     good = ((F.trim("text") != "") & (F.col("start_ms") >= F.coalesce("__prev", F.lit(0)) - 20)
             & (F.col("start_ms") >= 0) & (F.col("end_ms") >= F.col("start_ms"))
             & (F.col("end_ms") <= F.col("duration_ms") + 100))

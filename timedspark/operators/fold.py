@@ -33,10 +33,10 @@ def streaming_fold(df: DataFrame, keys: list[str], order: list[str], inputs: lis
         out_schema = to_arrow_schema(schema)
         current, step = None, None
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            read = {i: batch.column(i).to_pylist() for i in {*key_at, *input_at}}
             kept, results = [], []
-            key_rows = zip(*[columns[i] for i in key_at])
-            input_rows = zip(*[columns[i] for i in input_at])
+            key_rows = zip(*[read[i] for i in key_at])
+            input_rows = zip(*[read[i] for i in input_at])
             for at, (key, values) in enumerate(zip(key_rows, input_rows)):
                 if key != current:
                     current, step = key, start()

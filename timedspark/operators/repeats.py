@@ -62,7 +62,7 @@ def locate_phrase(words: DataFrame, phrases: DataFrame, length: int, minimum: fl
     `phrases`: (media_id, phrase), already in skeleton form.
     """
     plain = words.withColumn("__w", skeleton("text"))
-    numbered = stage(scan(plain, Axis(("media_id",), ("seq",), 1_000_000), __i=total(F.lit(1).cast("bigint"))))
+    numbered = stage(scan(plain, Axis(("media_id",), ("seq",), 8_192), __i=total(F.lit(1).cast("bigint"))))
     run = F.collect_list(F.struct("__i", "__w"))
     spans = rolling(numbered, Axis(("media_id",), ("__i",), 4_096), 0, length - 1, __run=run)
     text = F.array_join(F.transform(F.array_sort("__run"), lambda r: r["__w"]), " ")

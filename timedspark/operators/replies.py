@@ -129,7 +129,7 @@ def refine(replies: DataFrame, context: DataFrame, keys: list[str], min_ms: int
 def correction_chunks(words: DataFrame, size: int = 60) -> DataFrame:
     """Number the words of each recording in chunks of `size` (columns chunk, i)."""
     from timedspark.operators.scan import Axis, scan, total
-    numbered = scan(words, Axis(("media_id",), ("seq",), 1_000_000), __n=total(F.lit(1).cast("bigint")))
+    numbered = scan(words, Axis(("media_id",), ("seq",), 8_192), __n=total(F.lit(1).cast("bigint")))
     return (numbered.withColumn("chunk", F.floor(F.col("__n") / size).cast("bigint"))
             .withColumn("i", (F.col("__n") % size).cast("int")).drop("__n"))
 

@@ -35,8 +35,13 @@ class Axis:
         return replace(self, keys=self.keys + extra)
 
 
-# Words number as turn * 1_000_000 + position, so one block is one turn.
-WORDS = Axis(("media_id",), ("seq",), 1_000_000)
+def word_number(turn: Column, position: Column) -> Column:
+    """Order number of a word: its turn above its 32-bit position, so no turn can run into the next."""
+    return F.shiftleft(turn.cast("bigint"), 32) + position
+
+
+# Blocks of words end with their turn; a long turn is several blocks.
+WORDS = Axis(("media_id",), ("seq",), 8_192)
 FRAMES = Axis(("media_id",), ("frame",), 4_096)
 TIMES = Axis(("media_id",), ("start_ms",), 600_000)
 

@@ -86,7 +86,8 @@ def densest_pass(passes: DataFrame, min_rate: float = 1.5, min_ms: int = 3_000)
 
     `passes`: (media_id, pass, n_words, duration_ms, forced). Pass 0 is the
     automatic one; when it is sparse, not forced and long enough, the fullest
-    other pass wins if it has more words, the earliest on a tie.
+    other pass wins if it has more words, the earliest on a tie. A recording
+    without an automatic pass keeps its fullest pass.
     """
     rate = F.try_divide(F.col("n_words"), F.col("duration_ms") / 1_000)
     auto = F.col("pass") == 0
@@ -95,7 +96,7 @@ def densest_pass(passes: DataFrame, min_rate: float = 1.5, min_ms: int = 3_000)
         F.max(F.when(auto, F.col("n_words"))).alias("n_auto"),
         F.bool_or(auto & (rate < min_rate) & (F.col("duration_ms") >= min_ms) & ~F.col("forced")).alias("retry"),
         best.alias("b"))
-    swap = F.col("retry") & (F.col("b.n_words") > F.col("n_auto"))
+    swap = F.col("n_auto").isNull() | (F.col("retry") & (F.col("b.n_words") > F.col("n_auto")))
     return seen.select("media_id", F.when(swap, -F.col("b.p")).otherwise(F.lit(0)).cast("int").alias("pass"),
                        F.when(swap, F.col("b.n_words")).otherwise(F.col("n_auto")).alias("n_words"))
 
@@ -117,12 +118,13 @@ def main_language(chunks: DataFrame) -> DataFrame:
 
 
 def usage_report(receipts: DataFrame) -> DataFrame:
-    """Cost and latency by model, and by model and day."""
+    """Cost and latency by model and day (level 0), by model (1) and over all receipts (3); a null model is a model of its own."""
     cost, seconds = F.sum("cost_usd"), F.sum("seconds")
     return receipts.rollup("model", "day").agg(
+        F.grouping_id().cast("int").alias("level"),
         F.count("*").alias("requests"), cost.alias("cost_usd"), seconds.alias("seconds"),
         (F.try_divide(cost, seconds) * 3_600).alias("cost_per_hour"),
-        F.min("elapsed_seconds").alias("fastest"), F.max("elapsed_seconds").alias("slowest")).filter("model IS NOT NULL")
+        F.min("elapsed_seconds").alias("fastest"), F.max("elapsed_seconds").alias("slowest"))
 
 
 def judge_agreement(scores: DataFrame, dimensions: tuple[str, ...], target: float = 0.7) -> DataFrame:
@@ -138,7 +140,7 @@ def timing_problems(words: DataFrame, duration: Column, slack_ms: int = 250) ->
     from timedspark.operators.scan import Axis, latest, scan
     valid = (F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull() & (F.col("start_ms") >= 0)
              & (F.col("end_ms") >= F.col("start_ms")) & (F.col("end_ms") <= duration + slack_ms))
-    seen = scan(words.withColumn("__ok", F.coalesce(valid, F.lit(False))), Axis(("media_id",), ("seq",), 1_000_000),
+    seen = scan(words.withColumn("__ok", F.coalesce(valid, F.lit(False))), Axis(("media_id",), ("seq",), 8_192),
                 __prev=latest(F.when(F.col("__ok"), F.col("start_ms"))))
     problem = F.when(~F.col("__ok"), "invalid").when(F.col("start_ms") < F.col("__prev"), "unordered")
     return seen.withColumn("problem", problem).filter("problem IS NOT NULL").select("media_id", "seq", "problem")

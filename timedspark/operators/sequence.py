@@ -191,6 +191,15 @@ def split_span(tokens: Column, start: Column, end: Column) -> Column:
         F.trim(t).alias("text"), at(i).alias("start_ms"), at(i + 1).alias("end_ms")))
 
 
+def split_spans(tokens: DataFrame, keys: tuple[str, ...], order: str, width: int = 8_192) -> DataFrame:
+    """The rule of `split_span` over rows (keys, order, text, from_ms, to_ms), for spans of any number of tokens."""
+    weight = F.greatest(F.char_length(F.trim("text")), F.lit(1)).cast("bigint")
+    summed = scan(tokens, Axis(keys, (order,), width), __upto=total(weight, inclusive=True))
+    wholes = tokens.groupBy(*keys).agg(F.sum(weight).alias("__whole"))
+    at = lambda n: F.col("from_ms") + F.round((F.col("to_ms") - F.col("from_ms")) * n / F.col("__whole")).cast("bigint")
+    return summed.join(wholes, list(keys)).select(*keys, order, F.trim("text").alias("text"), at(F.col("__upto") - weight).alias("start_ms"), at(F.col("__upto")).alias("end_ms"))
+
+
 def exact_percentile(df: DataFrame, keys: tuple[str, ...], value: str, p: float, scale: int, width: int = 4_096) -> DataFrame:
     """Linear-interpolated percentile by rank; equal values are counted first, so no key is held in memory."""
     counted = (df.groupBy(*keys, value).agg(F.count("*").alias("n"))

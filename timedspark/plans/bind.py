@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedspark.operators.scan import WORDS, scan, total
+from timedspark.operators.scan import WORDS, scan, total, word_number
 from timedspark.operators.stage import stage
 
 TURN_GAP = 900
@@ -46,7 +46,7 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 def _timed_words(spark: SparkSession, sf: str) -> DataFrame:
     w = (turns_tokens(spark, sf)
          .select("media_id", "turn", "role", F.posexplode("tokens").alias("pos", "text"))
-         .withColumn("seq", F.col("turn") * 1_000_000 + F.col("pos"))
+         .withColumn("seq", word_number(F.col("turn"), F.col("pos")))
          .withColumn("len_ms", (F.char_length("text") * 80 + 60).cast("bigint"))
          .withColumn("gap_ms", F.when(F.col("pos") == 0, F.lit(TURN_GAP))
                      .otherwise(40 + 170 * (F.col("pos") % 7)).cast("bigint")))

@@ -243,7 +243,7 @@ def even_samples(spark, sf):
     """At most 40 evenly spread words per recording: indices floor(i * n / 40)."""
     w = _words(spark, sf)
     counts = w.groupBy("media_id").agg(F.count("*").alias("n"))
-    numbered = scan(w, Axis(("media_id",), ("seq",), 1_000_000), rank=total(F.lit(1).cast("bigint"))).join(counts, "media_id")
+    numbered = scan(w, Axis(("media_id",), ("seq",), 8_192), rank=total(F.lit(1).cast("bigint"))).join(counts, "media_id")
     # Row r is taken iff some i in 0..39 has floor(i * n / 40) = r.
     i = F.ceil(F.col("rank") * 40 / F.col("n"))
     taken = (F.col("n") <= 40) | ((i < 40) & (F.floor(i * F.col("n") / 40) == F.col("rank")))

@@ -169,13 +169,13 @@ def trailer_scorecard(spark, sf):
 
 @query("tech_metrics")
 def tech_metrics(spark, sf):
-    """Frames of supplier n and the first minute of conversation n stand for one clip."""
+    """Frames of supplier n and the words of conversation n stand for one clip."""
     best = largest_box(bind.detections(spark, sf)).select("media_id", "frame", (F.col("x") + F.col("w") / 2).alias("x_center"))
     faces = face_boxes(spark, sf).select("media_id", "frame").distinct().withColumn("face", F.lit(True))
     frames = (frame_counts(spark, sf).join(best, ["media_id", "frame"], "left").join(faces, ["media_id", "frame"], "left")
               .withColumn("face", F.coalesce("face", F.lit(False))).withColumn("person", F.col("n") > 0))
     m = A.frame_metrics(frames, ("media_id",), 1_920)
-    clips = bind.durations(spark, sf).select("media_id", F.least(F.col("duration_ms"), 20_000 + F.col("media_id") * 700).alias("length_ms"))
+    clips = bind.durations(spark, sf).select("media_id", F.col("duration_ms").alias("length_ms"))
     words = bind.words(spark, sf).join(clips, "media_id").filter("end_ms <= length_ms").select("media_id", "start_ms", "end_ms")
     both = A.word_metrics(words, clips, ["media_id"]).join(m, "media_id")
     score = A.tech_score(F.col("face_visibility"), F.col("crop_stability"), F.col("speaker_coverage"), F.col("length_ms") / 1_000,
@@ -266,8 +266,7 @@ def densest_pass(spark, sf):
     passes = (li.groupBy(F.col("l_orderkey").alias("media_id"), (F.col("l_linenumber") - 1).alias("pass"))
               .agg(F.sum(F.col("l_quantity").cast(BIG)).alias("n_words"))
               .withColumn("duration_ms", (F.col("media_id") % 40 * 1_000).cast(BIG)).withColumn("forced", F.col("media_id") % 13 == 0))
-    whole = passes.filter("pass = 0").select("media_id")
-    return A.densest_pass(passes.join(whole, "media_id", "left_semi"))
+    return A.densest_pass(passes)
 
 
 @query("usage_report")
@@ -298,11 +297,10 @@ def timing_problems(spark, sf):
 
 @query("titles")
 def titles(spark, sf):
-    """Title, slug, sentence and script rules on the first line of every document."""
-    d = bind.table(spark, sf, "documents").select("doc_id", "text")
-    line = T.collapse_spaces(F.split_part("text", F.lit("\n"), F.lit(1)))
-    title = T.normalise_title(F.left(line, F.lit(36)))
-    return d.select("doc_id", title.alias("title"), T.title_fits(title).alias("fits"), T.word_count(title).cast(BIG).alias("n_words"),
+    """Title and sentence rules on every line of every document."""
+    d = bind.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    title = T.normalise_title(F.col("text"))
+    return d.select("doc_id", "line", title.alias("title"), T.title_fits(title).alias("fits"), T.word_count(title).cast(BIG).alias("n_words"),
                     T.first_sentence(F.col("text")).alias("first_sentence"), T.last_sentence(F.col("text")).alias("last_sentence"))
 
 
@@ -329,8 +327,7 @@ def video_links(spark, sf):
 @query("hashtags")
 def hashtags(spark, sf):
     d = bind.table(spark, sf, "documents")
-    tags = F.slice(F.split("text", " "), 1, 30)
-    cleaned = T.clean_tags(tags)
+    cleaned = T.clean_tags(F.split("text", " "))
     return d.select("doc_id", F.array_join(cleaned, " ").alias("tags"),
                     F.char_length(T.caption_with_tags(F.col("text"), cleaned)).cast(BIG).alias("caption_chars"))
 

@@ -125,13 +125,11 @@ def concat_offsets(spark, sf):
 
 @query("split_spans")
 def split_spans(spark, sf):
-    """Each turn's span shared by its first tokens in proportion to their length."""
-    tokens = bind.turns_tokens(spark, sf).filter(F.size("tokens") > 0).select(
-        "media_id", "turn", F.col("tokens").alias("t"))
-    start = F.col("turn") * 100_000
-    parts = tokens.withColumn("p", F.explode(S.split_span(
-        F.slice("t", 1, 7), start.cast(BIG), (start + 7_001).cast(BIG))))
-    return parts.select("media_id", "turn", "p.text", "p.start_ms", "p.end_ms")
+    """Each turn's span shared by its tokens in proportion to their length."""
+    tokens = bind.turns_tokens(spark, sf).select("media_id", "turn", F.posexplode("tokens").alias("pos", "text"))
+    start = (F.col("turn") * 100_000).cast(BIG)
+    parts = S.split_spans(tokens.withColumn("from_ms", start).withColumn("to_ms", start + 7_001), ("media_id", "turn"), "pos")
+    return parts.select("media_id", "turn", "text", "start_ms", "end_ms")
 
 
 def frame_energy(spark, sf):
@@ -187,7 +185,7 @@ def purchases(spark, sf):
 def score_order(spark, sf):
     from pyspark.sql import Window
     best = Window.partitionBy("media_id").orderBy(F.col("score").desc(), "seq")
-    return purchases(spark, sf).select("media_id", "seq", "score", F.row_number().over(best).alias("place")).filter("place <= 100")
+    return purchases(spark, sf).select("media_id", "seq", "score", F.row_number().over(best).alias("place"))
 
 
 @query("greedy_clips")

@@ -22,7 +22,7 @@ def users(spark, sf):
     c = bind.table(spark, sf, "customer")
     members = c.filter("c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("group"))
-    groups = c.select("c_mktsegment").distinct().unionByName(c.limit(1).select(F.lit("free").alias("c_mktsegment"))).select(
+    groups = c.select("c_mktsegment").distinct().unionByName(spark.createDataFrame([("free",)], "c_mktsegment string")).select(
         F.col("c_mktsegment").alias("group"),
         F.when(F.col("c_mktsegment") == "BUILDING", None).when(F.col("c_mktsegment") == "free", 1).otherwise(2).cast("int").alias("monthly_videos"),
         F.when(F.col("c_mktsegment") == "MACHINERY", None).when(F.col("c_mktsegment") == "free", 30).otherwise(400).cast("int").alias("retention_days"),

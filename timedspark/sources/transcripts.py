@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timedspark.functions.text import segment_line
-from timedspark.operators.scan import Axis, scan, upcoming
+from timedspark.operators.scan import Axis, scan, upcoming, word_number
 from timedspark.schema import TRANSCRIPT_JSON, finite, to_ms
 
 
@@ -32,7 +32,7 @@ def transcript_segments(documents: DataFrame) -> DataFrame:
 def segment_words(segments: DataFrame) -> DataFrame:
     """Word rows of segments; confidence 1 when missing. `seq` orders words of one recording."""
     return (segments.select("media_id", "seg", F.posexplode("words").alias("pos", "w"))
-            .select("media_id", (F.col("seg").cast("bigint") * 1_000_000 + F.col("pos")).alias("seq"),
+            .select("media_id", word_number(F.col("seg"), F.col("pos")).alias("seq"),
                     to_ms(F.col("w.start")).alias("start_ms"), to_ms(F.col("w.end")).alias("end_ms"),
                     F.col("w.text").alias("text"), F.coalesce("w.confidence", F.lit(1.0)).alias("confidence")))
 

@@ -32,9 +32,10 @@ class Feed:
 
     def __init__(self, df: DataFrame, name: str, by: str, parts: int = 3):
         self.rows = stage(df)
-        self.by, self.parts, self.schema = by, parts, df.schema
+        self.by, self.schema = by, df.schema
         cuts = self.rows.approxQuantile(by, [i / parts for i in range(1, parts)], 0.01)
         self.edges = [None, *cuts, None]
+        self.parts = len(self.edges) - 1
         self.path = new_folder(df.sparkSession, name)
         self.pushed = 0
         self.push()
@@ -42,7 +43,9 @@ class Feed:
     def push(self) -> None:
         low, high = self.edges[self.pushed], self.edges[self.pushed + 1]
         part = self.rows if low is None else self.rows.filter(F.col(self.by) > low)
-        part = part if high is None else part.filter(F.col(self.by) <= high)
+        # Rows without a place come with the first range.
+        unplaced = F.col(self.by).isNull() if low is None else F.lit(False)
+        part = part if high is None else part.filter((F.col(self.by) <= high) | unplaced)
         part.write.mode("append").parquet(self.path)
         self.pushed += 1
 
