@@ -16,16 +16,16 @@ SELECT n_regionkey AS library, n_nationkey::VARCHAR AS song_id, 's' || i AS sect
        (n_nationkey * 1000 + i * 1500 + 20000)::BIGINT AS end_ms, CASE WHEN n_nationkey % 2 = 0 THEN 'ooh' ELSE 'la' END AS vocals
 FROM nation, range(2) t(i) WHERE n_nationkey % 7 <> 0 AND n_nationkey % 3 <> i""")
 oracle("selection_verdicts", """
-SELECT media_id AS path, media_id % 5 <> 4 AND NOT bool_or(media_id % 5 IN (1, 2) AND clip = 0) AND NOT bool_or(media_id % 5 = 3 AND score > 100) AS accepted
+SELECT media_id AS path, media_id % 5 <> 4 AND media_id % 20 NOT IN (5, 10, 15) AND NOT bool_or(media_id % 5 IN (1, 2) AND clip = 0) AND NOT bool_or(media_id % 5 = 3 AND score > 100) AS accepted
 FROM clips c GROUP BY media_id""")
 oracle("saved_clips", """
-WITH g AS (SELECT media_id FROM clips GROUP BY media_id HAVING media_id % 5 <> 4 AND NOT bool_or(media_id % 5 IN (1, 2) AND clip = 0) AND NOT bool_or(media_id % 5 = 3 AND score > 100))
-SELECT media_id AS path, clip_start AS start_ms, clip_end AS end_ms, 'T' || clip AS title, round(score / CASE WHEN media_id % 5 = 3 THEN 100 ELSE 1000 END, 3) AS hook_score
+WITH g AS (SELECT media_id FROM clips GROUP BY media_id HAVING media_id % 5 <> 4 AND media_id % 20 NOT IN (5, 10, 15) AND NOT bool_or(media_id % 5 IN (1, 2) AND clip = 0) AND NOT bool_or(media_id % 5 = 3 AND score > 100))
+SELECT media_id AS path, clip_start AS start_ms, clip_end AS end_ms, 'T' || clip AS title, CASE WHEN media_id % 20 = 0 THEN 0 ELSE round(score / CASE WHEN media_id % 5 = 3 THEN 100 ELSE 1000 END, 3) END::DOUBLE AS hook_score
 FROM clips c JOIN g USING (media_id)""")
 oracle("probed_media", """
 WITH p AS (SELECT page_id AS path, page_id AS k, page_id % 11 <> 3 AS v FROM pages),
 f AS (SELECT *, CASE WHEN v AND k % 3 = 0 THEN k * 1000 + 250 WHEN k % 4 <> 1 THEN 12500 END AS d, v AND k % 2 = 0 AS a,
-             CASE WHEN NOT v OR k % 7 = 2 THEN 0 ELSE 30000 / 1001 END AS r FROM p)
+             CASE WHEN NOT v OR k % 7 IN (2, 6) THEN 0 WHEN k % 7 = 4 THEN 25 WHEN k % 7 = 5 THEN 29.97::DOUBLE ELSE 30000 / 1001 END AS r FROM p)
 SELECT path, d::BIGINT AS duration_ms, round(r, 4)::DOUBLE AS fps, a AS has_audio,
        CASE WHEN NOT v THEN 'no video stream' WHEN d IS NULL THEN 'no duration' WHEN k % 5 = 1 THEN 'bad size' WHEN r = 0 THEN 'bad frame rate' END AS problem FROM f""")
 RESPONSES = """

@@ -100,6 +100,10 @@ def valid_words(words: DataFrame, durations: DataFrame) -> DataFrame:
             .agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("valid")))
 
 
+#: A retry's words may lie this far outside its audio window.
+RETRY_SLACK_MS = 100
+
+
 def accept_repair(replacement_words: Column, spoken_ms: Column, in_window: Column, valid: Column,
                   old_score: Column, new_score: Column) -> Column:
     """A retry is taken if it is plausible and lowers the score by more than 0.01."""

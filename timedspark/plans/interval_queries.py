@@ -283,11 +283,13 @@ def accept_repair(spark, sf):
                                             (F.col("end_ms") + 4_000).alias("hi")), ["media_id", "win"])
     facts = heard.groupBy("media_id").agg(
         F.count("*").alias("n_new"),
-        F.bool_and((F.col("start_ms") >= F.col("lo") - 4_100) & (F.col("end_ms") <= F.col("hi") + 4_100)).alias("in_window"))
+        F.bool_and((F.col("start_ms") >= F.col("lo") - V.RETRY_SLACK_MS) & (F.col("end_ms") <= F.col("hi") + V.RETRY_SLACK_MS)).alias("in_window"))
     padded = windows.select("media_id", "win", F.greatest(F.col("start_ms") - 4_000, F.lit(0)).alias("start_ms"),
                             (F.col("end_ms") + 4_000).alias("end_ms"))
     spoken = I.measure_within(padded, ["win"], speech).select("media_id", "overlap_ms")
-    valid = V.valid_words(new.filter(F.col("text").isNotNull()).withColumn("end_ms", F.greatest("start_ms", "end_ms")), durs)
+    # Both the retry and the spliced candidate must be valid as they are; nothing is mended.
+    retry = V.valid_words(replacement.withColumnRenamed("j", "seq"), durs).withColumnRenamed("valid", "retry_valid")
+    valid = (V.valid_words(new, durs).join(retry, "media_id").select("media_id", (F.col("valid") & F.col("retry_valid")).alias("valid")))
     return (facts.join(spoken, "media_id").join(valid, "media_id").join(before, "media_id", "left").join(after, "media_id", "left")
             .select("media_id", "n_new", F.round(F.coalesce("old_score", F.lit(0.0)), 5).alias("old_score"),
                     F.round(F.coalesce("new_score", F.lit(0.0)), 5).alias("new_score"),

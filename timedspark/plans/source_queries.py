@@ -85,7 +85,12 @@ def selection_files(spark, sf):
                     (F.col("score") / F.when(F.col("media_id") % 5 == 3, 100).otherwise(1000)).alias("hook_score"))
     files = c.groupBy("media_id").agg(F.max("duration_ms").alias("duration_ms"), F.max("score").alias("top"), F.array_sort(F.collect_list(item)).alias("clips"))
     source = F.when(F.col("media_id") % 5 == 4, "other.mp4").otherwise("video.mp4")
-    return files.select(F.col("media_id").alias("path"), F.to_json(F.struct(source.alias("source"), "clips")).alias("raw"),
+    raw = F.to_json(F.struct(source.alias("source"), "clips"))
+    case, score = F.col("media_id") % 20, '"hook_score":[0-9.Ee-]+'
+    # Scores that are text, null or absent, and titles that are numbers.
+    raw = (F.when(case == 5, F.regexp_replace(raw, score, '"hook_score":"0.5"')).when(case == 10, F.regexp_replace(raw, score, '"hook_score":null'))
+           .when(case == 15, F.regexp_replace(raw, '"title":"T([0-9]+)"', '"title":$1')).when(case == 0, F.regexp_replace(raw, "," + score, "")).otherwise(raw))
+    return files.select(F.col("media_id").alias("path"), raw.alias("raw"),
                         F.lit("video.mp4").alias("source"), "duration_ms")
 
 
@@ -105,7 +110,7 @@ def probed_media(spark, sf):
     k = F.col("page_id")
     video = _cat('{"codec_type": "video", "codec_name": "h264", "width": ', F.when(k % 5 == 1, "0").otherwise("1920"), ', "height": 1080',
                  F.when(k % 3 == 0, _cat(', "duration": "', k.cast("string"), '.250"')).otherwise(""),
-                 ', "avg_frame_rate": "', F.when(k % 7 == 2, "30/0").otherwise("30000/1001"), '"}')
+                 ', "avg_frame_rate": "', F.when(k % 7 == 2, "30/0").when(k % 7 == 4, "25").when(k % 7 == 5, "29.97/1").when(k % 7 == 6, "x/1").otherwise("30000/1001"), '"}')
     audio = F.when(k % 2 == 0, ', {"codec_type": "audio"}').otherwise("")
     streams = F.when(k % 11 == 3, '{"codec_type": "data"}').otherwise(F.concat(video, audio))
     raw = _cat('{"streams": [', streams, '], "format": {', F.when(k % 4 == 1, "").otherwise('"duration": "12.5"'), "}}")

@@ -29,24 +29,38 @@ def enabled_sections(manifests: DataFrame) -> DataFrame:
                     "p.section.context", "p.section.description"))
 
 
-SELECTION = ("source STRING, clips ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, title: STRING, reason: STRING, hook_score: DOUBLE>>")
+SELECTION = "source STRING, clips ARRAY<STRUCT<start: VARIANT, end: VARIANT, title: VARIANT, reason: VARIANT, hook_score: VARIANT>>"
+
+
+def json_number(value: Column) -> Column:
+    """A JSON number as a double; null for text, truth values, null and absence."""
+    return F.when(F.schema_of_variant(value).rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), F.try_variant_get(value, "$", "double"))
+
+
+def json_text(value: Column) -> Column:
+    """A JSON string; null for anything else."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def saved_selections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file verdicts, clips of accepted files) from (path, raw, source, duration_ms).
 
-    One bad clip rejects its file.
+    One bad clip rejects its file: times and the score must be numbers and the
+    title text. Only a score that is not there counts as 0.
     """
-    rows = files.withColumn("s", F.from_json("raw", SELECTION)).withColumn("v", F.try_parse_json("raw"))
-    scored = lambda c: F.coalesce(c["hook_score"], F.lit(0.0))
-    fine = lambda c: (finite(c["start"]) & finite(c["end"]) & (c["start"] >= 0) & (c["start"] < c["end"])
-                      & (to_ms(c["end"]) <= F.col("duration_ms")) & F.coalesce(F.trim(c["title"]) != "", F.lit(False))
-                      & scored(c).between(0, 1))
+    plain = lambda c: F.struct(json_number(c["start"]).alias("start"), json_number(c["end"]).alias("end"), json_text(c["title"]).alias("title"),
+                               F.try_variant_get(c["reason"], "$", "string").alias("reason"),
+                               F.when(c["hook_score"].isNull(), F.lit(0.0)).otherwise(json_number(c["hook_score"])).alias("hook_score"))
+    rows = files.withColumn("s", F.from_json("raw", SELECTION))
+    rows = rows.withColumn("s", F.struct(F.col("s.source").alias("source"), F.transform("s.clips", plain).alias("clips")))
+    fine = lambda c: F.coalesce(finite(c["start"]) & finite(c["end"]) & (c["start"] >= 0) & (c["start"] < c["end"])
+                                & (to_ms(c["end"]) <= F.col("duration_ms")) & (F.trim(c["title"]) != "") & finite(c["hook_score"])
+                                & c["hook_score"].between(0, 1), F.lit(False))
     verdict = F.coalesce((F.col("s.source") == F.col("source")) & (F.size("s.clips") > 0) & F.forall("s.clips", fine), F.lit(False))
     judged = rows.withColumn("accepted", verdict)
     clips = judged.filter("accepted").select("path", F.posexplode("s.clips").alias("seq", "c")).select(
         "path", "seq", to_ms(F.col("c.start")).alias("start_ms"), to_ms(F.col("c.end")).alias("end_ms"), "c.title",
-        F.coalesce("c.reason", F.lit("")).alias("reason"), scored(F.col("c")).alias("hook_score"))
+        F.coalesce("c.reason", F.lit("")).alias("reason"), "c.hook_score")
     return judged.select("path", "accepted"), clips
 
 
@@ -55,10 +69,10 @@ PROBE = ("streams ARRAY<STRUCT<codec_type: STRING, codec_name: STRING, width: IN
 
 
 def frame_rate(text: Column) -> Column:
-    """`num/den` as a number; 0 when the denominator is 0."""
-    parts = F.split(text, "/")
-    number = lambda i: F.try_to_number(F.element_at(parts, i), F.lit("999999999")).cast("double")
-    return F.coalesce(F.when(F.size(parts) == 1, F.expr("NULL")).otherwise(F.try_divide(number(1), number(2))), F.lit(0.0))
+    """`num/den` or one number; 0 when the denominator is 0 or a part is no number."""
+    parts = F.split(text, "/", 2)
+    number = lambda i: F.element_at(parts, i).try_cast("double")
+    return F.coalesce(F.when(F.size(parts) == 1, number(1)).otherwise(F.try_divide(number(1), number(2))), F.lit(0.0))
 
 
 def probed_media(probes: DataFrame) -> DataFrame:
