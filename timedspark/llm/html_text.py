@@ -110,11 +110,11 @@ def path_scores(nodes: list[tuple[str, tuple[int, ...], int, str, bool]], radius
     return np.where(shown, smooth(by_length) * smooth(by_marks), 0.0)
 
 
-def main_text(html: str | None, share: float = 0.9) -> str:
+def main_text(html: str | None, share: float = 0.9, marked: float = 0.6) -> str:
     """Text of the page's article: blocks in page order, two line ends between them.
 
     Text nodes whose fused path score exceeds the standard deviation of all scores are content. The innermost element that
-    holds `share` of their text is the article, with all of its blocks that are not set aside by
+    holds `share` of their text, or an article or main element with `marked` of it, is the article, with all of its blocks that are not set aside by
     their element or its class. Where no node passes, an article or main element is taken, else the whole page.
     """
     parser = Nodes()
@@ -140,7 +140,7 @@ def main_text(html: str | None, share: float = 0.9) -> str:
     if total:
         holding = [e for e, n in inside.items() if n >= share * total and parser.tags[e] not in ("p", "li", "td", "b", "i", "em", "strong", "span", "a", "blockquote", "pre", "h1", "h2", "h3")]
         root = max(holding, default=None)
-        wider = [e for e in holding if parser.tags[e] in ("article", "main")]
+        wider = [e for e, n in inside.items() if n >= marked * total and parser.tags[e] in ("article", "main")]
         root = max(wider) if wider else root
     blocks: dict[int, list[str]] = {}
     for _, chain, block, text, aside in nodes:
