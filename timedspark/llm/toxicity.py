@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from timedspark.llm.common import aside, cut
+from timedspark.llm.common import as_before, aside, cut
 
 SYMBOLS = 64  # letters, digits, a word's beginning and end, and hashed other characters
 SPAN = 6  # characters a subsequence of three may stretch over
@@ -109,30 +109,27 @@ def _apply(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out / np.sqrt(np.maximum(norm, 1e-9))
 
 
-def kernel(rows: np.ndarray, landmarks: np.ndarray, chunk: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised kernel of every row with every landmark, and the landmarks' explicit features, each over its norm."""
-    maps = np.zeros((len(landmarks), SYMBOLS ** 3), np.float32)
-    norms = np.zeros(len(landmarks))
-    for decay, codes, whole in _parts(landmarks):
-        np.add.at(maps, (np.nonzero(whole)[0], codes[whole]), decay)
-        norms += decay * decay * whole.sum(1)
-    maps /= np.sqrt(np.maximum(norms, 1e-9))[:, None]
-    met = np.flatnonzero(maps.any(0))
+def kernel(rows: np.ndarray, landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised kernel of every row with every landmark; the subsequences that landmarks have, and each landmark's features over its norm."""
+    met = np.unique(np.concatenate([codes[whole] for _, codes, whole in _parts(landmarks)]))
     place = np.full(SYMBOLS ** 3, -1, np.int32)
     place[met] = np.arange(len(met))
-    table = np.ascontiguousarray(maps[:, met].T)
-    out = np.zeros((len(rows), len(landmarks)))
-    for at in range(0, len(rows), chunk):
-        some = rows[at:at + chunk]
-        norm = np.zeros(len(some))
-        for decay, codes, whole in _parts(some):
-            norm += decay * decay * whole.sum(1)
-            places = np.where(whole, place[codes], -1)
-            for column in range(places.shape[1]):
-                hit = np.flatnonzero(places[:, column] >= 0)
-                out[at + hit] += decay * table[places[hit, column]]
-        out[at:at + chunk] /= np.sqrt(np.maximum(norm, 1e-9))[:, None]
-    return out, maps
+    maps = np.zeros((len(met), len(landmarks)), np.float32)
+
+    def norms(some: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(sum(decay * decay * whole.sum(1) for decay, _, whole in _parts(some)), 1e-9))
+
+    for decay, codes, whole in _parts(landmarks):
+        np.add.at(maps, (place[codes[whole]], np.nonzero(whole)[0]), decay)
+    maps /= norms(landmarks)
+    out = np.zeros((len(rows), len(landmarks)), np.float32)
+    for decay, codes, whole in _parts(rows):
+        places = np.where(whole, place[codes], -1)
+        for column in range(places.shape[1]):
+            for at in range(0, len(rows), 2000):
+                hit = np.flatnonzero(places[at:at + 2000, column] >= 0)
+                out[at + hit] += decay * maps[places[at + hit, column]]
+    return out / norms(rows)[:, None], met, maps
 
 
 def word_margins(words: list[str], model: Model) -> np.ndarray:
@@ -179,12 +176,14 @@ def fit_words(words: list[str], label: np.ndarray, seen: np.ndarray, hard: np.nd
     others = [k for k in rng.permutation(len(words)) if label[k] < 0]
     negative = sorted(others, key=lambda k: not hard[k])[: landmarks - len(positive)]
     chosen = positive + negative
-    to_landmarks, maps = kernel(rows, rows[chosen])
+    to_landmarks, met, maps = kernel(rows, rows[chosen])
     values, vectors = np.linalg.eigh(to_landmarks[chosen])
     kept = values > 1e-6 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
     w, bias = fit_svm(to_landmarks @ root, label, weight)
-    return maps.T @ (root @ w), bias
+    weights = np.zeros(SYMBOLS ** 3, np.float32)
+    weights[met] = maps @ (root @ w)
+    return weights, bias
 
 
 def fit_curve(measures: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
@@ -334,7 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, words: int =
     for again in range(rounds + 1):
         found["seen"] = (found["toxic"] + found["clean"]).clip(lower=1)
         weights, bias = fit_words(found["word"].tolist(), *(found[c].to_numpy() for c in ("label", "seen", "hard")), landmarks)
-        model = Model(weights.astype(np.float32), bias)
+        model = Model(weights, bias)
         if again < rounds:
             worst = known.where("NOT scale AND toxic = 0").select("text").mapInArrow(_worst_words(model), "word string, margin double, clean long")
             worst = worst.groupBy("word").agg(F.max("margin").alias("margin"), F.sum("clean").alias("clean")).orderBy(F.desc("margin"), "word").limit(words // 2).toPandas()
@@ -375,4 +374,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options: int) -> DataFr
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options: int) -> DataFrame:
     """The documents whose score is under one half, with the columns they came with."""
     kept = score_toxicity(docs, labels, **options).where("predicted = 0")
-    return kept.toDF(*docs.columns, "held_out", "score", "predicted", "margin").select(*docs.columns)
+    return as_before(kept, docs)
