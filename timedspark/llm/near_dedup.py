@@ -21,6 +21,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 BANDS, ROWS = 28, 5
 #: Distribution function of a Poisson number with mean 1, to the end of what a double tells apart.
 POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1), dtype=float) for k in range(18)])
+UNIT = 1.0 / (1 << 53)
 #: Rows up to which a list of identifiers or sets is broadcast.
 BROADCAST_ROWS = 200_000
 #: Members of a bucket up to which all its pairs across classes are compared.
@@ -78,33 +79,37 @@ def darts(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """
     total = float(weights.sum())
     bound = k * (np.log(k) + 3) / total
+    most = int(weights.max())
     while True:
         ranks, names = [], []
-        level = 0
-        while True:
+        for level in range(most.bit_length() + 1):
             low, high = (0, 1) if level == 0 else (1 << (level - 1), 1 << level)
-            inside = weights > low
-            if not inside.any():
+            if most <= low:
                 break
-            some, heavy = elements[inside], weights[inside]
+            inside = slice(None) if level == 0 else weights > low
             steps = int(np.ceil(bound * (high - low)))
             cells = mix(np.arange(steps, dtype=np.uint64) * np.uint64(64) + np.uint64(level + 1))
-            drawn = mix(some[:, None] ^ cells[None, :])
-            count = np.searchsorted(POISSON, (drawn >> np.uint64(11)).astype(float) / (1 << 53), side="right")
-            for j in range(int(count.max(initial=0))):
-                row, cell = np.nonzero(count > j)
-                dart = mix(drawn[row, cell] + np.uint64((j + 1) * BASE & ((1 << 64) - 1)))
-                rank = (cell + (dart >> np.uint64(11)).astype(float) / (1 << 53)) / (high - low)
-                at = low + (high - low) * (mix(dart + np.uint64(1)) >> np.uint64(11)).astype(float) / (1 << 53)
-                hit = (rank < bound) & (at < heavy[row])
-                ranks.append(rank[hit])
-                names.append(dart[hit])
-            level += 1
+            drawn = mix(elements[inside, None] ^ cells).ravel()
+            count = np.searchsorted(POISSON, (drawn >> np.uint64(11)) * UNIT, side="right")
+            cell = np.repeat(np.arange(len(drawn)), count)
+            nth = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
+            dart = mix(drawn[cell] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE))
+            rank = (cell % steps + (dart >> np.uint64(11)) * UNIT) / (high - low)
+            hit = rank < bound
+            heavy = weights[inside]
+            if (heavy < high).any():
+                at = low + (high - low) * ((mix(dart + np.uint64(1)) >> np.uint64(11)) * UNIT)
+                hit &= at < heavy[cell // steps]
+            ranks.append(rank[hit])
+            names.append(dart[hit])
         rank, name = np.concatenate(ranks), np.concatenate(names)
-        name = name[np.argsort(rank, kind="stable")]
-        coordinate, first = np.unique(mix(name + np.uint64(2)) % np.uint64(k), return_index=True)
-        if len(coordinate) == k:
-            return name[first]
+        latest_first = np.argsort(-rank, kind="stable")
+        name = name[latest_first]
+        coordinate = mix(name + np.uint64(2)) % np.uint64(k)
+        if np.bincount(coordinate.astype(np.int64), minlength=k).all():
+            signature = np.zeros(k, np.uint64)
+            signature[coordinate] = name  # of several darts in a coordinate the last one stays: the earliest
+            return signature
         bound *= 2
 
 
@@ -165,15 +170,17 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def verify(pairs: DataFrame, given: DataFrame, nodes: DataFrame, least: float, weighted: bool) -> DataFrame:
-    """Of pairs of nodes (a, b), those whose shingle sets are at least `least` similar. Sets are made again for the nodes in question only."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(nodes.join(ends, "node", "left_semi").select("node", F.col("first").alias("doc_id")))
-    n = wanted.count()
-    sets = given.mapInArrow(_sets(weighted), f"doc_id {given.schema['doc_id'].dataType.simpleString()}, node binary, prints binary").alias("s")
-    w = _small(wanted, n).alias("w")
+def shingle_sets(given: DataFrame, wanted: DataFrame, weighted: bool) -> DataFrame:
+    """node, prints of the wanted nodes (node, first: the doc_id whose text is read), written once for all comparisons."""
+    wanted = cut(wanted.select("node", F.col("first").alias("doc_id")))
+    sets = given.select("doc_id", "text").mapInArrow(_sets(weighted), f"doc_id {given.schema['doc_id'].dataType.simpleString()}, node binary, prints binary").alias("s")
+    w = _small(wanted, wanted.count()).alias("w")
     same = (F.col("s.node") == F.col("w.node")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))
-    sets = cut(sets.join(w, same, "left_semi"))
+    return cut(sets.join(w, same, "left_semi").select("node", "prints"))
+
+
+def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of pairs of nodes (a, b), those whose shingle sets are at least `least` similar."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("prints").alias("prints_a")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("prints").alias("prints_b")), "b").select("a", "b", "prints_a", "prints_b")
     return both.mapInArrow(_similar(least), "a binary, b binary").distinct()
@@ -205,7 +212,8 @@ def class_members(given: DataFrame, least: float, weighted: bool, bands: int, ro
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("members")).where("members > 1")
     shared = cut(buckets.join(leaders, "bucket").select("bucket", "node", "b", "members"))
     tested = cut(shared.where("node != b").select(F.col("node").alias("a"), "b").distinct())
-    links = cut(verify(tested, given, nodes, least, weighted))
+    sets = shingle_sets(given, nodes.join(shared.select("node").distinct(), "node", "left_semi"), weighted)
+    links = cut(verify(tested, sets, least))
     roots = components(links)
     turn = 0
     while True:
@@ -223,7 +231,7 @@ def class_members(given: DataFrame, least: float, weighted: bool, bands: int, ro
         found = cut((across.union(spread) if turn == 1 else spread).distinct().join(tested, ["a", "b"], "left_anti"))
         if found.isEmpty():
             break
-        more = cut(verify(found, given, nodes, least, weighted))
+        more = cut(verify(found, sets, least))
         if more.isEmpty():
             break
         tested, links = cut(tested.union(found)), cut(links.union(more))
