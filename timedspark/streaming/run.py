@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ class Feed:
     def __init__(self, df: DataFrame, name: str, by: str, parts: int = 3):
         self.rows = stage(df)
         self.by, self.schema = by, df.schema
-        cuts = self.rows.approxQuantile(by, [i / parts for i in range(1, parts)], 0.01)
+        cuts = self.rows.approxQuantile(by, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
         self.edges = [None, *cuts, None]
         self.parts = len(self.edges) - 1
         self.path = new_folder(df.sparkSession, name)
@@ -78,6 +79,22 @@ def run_upserts(feed: Feed, stream: DataFrame, keys: list[str], name: str, mode:
     return last_rows(rows.select(*stream.columns, "__batch"), keys, "__batch").drop("__batch")
 
 
+def run_batches(feed: Feed, stream: DataFrame, summary: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The summary of all rows, from a summary per batch; `summary` must give the same when applied to its own results.
+
+    The stream keeps no state: a batch that runs again overwrites its own folder.
+    """
+    spark = stream.sparkSession
+    target = new_folder(spark, name)
+    schema = summary(spark.createDataFrame([], stream.schema)).schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        summary(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    feed.run(stream.writeStream.foreachBatch(write).option("checkpointLocation", target + "-state"))
+    return summary(spark.read.schema(schema).option("basePath", target).parquet(target + "/batch=*").drop("batch"))
+
+
 def run_appends(feed: Feed, stream: DataFrame, name: str) -> DataFrame:
     """Append-mode rows to Parquet files."""
     spark = stream.sparkSession

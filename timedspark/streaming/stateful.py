@@ -13,6 +13,7 @@ from timedspark.operators.selection import Admission
 
 TOKEN_RESULT = "token STRING, at_ms BIGINT, outcome STRING"
 CHUNK_RESULT = "job_id BIGINT, chunk_index BIGINT, sha256 STRING, outcome STRING"
+SESSION_RESULT = "media_id BIGINT, start_ms BIGINT, end_ms BIGINT, n_words BIGINT"
 PICK_RESULT = "media_id BIGINT, section BIGINT, seq BIGINT, final_start BIGINT, final_end BIGINT, score BIGINT, in_order BOOLEAN"
 
 
@@ -21,10 +22,46 @@ def _stateful(stream: DataFrame, keys: list[str], fn, result: str) -> DataFrame:
         fn, outputStructType=result, stateStructType="state STRING", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
 
 
+def _keep(state: GroupState, held: dict | None) -> None:
+    """Remember `held`, or nothing. There are no timers: one of the machine's clock never lets a run to the end of its input end."""
+    if held is not None:
+        state.update((json.dumps(held),))
+    elif state.exists:
+        state.remove()
+
+
+def word_sessions(stream: DataFrame, gap_ms: int = 700) -> DataFrame:
+    """Sessions of words split by pauses of media time longer than `gap_ms`: rows (media_id, start_ms, end_ms, ended).
+
+    Words of a recording come in order, recordings in any order and at any
+    time. A row with `ended` closes the recording, which is then forgotten. Only the
+    open session is remembered.
+    """
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = ["media_id", "start_ms", "end_ms", "n_words"]
+        held = json.loads(state.get[0])["open"] if state.exists else None
+        out, ended = [], False
+        rows = pd.concat([b[["start_ms", "end_ms", "ended"]] for b in batches]).sort_values(["ended", "start_ms"])
+        for start, end, last in rows.itertuples(index=False):
+            if last:
+                ended = True
+            elif held and start - held[1] <= gap_ms:
+                held = [held[0], max(held[1], int(end)), held[2] + 1]
+            else:
+                out += [(key[0], *held)] if held else []
+                held = [int(start), int(end), 1]
+        if ended and held:
+            out.append((key[0], *held))
+        _keep(state, None if ended else {"open": held})
+        yield pd.DataFrame(out, columns=names)
+    return _stateful(stream, ["media_id"], step, SESSION_RESULT)
+
+
 def consume_tokens(stream: DataFrame) -> DataFrame:
     """One-time tokens: rows (token, kind issue|use, at_ms, ttl_ms); each use is accepted, used or expired.
 
-    Rows of one batch are taken in time order.
+    Rows of one batch are taken in time order. A token is forgotten once a
+    row comes after its end; a later use is expired either way.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {"until": None, "used": False}
@@ -40,17 +77,20 @@ def consume_tokens(stream: DataFrame) -> DataFrame:
                 outcome = "used" if held["used"] else "accepted"
                 held["used"] = True
             out.append((key[0], int(row.at_ms), outcome))
-        state.update((json.dumps(held),))
+        now = int(rows["at_ms"].iloc[-1])
+        live = held["until"] is not None and now < held["until"]
+        _keep(state, held if live else None)
         yield pd.DataFrame(out, columns=["token", "at_ms", "outcome"])
     return _stateful(stream, ["token"], step, TOKEN_RESULT)
 
 
 def chunk_intake(stream: DataFrame) -> DataFrame:
-    """Upload chunks in any order: (job_id, chunk_index, sha256, total).
+    """Upload chunks in any order: (job_id, chunk_index, sha256, total, arrival).
 
     The first copy of a chunk is stored, an equal one is a repeat, another one
     a conflict; the chunk that completes the upload reports it once. State is
-    the digest per chunk, and an upload has at most a few dozen chunks.
+    the digest per chunk, and an upload has at most a few dozen chunks; it is
+    kept, as a late repeat must still be known for one.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = json.loads(state.get[0]) if state.exists else {}
@@ -63,7 +103,7 @@ def chunk_intake(stream: DataFrame) -> DataFrame:
                 seen[index] = row.sha256
                 outcome = "complete" if len(seen) == row.total else "stored"
             out.append((key[0], int(row.chunk_index), row.sha256, outcome))
-        state.update((json.dumps(seen),))
+        _keep(state, seen)
         yield pd.DataFrame(out, columns=["job_id", "chunk_index", "sha256", "outcome"])
     return _stateful(stream, ["job_id"], step, CHUNK_RESULT)
 
@@ -75,11 +115,14 @@ def admit_incrementally(stream: DataFrame) -> DataFrame:
     one row with `seq` -1 closes the section, `last` marks the final one.
     Sections are worked in order; early ones wait in the state. When the last
     section is done, deferred candidates fill what is left. Exact repeats of a
-    row change nothing.
+    row change nothing. A finished recording is remembered by one word.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {
             "next": 0, "spans": [], "waiting": {}, "closed": [], "deferred": [], "last": None, "done": False}
+        if held["done"]:
+            return
+        met = {s: {tuple(i) for i in items} for s, items in held["waiting"].items()}
         admission = Admission([tuple(s) for s in held["spans"]])
         for row in pd.concat(list(batches)).itertuples(index=False):
             section = int(row.section)
@@ -94,7 +137,9 @@ def admit_incrementally(stream: DataFrame) -> DataFrame:
             item = [int(-row.score), int(row.seq), int(row.allowance), int(row.target), int(row.start_ms), int(row.end_ms),
                     int(row.final_start), int(row.final_end)]
             waiting = held["waiting"].setdefault(str(section), [])
-            if item not in waiting:
+            known = met.setdefault(str(section), set())
+            if tuple(item) not in known:
+                known.add(tuple(item))
                 waiting.append(item)
         out = []
         pick = lambda section, item, live: out.append((key[0], section, item[1], item[6], item[7], -item[0], live))
@@ -115,6 +160,6 @@ def admit_incrementally(stream: DataFrame) -> DataFrame:
                         pick(sect, item, False)
                 held.update(deferred=[], done=True)
         held["spans"] = admission.spans
-        state.update((json.dumps(held),))
+        _keep(state, {"done": True} if held["done"] else held)
         yield pd.DataFrame(out, columns=["media_id", "section", "seq", "final_start", "final_end", "score", "in_order"])
     return _stateful(stream, ["media_id"], step, PICK_RESULT)

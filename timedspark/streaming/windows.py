@@ -1,4 +1,4 @@
-"""Windowed streams: rate limits, inactivity, speech density and word sessions.
+"""Windowed streams: rate limits, inactivity and speech density; batch results that add up.
 
 Rows later than the watermark are dropped; the result of a window is kept up
 to date until the watermark passes it.
@@ -6,7 +6,7 @@ to date until the watermark passes it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,32 +24,33 @@ def inactivity_sessions(touches: DataFrame, ttl: str = "24 hours", keep: str = "
             .select("job_id", F.col("w.start").alias("opened"), F.col("w.end").alias("expires"), "touches"))
 
 
-def speech_density(words: DataFrame, keep: str = "1 minute") -> DataFrame:
-    """Words per 6-second window every 3 seconds."""
-    return (words.withWatermark("ts", keep).groupBy("media_id", F.window("ts", "6 seconds", "3 seconds").alias("w"))
-            .agg(F.count("*").alias("n_words"))
-            .select("media_id", F.col("w.start").alias("start"), "n_words"))
+def speech_density(words: DataFrame, keep: str = "1 day") -> DataFrame:
+    """Words per 6-second window every 3 seconds of media time, in parts: one per window of `keep` in which words arrived.
 
-
-def word_sessions(words: DataFrame, gap_ms: int = 700, keep: str = "1 minute") -> DataFrame:
-    """Sessions of words split by pauses longer than `gap_ms` after the end of a word.
-
-    The gap of a row is its own length plus the pause, since a session window
-    counts from the start.
+    `words`: (media_id, start_ms, arrived). Media time starts at 0 in every
+    recording, so the watermark is on the arrival time: a recording that comes
+    after another is finished is not late. Parts of one window add up.
     """
-    gap = F.concat((F.col("length_ms") + gap_ms).cast("string"), F.lit(" milliseconds"))
-    return (words.withWatermark("ts", keep).groupBy("media_id", F.session_window("ts", gap).alias("w"))
-            .agg(F.count("*").alias("n_words"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-            .select("media_id", F.col("w.start").alias("opened"), "n_words", "start_ms", "end_ms"))
+    first = F.floor(F.col("start_ms") / 3_000)
+    starts = F.explode(F.array(first, first - 1)).alias("k")
+    return (words.withWatermark("arrived", "10 minutes").select("media_id", "arrived", starts)
+            .groupBy("media_id", "k", F.window("arrived", keep).alias("w")).agg(F.count("*").alias("n_words"))
+            .select("media_id", (F.col("k") * 3_000).alias("start_ms"), F.col("w.start").alias("arrived"), "n_words"))
 
 
 def last_beats(beats: DataFrame) -> DataFrame:
-    """Latest heartbeat per owner; compare it with the clock of the report."""
-    return beats.groupBy("owner").agg(F.max("ts").alias("at"))
+    """Latest heartbeat per owner, of a batch or of the batches' results; compare it with the clock of the report."""
+    return beats.groupBy("owner").agg(F.max("at").alias("at"))
+
 
+def alive(beats: DataFrame, now: Column, limit: Column) -> DataFrame:
+    """Owners whose last beat is younger than `limit` at `now`; nothing has to arrive for an owner to fall silent."""
+    return beats.select("owner", (F.col("at") > now - limit).alias("alive"))
 
-def job_progress(events: DataFrame, stages: tuple[str, ...]) -> DataFrame:
-    """Furthest stage per job (it never goes back) and its largest counts."""
-    place = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("stage")).cast("int")
-    return (events.groupBy("job_id").agg(F.max(place).alias("place"), F.max("selected").alias("selected"))
-            .withColumn("stage", F.get(F.array(*[F.lit(s) for s in stages]), F.col("place") - 1)).drop("place"))
+
+def job_progress(events: DataFrame) -> DataFrame:
+    """Furthest stage per job (it never goes back) and its latest counts, of a batch or of the batches' results.
+
+    `events`: (job_id, place, selected, with); `with` orders the events of a job that give `selected` and is null for others.
+    """
+    return events.groupBy("job_id").agg(F.max("place").alias("place"), F.max_by("selected", "with").alias("selected"), F.max("with").alias("with"))
