@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+FENCE = "```"
+#: Fixed value: the first flat object of a reply in prose, as replies are read.
+FLAT_OBJECT = r"(?s)\{[^{}]+\}"
+
+
 def fenced(raw: Column) -> Column:
     """Content of the first code fence, or the whole trimmed text."""
-    inner = F.trim(F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.+?)```", 1))
-    return F.when(inner != "", inner).otherwise(F.trim(raw))
+    opened = F.instr(raw, FENCE)
+    after = F.substr(raw, opened + len(FENCE))
+    after = F.when(after.startswith("json"), F.substr(after, F.lit(5))).otherwise(after)
+    closed = F.instr(after, FENCE)
+    inner = F.trim(F.regexp_replace(F.left(after, closed - 1), r"^\s+|\s+$", ""))
+    return F.when((opened > 0) & (closed > 0) & (inner != ""), inner).otherwise(F.trim(raw))
 
 
 def outer_object(raw: Column) -> Column:
@@ -29,7 +38,7 @@ def flat_object(raw: Column) -> Column:
     The second case returns an inner object of a nested reply in prose.
     """
     whole = F.trim(raw)
-    inner = F.regexp_extract(raw, r"(?s)\{[^{}]+\}", 0)
+    inner = F.regexp_extract(raw, FLAT_OBJECT, 0)
     return F.when(whole.startswith("{") & F.try_parse_json(whole).isNotNull(), whole).when(inner != "", inner)
 
 

@@ -15,10 +15,6 @@ def area(b: Column) -> Column:
     return b["w"] * b["h"]
 
 
-def center_x(b: Column) -> Column:
-    return b["x"] + b["w"] / 2
-
-
 def intersection(a: Column, b: Column) -> Column:
     """Shared area of two boxes; 0 when they only touch."""
     across = F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"])

@@ -158,7 +158,3 @@ def fingerprint(inputs: Column) -> Column:
 
 def month_key(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
-
-
-def minute_bucket(ts: Column) -> Column:
-    return F.date_trunc("minute", ts)

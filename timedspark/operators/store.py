@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timedspark.functions.text import fingerprint, month_key
+from timedspark.functions.text import fingerprint
 
 ACTIVE_STATES = ("queued", "running", "completed", "partial")
 CHUNK_BYTES = 32_000_000
@@ -76,7 +76,9 @@ def policy_problems(groups: DataFrame, members: DataFrame, default: str) -> Data
 
 def quota_use(jobs: DataFrame, users: DataFrame, month: str) -> DataFrame:
     """Reserved jobs of each user in one month against the limit; a null limit never fills."""
-    used = (jobs.filter((month_key(F.col("created_at")) == month) & F.col("reserved"))
+    first = F.to_timestamp_ntz(F.lit(f"{month}-01 00:00:00"))
+    inside = (F.col("created_at") >= first) & (F.col("created_at") < first + F.make_ym_interval(months=F.lit(1)))
+    used = (jobs.filter(inside & F.col("reserved"))
             .groupBy("user_id").agg(F.count("*").alias("used")))
     return users.join(used, "user_id", "left").withColumn("used", F.coalesce("used", F.lit(0)).cast("bigint")).withColumn(
         "full", F.coalesce(F.col("used") >= F.col("monthly_videos"), F.lit(False)))

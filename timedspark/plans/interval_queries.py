@@ -9,6 +9,7 @@ from timedspark.operators import clips as C
 from timedspark.operators import coverage as V
 from timedspark.operators import intervals as I
 from timedspark.operators.scan import Axis, scan, total
+from timedspark.operators.selection import clip_cap, section_budget
 from timedspark.operators.stage import stage
 from timedspark.plans import bind
 from timedspark.plans.bind import HALF_DAY
@@ -181,11 +182,10 @@ def chunk_plan(spark, sf):
 def section_plan(spark, sf):
     """Search sections, with the reply budget of each section."""
     sections = I.overlapping_chunks(bind.durations(spark, sf), 200_000, 90_000)
-    cap = F.least(F.lit(30), F.greatest(F.lit(3), F.ceil(F.col("duration_ms") / 300_000)))
-    share = F.ceil(2 * cap * (F.col("end_ms") - F.col("start_ms")) / F.col("duration_ms"))
+    cap = clip_cap(F.col("duration_ms"))
+    budget = section_budget(cap, F.col("end_ms") - F.col("start_ms"), F.col("duration_ms"))
     return sections.select("media_id", F.col("idx").cast("bigint").alias("section"), "start_ms", "end_ms",
-                           cap.cast("bigint").alias("cap"),
-                           F.least(2 * cap, F.greatest(F.lit(3), share)).cast("bigint").alias("budget"))
+                           cap.cast("bigint").alias("cap"), budget.cast("bigint").alias("budget"))
 
 
 @query("owned_chunks")
