@@ -24,8 +24,12 @@ POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1), dtype=float) fo
 UNIT = 1.0 / (1 << 53)
 #: Rows up to which a list of identifiers or sets is broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows up to which links and members of buckets are worked on in one partition (under 100 bytes each).
+GATHERED = 200_000
 #: Members of a bucket up to which all its pairs across classes are compared.
 SMALL_BUCKET = 32
+#: Members of each class that stand for it in a round over a larger bucket.
+REPRESENTATIVES = 6
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -186,16 +190,22 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(_similar(least), "a binary, b binary").distinct()
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """`df` in one partition if it comes from at most GATHERED rows of names, so that steps over it need no shuffle; else as it is."""
+    return df.coalesce(1) if rows <= GATHERED else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root of the connected parts of links (a, b), by alternating stars towards the smallest node."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    edges = cut(gathered(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"), links.count()).distinct())
+    pair = lambda x, y: F.struct(F.col(x).alias("u"), F.col(y).alias("v"))
     mark = None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        small = large.join(least, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e")).select("e.*").where("u != v").distinct()
         edges = cut(small)
         new = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if new == mark:
@@ -211,31 +221,48 @@ def class_members(given: DataFrame, least: float, weighted: bool, bands: int, ro
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("members")).where("members > 1")
     shared = cut(buckets.join(leaders, "bucket").select("bucket", "node", "b", "members"))
-    tested = cut(shared.where("node != b").select(F.col("node").alias("a"), "b").distinct())
+    n_shared = shared.count()
+    shared = cut(shared.coalesce(1)) if n_shared <= GATHERED else shared
     sets = shingle_sets(given, nodes.join(shared.select("node").distinct(), "node", "left_semi"), weighted)
-    links = cut(verify(tested, sets, least))
+    # First a node meets the smallest leader of all its buckets, which joins most of a large group by one pair a node.
+    tested = cut(shared.groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b")).where("a != b"))
+    links = cut(gathered(verify(tested, sets, least), n_shared))
     roots = components(links)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs not tested yet whose nodes are in different classes."""
+        one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+        placed = gathered(pairs, n_shared).distinct().join(one, "a", "left").join(two, "b", "left").where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b")))
+        return cut(placed.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+
     turn = 0
     while True:
-        # Whoever missed a bucket's leader meets the others of the bucket: all of a small one, one of each class of a larger one.
-        turn += 1
-        placed = shared.join(roots, "node", "left").select("bucket", "node", "members", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-        placed = cut(placed.join(mixed, "bucket", "left_semi"))
-        few = placed.where(F.col("members") <= SMALL_BUCKET)
-        across = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root"))).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-        order = F.xxhash64("node", F.lit(turn))
-        chosen = placed.where(F.col("members") > SMALL_BUCKET).groupBy("bucket", "root").agg(F.min_by("node", order).alias("node"))
-        head = chosen.groupBy("bucket").agg(F.min("node").alias("b"))
-        spread = chosen.join(head, "bucket").where("node != b").select(F.col("node").alias("a"), "b")
-        found = cut((across.union(spread) if turn == 1 else spread).distinct().join(tested, ["a", "b"], "left_anti"))
-        if found.isEmpty():
-            break
-        more = cut(verify(found, sets, least))
-        if more.isEmpty():
+        if turn == 0:
+            # Then the leaders of its other buckets, where these have stayed apart from it.
+            found = apart(shared.where("node != b").select(F.col("node").alias("a"), "b"))
+        else:
+            # Then the others of its buckets: all of a small one, some of each class of a larger one.
+            placed = shared.join(roots, "node", "left").select("bucket", "node", "members", F.coalesce("root", "node").alias("root"))
+            large = placed.where(F.col("members") > SMALL_BUCKET)
+            orders = [F.xxhash64("node", F.lit(REPRESENTATIVES * turn + k)) for k in range(REPRESENTATIVES)]
+            chosen = cut(large.groupBy("bucket", "root").agg(F.array_distinct(F.array(*[F.min_by("node", o) for o in orders])).alias("some")))
+            heads = chosen.groupBy("bucket").agg(F.min(F.array_min("some")).alias("b"), F.count("*").alias("classes")).where("classes > 1")
+            pairs = chosen.join(heads, "bucket").select(F.explode("some").alias("a"), "b").where("a != b")
+            if turn == 1:
+                few = placed.where(F.col("members") <= SMALL_BUCKET)
+                mixed = few.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+                few = cut(few.join(mixed, "bucket", "left_semi"))
+                pairs = pairs.union(few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")))
+                                    .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")))
+            found = apart(pairs)
+        more = cut(gathered(verify(found, sets, least), n_shared))
+        tested = cut(gathered(tested.union(found), n_shared))
+        if not more.isEmpty():
+            links = cut(gathered(links.union(more), n_shared))
+            roots = components(links)
+        elif turn:
             break
-        tested, links = cut(tested.union(found)), cut(links.union(more))
-        roots = components(links)
+        turn += 1
     return signed.select("doc_id", "print", "node", "size"), roots
 
 
