@@ -107,7 +107,9 @@ def brute_classes(texts, least=0.8):
     return {k: root(k) for k in sets}
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("gathered", [200_000, 0])
+def test_near_copies(spark, monkeypatch, gathered):
+    monkeypatch.setattr(near_dedup, "GATHERED", gathered)
     rng = random.Random(5)
     base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 120))] for _ in range(40)]
     rows, k = [], 0

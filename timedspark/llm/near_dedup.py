@@ -195,9 +195,15 @@ def gathered(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(1) if rows <= GATHERED else df
 
 
+def held(df: DataFrame, rows: int) -> DataFrame:
+    """A written copy, in one partition if `gathered` says so. A copy that is read back does not tell its partitioning, so it is told again."""
+    return gathered(cut(gathered(df, rows)), rows)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root of the connected parts of links (a, b), by alternating stars towards the smallest node."""
-    edges = cut(gathered(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"), links.count()).distinct())
+    rows = links.count()
+    edges = held(gathered(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"), rows).distinct(), rows)
     pair = lambda x, y: F.struct(F.col(x).alias("u"), F.col(y).alias("v"))
     mark = None
     while True:
@@ -206,7 +212,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e")).select("e.*").where("u != v").distinct()
-        edges = cut(small)
+        edges = held(small, rows)
         new = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if new == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -222,18 +228,18 @@ def class_members(given: DataFrame, least: float, weighted: bool, bands: int, ro
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("members")).where("members > 1")
     shared = cut(buckets.join(leaders, "bucket").select("bucket", "node", "b", "members"))
     n_shared = shared.count()
-    shared = cut(shared.coalesce(1)) if n_shared <= GATHERED else shared
+    shared = held(shared, n_shared) if n_shared <= GATHERED else shared
     sets = shingle_sets(given, nodes.join(shared.select("node").distinct(), "node", "left_semi"), weighted)
     # First a node meets the smallest leader of all its buckets, which joins most of a large group by one pair a node.
-    tested = cut(shared.groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b")).where("a != b"))
-    links = cut(gathered(verify(tested, sets, least), n_shared))
+    tested = held(shared.groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b")).where("a != b"), n_shared)
+    links = held(verify(tested, sets, least), n_shared)
     roots = components(links)
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs not tested yet whose nodes are in different classes."""
         one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
         placed = gathered(pairs, n_shared).distinct().join(one, "a", "left").join(two, "b", "left").where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b")))
-        return cut(placed.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        return held(placed.select("a", "b").join(tested, ["a", "b"], "left_anti"), n_shared)
 
     turn = 0
     while True:
@@ -245,20 +251,20 @@ def class_members(given: DataFrame, least: float, weighted: bool, bands: int, ro
             placed = shared.join(roots, "node", "left").select("bucket", "node", "members", F.coalesce("root", "node").alias("root"))
             large = placed.where(F.col("members") > SMALL_BUCKET)
             orders = [F.xxhash64("node", F.lit(REPRESENTATIVES * turn + k)) for k in range(REPRESENTATIVES)]
-            chosen = cut(large.groupBy("bucket", "root").agg(F.array_distinct(F.array(*[F.min_by("node", o) for o in orders])).alias("some")))
+            chosen = held(large.groupBy("bucket", "root").agg(F.array_distinct(F.array(*[F.min_by("node", o) for o in orders])).alias("some")), n_shared)
             heads = chosen.groupBy("bucket").agg(F.min(F.array_min("some")).alias("b"), F.count("*").alias("classes")).where("classes > 1")
             pairs = chosen.join(heads, "bucket").select(F.explode("some").alias("a"), "b").where("a != b")
             if turn == 1:
                 few = placed.where(F.col("members") <= SMALL_BUCKET)
                 mixed = few.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-                few = cut(few.join(mixed, "bucket", "left_semi"))
+                few = held(few.join(mixed, "bucket", "left_semi"), n_shared)
                 pairs = pairs.union(few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")))
                                     .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")))
             found = apart(pairs)
-        more = cut(gathered(verify(found, sets, least), n_shared))
-        tested = cut(gathered(tested.union(found), n_shared))
+        more = held(verify(found, sets, least), n_shared)
+        tested = held(tested.union(found), n_shared)
         if not more.isEmpty():
-            links = cut(gathered(links.union(more), n_shared))
+            links = held(links.union(more), n_shared)
             roots = components(links)
         elif turn:
             break
