@@ -127,6 +127,35 @@ def test_near_copies(spark, monkeypatch, gathered):
     assert got == brute_classes(dict(rows))
 
 
+@pytest.mark.parametrize("small, block, gathered", [(1, 16, 200_000), (32, 256, 0)])
+def test_near_copies_in_large_buckets(spark, monkeypatch, small, block, gathered):
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "GATHERED", gathered)
+    rng, rows = random.Random(11), []
+    for star in range(2):
+        original = [f"s{star}x{j}" for j in range(204)]
+        rows.append((1_000 * star + 500, " ".join(original)))
+        for k in range(200):
+            copy = list(original)
+            for j, at in enumerate(rng.sample(range(10, 195, 6), 4)):
+                copy[at] = f"new{star}x{k}x{j}"
+            rows.append((1_000 * star + k, " ".join(copy)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.mark_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(dict(rows)) and len(set(got.values())) == 2
+
+
+def test_pairs_across_classes_come_once_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rows = [(b, bytes([k]), 60 - 10 * b, bytes([k // 3 if b < 2 else 0])) for b in range(3) for k in range(60 - 10 * b)]
+    alike = [(bytes([k]), 100, *[k] * len(near_dedup.MAP)) for k in range(60)]
+    sets = spark.createDataFrame(alike, "node binary, n long, " + ", ".join(f"{m} long" for m in near_dedup.MAP))
+    pairs, n = near_dedup.across(spark.createDataFrame(rows, "bucket long, node binary, members long, root binary"), sets, 0.05)
+    got = Counter((bytes(r["a"]), bytes(r["b"])) for r in pairs.collect())
+    want = Counter((x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[3] != y[3] and x[1] > y[1])
+    assert got == want and n == sum(want.values())
+
+
 def test_near_copies_of_the_table(docs, texts):
     got = {r["doc_id"]: (r["class_id"], r["kept"]) for r in near_dedup.mark_near_copies(docs).collect()}
     want = brute_classes(texts)

@@ -26,10 +26,14 @@ UNIT = 1.0 / (1 << 53)
 BROADCAST_ROWS = 200_000
 #: Rows up to which links and members of buckets are worked on in one partition (under 100 bytes each).
 GATHERED = 200_000
-#: Members of a bucket up to which all its pairs across classes are compared.
+#: Members of a bucket up to which it waits for the comparison of all pairs across classes; larger ones have rounds before it.
 SMALL_BUCKET = 32
 #: Members of each class that stand for it in a round over a larger bucket.
 REPRESENTATIVES = 6
+#: Members of a bucket that meet those of another block in one place when all pairs across classes are compared.
+BLOCK = 256
+#: Columns of a set's parity map: 64 bits each.
+MAP = [f"map{k}" for k in range(16)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -141,11 +145,11 @@ def _signatures(bands: int, rows: int, weighted: bool):
 
 
 def _sets(weighted: bool):
-    """node and its shingles as sorted 32-bit prints; a shingle that comes n times has n prints when weighted."""
+    """node, its shingles as sorted 32-bit prints, their number n and parity map; a shingle that comes n times has n prints when weighted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            nodes, prints = [], []
+            nodes, prints, sizes, maps = [], [], [], []
             for text in batch.column("text"):
                 elements, counts = shingles(text.as_py(), powers)
                 weights = counts if weighted else np.ones_like(counts)
@@ -153,8 +157,13 @@ def _sets(weighted: bool):
                 if weighted:
                     nth = np.arange(int(weights.sum())) - np.repeat(np.cumsum(weights) - weights, weights)
                     elements = mix(np.repeat(elements, weights) + nth.astype(np.uint64))
-                prints.append(np.unique((elements >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(prints, pa.binary())], ["doc_id", "node", "prints"])
+                own = np.unique((elements >> np.uint64(32)).astype(np.uint32))
+                prints.append(own.tobytes())
+                sizes.append(len(own))
+                maps.append(np.packbits((np.bincount(own % (64 * len(MAP)), minlength=64 * len(MAP)) & 1).astype(bool)).view(np.int64))
+            words = np.array(maps, np.int64).reshape(-1, len(MAP))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), *map(pa.array, words.T.copy())],
+                                             ["doc_id", "node", "prints", "n", *MAP])
     return run
 
 
@@ -175,12 +184,12 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def shingle_sets(given: DataFrame, wanted: DataFrame, weighted: bool) -> DataFrame:
-    """node, prints of the wanted nodes (node, first: the doc_id whose text is read), written once for all comparisons."""
+    """node, prints, n and parity map of the wanted nodes (node, first: the doc_id whose text is read), written once for all comparisons."""
     wanted = cut(wanted.select("node", F.col("first").alias("doc_id")))
-    sets = given.select("doc_id", "text").mapInArrow(_sets(weighted), f"doc_id {given.schema['doc_id'].dataType.simpleString()}, node binary, prints binary").alias("s")
+    sets = given.select("doc_id", "text").mapInArrow(_sets(weighted), f"doc_id {given.schema['doc_id'].dataType.simpleString()}, node binary, prints binary, n long, {', '.join(f'{m} long' for m in MAP)}").alias("s")
     w = _small(wanted, wanted.count()).alias("w")
     same = (F.col("s.node") == F.col("w.node")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))
-    return cut(sets.join(w, same, "left_semi").select("node", "prints"))
+    return cut(sets.join(w, same, "left_semi").select("node", "prints", "n", *MAP))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -219,6 +228,29 @@ def components(links: DataFrame) -> DataFrame:
         mark = new
 
 
+def across(placed: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, int]:
+    """Pairs (a, b) of nodes that share a bucket and not a class, from rows (bucket, node, members, root), and their number, repeats counted.
+
+    A bucket is dealt into blocks of about BLOCK nodes, and two blocks meet in one place, so no bucket is the work of one task. Pairs that cannot be
+    `least` similar are left out by bounds that hold for certain: the sizes of the sets, and the bits in which their parity maps differ, which
+    are never more than the shingles that only one of them has.
+    """
+    classes = placed.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("classes"))
+    mixed = cut(classes.where("classes > 1"))
+    n_buckets = mixed.count()
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    left = placed.join(_small(mixed.select("bucket"), n_buckets), "bucket").join(sets.select("node", "n", *MAP), "node")
+    left = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    left = left.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "n", *MAP)
+    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    once = (F.col("x.root") < F.col("y.root")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block")))
+    sizes = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
+    apart = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in MAP), F.lit(0))
+    close = apart <= (1 - least) / (1 + least) * (F.col("x.n") + F.col("y.n")) + 1e-6
+    met = cut(left.alias("x").join(left.alias("y"), meet & once & sizes & close).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")))
+    return met, met.count()
+
+
 def class_members(given: DataFrame, least: float, weighted: bool, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """The documents' nodes (doc_id, print, node, size), and node, root of every node that is linked to another."""
     kind = given.schema["doc_id"].dataType.simpleString()
@@ -235,32 +267,38 @@ def class_members(given: DataFrame, least: float, weighted: bool, bands: int, ro
     links = held(verify(tested, sets, least), n_shared)
     roots = components(links)
 
-    def apart(pairs: DataFrame) -> DataFrame:
+    def apart(pairs: DataFrame, n_pairs: int) -> DataFrame:
         """Pairs not tested yet whose nodes are in different classes."""
         one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-        placed = gathered(pairs, n_shared).distinct().join(one, "a", "left").join(two, "b", "left").where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b")))
-        return held(placed.select("a", "b").join(tested, ["a", "b"], "left_anti"), n_shared)
+        placed = gathered(pairs, n_pairs).distinct().join(one, "a", "left").join(two, "b", "left").where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b")))
+        return held(placed.select("a", "b").join(tested, ["a", "b"], "left_anti"), n_pairs)
 
+    def placed_members() -> DataFrame:
+        return shared.join(roots, "node", "left").select("bucket", "node", "members", F.coalesce("root", "node").alias("root"))
+
+    # Rounds that join classes by few pairs, so that little is left for the whole comparison after them.
     turn = 0
     while True:
         if turn == 0:
-            # Then the leaders of its other buckets, where these have stayed apart from it.
-            found = apart(shared.where("node != b").select(F.col("node").alias("a"), "b"))
+            # The leaders of a node's other buckets, where these have stayed apart from it.
+            found = apart(shared.where("node != b").select(F.col("node").alias("a"), "b"), n_shared)
         else:
-            # Then the others of its buckets: all of a small one, some of each class of a larger one.
-            placed = shared.join(roots, "node", "left").select("bucket", "node", "members", F.coalesce("root", "node").alias("root"))
-            large = placed.where(F.col("members") > SMALL_BUCKET)
+            # Some of each class of a large bucket meet one of its nodes: first the one whose buckets hold most nodes, as the original of edited copies, then any.
+            large = placed_members().where(F.col("members") > SMALL_BUCKET)
             orders = [F.xxhash64("node", F.lit(REPRESENTATIVES * turn + k)) for k in range(REPRESENTATIVES)]
-            chosen = held(large.groupBy("bucket", "root").agg(F.array_distinct(F.array(*[F.min_by("node", o) for o in orders])).alias("some")), n_shared)
-            heads = chosen.groupBy("bucket").agg(F.min(F.array_min("some")).alias("b"), F.count("*").alias("classes")).where("classes > 1")
-            pairs = chosen.join(heads, "bucket").select(F.explode("some").alias("a"), "b").where("a != b")
+            some = [F.min_by("node", o) for o in orders]
             if turn == 1:
-                few = placed.where(F.col("members") <= SMALL_BUCKET)
-                mixed = few.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-                few = held(few.join(mixed, "bucket", "left_semi"), n_shared)
-                pairs = pairs.union(few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")))
-                                    .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")))
-            found = apart(pairs)
+                large = large.join(shared.groupBy("node").agg(F.sum("members").alias("reach")), "node")
+                widest = F.struct("reach", "node")
+                chosen = large.groupBy("bucket", "root").agg(F.array_distinct(F.array(F.max_by("node", widest), *some)).alias("some"), F.max(widest).alias("widest"))
+                head = F.max("widest")["node"]
+            else:
+                chosen = large.groupBy("bucket", "root").agg(F.array_distinct(F.array(*some)).alias("some"))
+                head = F.min(F.array_min("some"))
+            chosen = held(chosen, n_shared)
+            heads = chosen.groupBy("bucket").agg(head.alias("b"), F.count("*").alias("classes")).where("classes > 1")
+            pairs = chosen.join(heads, "bucket").select(F.explode("some").alias("a"), "b").where("a != b")
+            found = apart(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), n_shared)
         more = held(verify(found, sets, least), n_shared)
         tested = held(tested.union(found), n_shared)
         if not more.isEmpty():
@@ -269,6 +307,12 @@ def class_members(given: DataFrame, least: float, weighted: bool, bands: int, ro
         elif turn:
             break
         turn += 1
+    # Every pair of a bucket whose nodes are in different classes is now compared. Classes only grow, so no pair turns up after this.
+    pairs, n_pairs = across(placed_members(), sets, least)
+    if n_pairs:
+        more = held(verify(apart(pairs, n_pairs), sets, least), n_pairs)
+        if not more.isEmpty():
+            roots = components(links.union(more))
     return signed.select("doc_id", "print", "node", "size"), roots
 
 
@@ -277,8 +321,8 @@ def mark_near_copies(docs: DataFrame, least: float = 0.8, weighted: bool = False
 
     Texts are sets of five-word shingles, or bags of them when `weighted`; two are linked if the (weighted) Jaccard similarity is `least` or more. Texts
     with one set are one node from the start, so a group of copies costs one node. Each bucket of a band links its members to its smallest
-    node, pairs are verified on the whole sets, links make classes, and members of a bucket that are still apart are compared
-    again until no new link turns up. No bucket is capped and no group expanded into all its pairs. At 0.8 a pair shares no band with probability 1.5e-5.
+    node, pairs are verified on the whole sets, links make classes, and rounds of few pairs join classes until no new link turns up. Then every pair
+    of a bucket that is in two classes is compared, whatever the bucket's size; pairs within a class never are. At 0.8 a pair shares no band with probability 1.5e-5.
 
     Null, empty and wordless texts form one class of their own. The row with the smallest doc_id (null last) stays; of rows that repeat it, one.
     An empty table gives an empty result; other columns are not read.
