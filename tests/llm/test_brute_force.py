@@ -219,6 +219,19 @@ def test_pages(html):
     assert html_text.main_text(html) == "\n\n".join(PARAGRAPHS)
 
 
+@pytest.mark.parametrize("wrapper", ['class="row no-sidebar"', 'id="page" class="has-sidebar"', 'class="with-comments"', 'id="share-legal"', 'id="social"', 'class="search-page"'])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrappers_named_like_side_parts(wrapper, tag):
+    html = f'<body><nav>a b</nav><div {wrapper}><{tag}>{ARTICLE}</{tag}><div class="sidebar"><p>Side text.</p></div></div><div class="footer">Foot.</div></body>'
+    assert html_text.main_text(html) == "\n\n".join(PARAGRAPHS)
+
+
+def test_articles_among_comments_stay_aside():
+    comments = f'<div id="comments"><article class="comment-body">{ARTICLE}{ARTICLE}</article></div>'
+    assert html_text.main_text(f"<body><main>{ARTICLE}</main>{comments}</body>") == "\n\n".join(PARAGRAPHS)
+    assert html_text.main_text(f'<body><div class="entry">{ARTICLE}</div>{comments}</body>') == "\n\n".join(PARAGRAPHS)
+
+
 def test_blocks_and_references():
     html = "<nav>x, y. z</nav><article><h1>A&amp;B &lt;x&gt;</h1><p><b>line one,<br>line  two.<p>three, &eacute;. four</article>"
     assert html_text.main_text(html) == "A&B <x>\n\nline one, line two.\n\nthree, é. four"

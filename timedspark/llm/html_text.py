@@ -18,7 +18,7 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
           "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 NEVER = {"aside", "audio", "button", "canvas", "datalist", "dialog", "embed", "footer", "form", "head", "iframe", "input", "menu", "nav", "noscript", "object", "option", "script", "search", "select",
          "style", "svg", "template", "textarea", "title", "video"}
-#: What an element's class, id or role says of it, as whole words.
+#: What an element's class, id or role says of it, as a whole token or a part of one.
 SIDE = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
            "signup login sidebar widget widgets related recommended recommendations share sharing social menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc footer masthead "
            "comment comments commentlist respond replies reply disqus discussion copyright legal disclaimer search complementary contentinfo skip".split())
@@ -26,6 +26,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 HOLDERS = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "select", "article", "section", "div", "main"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 WORDS = re.compile(r"[a-z]+")
+#: Words in a class token that say of a wrapper what it has beside the text, as in `has-sidebar`.
+ABOUT = {"has", "have", "having", "no", "not", "with", "without", "hide", "show"}
 
 
 class Nodes(HTMLParser):
@@ -37,6 +39,21 @@ class Nodes(HTMLParser):
         self.tags: list[str] = []
         self.nodes: list[tuple[str, tuple[int, ...], int, str, bool]] = []
         self.block = 0
+        self.named: dict[int, bool] = {}
+        self.doubtful: set[int] = set()
+
+    def is_named(self, tag: str, attributes: list[tuple[str, str | None]]) -> bool | None:
+        """Whether class, id or role name the element as a side part: by a whole token (True) or by a part of one (False); None if they do not."""
+        found = None
+        for name, value in attributes:
+            if name in ("class", "id", "role"):
+                for token in (value or "").lower().split():
+                    words = set(WORDS.findall(token))
+                    if token in SIDE:
+                        return True
+                    if SIDE & words and not ABOUT & words:
+                        found = False
+        return found
 
     def is_aside(self, tag: str, attributes: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER:
@@ -46,8 +63,6 @@ class Nodes(HTMLParser):
         if tag in ("html", "body", "article", "main"):
             return False
         for name, value in attributes:
-            if name in ("class", "id", "role") and SIDE & set(WORDS.findall((value or "").lower())):
-                return True
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in (value or "").replace(" ", "").lower():
                 return True
         return False
@@ -72,6 +87,11 @@ class Nodes(HTMLParser):
         if tag in VOID:
             return
         aside = bool(self.open and self.open[-1][2]) or self.is_aside(tag, attrs)
+        if tag not in ("html", "body") and (named := self.is_named(tag, attrs)) is not None:
+            if tag in ("article", "main"):
+                self.doubtful.add(len(self.tags))
+            else:
+                self.named[len(self.tags)] = named
         self.open.append((tag, len(self.tags), aside))
         self.tags.append(tag)
 
@@ -110,12 +130,43 @@ def path_scores(nodes: list[tuple[str, tuple[int, ...], int, str, bool]], radius
     return np.where(shown, smooth(by_length) * smooth(by_marks), 0.0)
 
 
+def set_aside(parser: Nodes, nodes: list[tuple[str, tuple[int, ...], int, str, bool]]) -> list[tuple[str, tuple[int, ...], int, str, bool]]:
+    """The nodes, aside also where an element is named as a side part, unless the page's text is in it.
+
+    An article or main element outside any of these holds the text, whatever the names. If there is none, an element stays that holds an
+    article or main without such a name, or text that the path scores choose: most of it, or all of it where a whole token names the element.
+    """
+    named = parser.named
+    if not named:
+        return nodes
+    marks = {e for n in nodes for e in n[1] if not n[4] and parser.tags[e] in ("article", "main") and e not in parser.doubtful}
+    free = any(e in marks for n in nodes if not n[4] and not any(e in named for e in n[1]) for e in n[1])
+    kept: set[int] = set()
+    if not free:
+        scores = path_scores(nodes)
+        chosen = scores > min(scores.std(), scores.max() * 0.999)
+        holds: dict[int, int] = defaultdict(int)
+        total = 0
+        for (_, chain, _, text, _), taken in zip(nodes, chosen):
+            if taken:
+                total += len(text)
+                for e in chain:
+                    holds[e] += len(text)
+            for k, e in enumerate(chain):
+                if e in named and marks.intersection(chain[k + 1:]):
+                    kept.add(e)
+        if not kept:
+            kept = {e for e, whole in named.items() if total and (holds[e] == total if whole else 2 * holds[e] > total)}
+    left = named.keys() - kept
+    return [(path, chain, block, text, aside or not left.isdisjoint(chain)) for path, chain, block, text, aside in nodes]
+
+
 def main_text(html: str | None, share: float = 0.9, marked: float = 0.6) -> str:
     """Text of the page's article: blocks in page order, two line ends between them.
 
     Text nodes whose fused path score exceeds the standard deviation of all scores are content. The innermost element that
     holds `share` of their text, or an article or main element with `marked` of it, is the article, with all of its blocks that are not set aside by
-    their element or its class. Where no node passes, an article or main element is taken, else the whole page.
+    their element or its name. Where no node passes, an article or main element is taken, else the whole page.
     """
     parser = Nodes()
     try:
@@ -123,7 +174,7 @@ def main_text(html: str | None, share: float = 0.9, marked: float = 0.6) -> str:
         parser.close()
     except AssertionError:  # the parser gives up on some broken declarations; what came before stays
         pass
-    nodes = [n for n in parser.nodes if n[3]]
+    nodes = set_aside(parser, [n for n in parser.nodes if n[3]])
     if not nodes:
         return ""
     scores = path_scores(nodes)
