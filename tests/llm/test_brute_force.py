@@ -232,6 +232,11 @@ def test_articles_among_comments_stay_aside():
     assert html_text.main_text(f'<body><div class="entry">{ARTICLE}</div>{comments}</body>') == "\n\n".join(PARAGRAPHS)
 
 
+@pytest.mark.parametrize("broken", ["<![foo[ x>", "<![ 5 ]>", "<![endif-->", "<![>", "<![if !IE]>", "<![CDATA[a > b]]>", "<![CDATA[ x>", "<!foo [ x>"])
+def test_text_after_broken_declarations(broken):
+    assert html_text.main_text(f"<body><article><p>One, two. Three.</p>{broken}<p>Four, five. Six.</p></article></body>") == "One, two. Three.\n\nFour, five. Six."
+
+
 def test_blocks_and_references():
     html = "<nav>x, y. z</nav><article><h1>A&amp;B &lt;x&gt;</h1><p><b>line one,<br>line  two.<p>three, &eacute;. four</article>"
     assert html_text.main_text(html) == "A&B <x>\n\nline one, line two.\n\nthree, é. four"

@@ -26,6 +26,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 HOLDERS = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "select", "article", "section", "div", "main"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 WORDS = re.compile(r"[a-z]+")
+MARKED = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata)\s*\[", re.IGNORECASE)
 #: Words in a class token that say of a wrapper what it has beside the text, as in `has-sidebar`.
 ABOUT = {"has", "have", "having", "no", "not", "with", "without", "hide", "show"}
 
@@ -103,6 +104,12 @@ class Nodes(HTMLParser):
             self.block += 1
         self.leave(tag, set() if tag in BLOCKS else BLOCKS)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Only CDATA and its like end at ]]>; any other <![ is a bogus comment up to the next >, as in browsers."""
+        if MARKED.match(self.rawdata, i) and self.rawdata.find("]]>", i) >= 0:
+            return super().parse_marked_section(i, report)
+        return self.rawdata.find(">", i) + 1 or -1
+
     def handle_data(self, data: str) -> None:
         self.text(data)
 
@@ -169,11 +176,8 @@ def main_text(html: str | None, share: float = 0.9, marked: float = 0.6) -> str:
     their element or its name. Where no node passes, an article or main element is taken, else the whole page.
     """
     parser = Nodes()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except AssertionError:  # the parser gives up on some broken declarations; what came before stays
-        pass
+    parser.feed(html or "")
+    parser.close()
     nodes = set_aside(parser, [n for n in parser.nodes if n[3]])
     if not nodes:
         return ""
