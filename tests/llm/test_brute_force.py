@@ -237,6 +237,17 @@ def test_text_after_broken_declarations(broken):
     assert html_text.main_text(f"<body><article><p>One, two. Three.</p>{broken}<p>Four, five. Six.</p></article></body>") == "One, two. Three.\n\nFour, five. Six."
 
 
+def test_all_chosen_text_is_kept():
+    long = "".join(f"<p>{p}</p>" for p in PARAGRAPHS * 12)
+    lead = "The lead, which says it all, and more. It is read first, of course, by everyone here."
+    want = "\n\n".join(["Title", lead, *PARAGRAPHS * 12])
+    assert html_text.main_text(f"<body><nav>a b</nav><div><h1>Title</h1><p>{lead}</p><div class=entry>{long}</div></div><footer>f</footer></body>") == want
+    for around in ("main", "div"):
+        parts = f"<article>{ARTICLE}{ARTICLE}</article><article>{ARTICLE}</article>"
+        assert html_text.main_text(f"<body><{around}>{parts}</{around}><div>Unnamed, after it. So.</div></body>") == "\n\n".join(PARAGRAPHS * 3)
+    assert html_text.main_text(f"<body><div><p>{lead}</p><article>{ARTICLE}</article></div></body>") == "\n\n".join([lead, *PARAGRAPHS])
+
+
 def test_blocks_and_references():
     html = "<nav>x, y. z</nav><article><h1>A&amp;B &lt;x&gt;</h1><p><b>line one,<br>line  two.<p>three, &eacute;. four</article>"
     assert html_text.main_text(html) == "A&B <x>\n\nline one, line two.\n\nthree, é. four"

@@ -24,6 +24,8 @@ SIDE = set("ad ads advert adverts advertisement advertising sponsor sponsored pr
            "comment comments commentlist respond replies reply disqus discussion copyright legal disclaimer search complementary contentinfo skip".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "select", "article", "section", "div", "main"}
+#: Parts of an article, never the whole.
+INLINE = {"p", "li", "td", "b", "i", "em", "strong", "span", "a", "blockquote", "pre", "h1", "h2", "h3"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 WORDS = re.compile(r"[a-z]+")
 MARKED = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata)\s*\[", re.IGNORECASE)
@@ -168,12 +170,13 @@ def set_aside(parser: Nodes, nodes: list[tuple[str, tuple[int, ...], int, str, b
     return [(path, chain, block, text, aside or not left.isdisjoint(chain)) for path, chain, block, text, aside in nodes]
 
 
-def main_text(html: str | None, share: float = 0.9, marked: float = 0.6) -> str:
+def main_text(html: str | None, marked: float = 0.6) -> str:
     """Text of the page's article: blocks in page order, two line ends between them.
 
-    Text nodes whose fused path score exceeds the standard deviation of all scores are content. The innermost element that
-    holds `share` of their text, or an article or main element with `marked` of it, is the article, with all of its blocks that are not set aside by
-    their element or its name. Where no node passes, an article or main element is taken, else the whole page.
+    Text nodes whose fused path score exceeds the standard deviation of all scores are content. The smallest element that holds all of
+    them is the article, with all of its blocks that are not set aside by their element or its name. Where article and main elements hold `marked` of the
+    content, what comes after the last of them is not the article's, such as comments without a name. Where no node passes, an
+    article or main element is taken, else the whole page.
     """
     parser = Nodes()
     parser.feed(html or "")
@@ -182,23 +185,19 @@ def main_text(html: str | None, share: float = 0.9, marked: float = 0.6) -> str:
     if not nodes:
         return ""
     scores = path_scores(nodes)
-    chosen = scores > min(scores.std(), scores.max() * 0.999)
-    inside: dict[int, int] = defaultdict(int)
-    total = 0
-    for node, taken in zip(nodes, chosen):
-        if taken:
-            n = len(node[3])
-            total += n
-            for element in node[1]:
-                inside[element] += n
-    root = next((e for e in range(len(parser.tags)) if parser.tags[e] in ("article", "main")), None)
-    if total:
-        holding = [e for e, n in inside.items() if n >= share * total and parser.tags[e] not in ("p", "li", "td", "b", "i", "em", "strong", "span", "a", "blockquote", "pre", "h1", "h2", "h3")]
-        root = max(holding, default=None)
-        wider = [e for e, n in inside.items() if n >= marked * total and parser.tags[e] in ("article", "main")]
-        root = max(wider) if wider else root
+    chosen = np.flatnonzero(scores > min(scores.std(), scores.max() * 0.999)).tolist()
+    articles = {e for e, tag in enumerate(parser.tags) if tag in ("article", "main")}
+    root, end = min(articles, default=None), len(nodes)
+    if chosen:
+        within = [k for k in chosen if not articles.isdisjoint(nodes[k][1])]
+        if within and sum(len(nodes[k][3]) for k in within) >= marked * sum(len(nodes[k][3]) for k in chosen):
+            holding = articles.intersection(e for k in within for e in nodes[k][1])
+            end = 1 + max(k for k, n in enumerate(nodes) if not holding.isdisjoint(n[1]))
+            chosen = [k for k in chosen if k < end]
+        shared = set.intersection(*(set(nodes[k][1]) for k in chosen))
+        root = max((e for e in shared if parser.tags[e] not in INLINE), default=None)
     blocks: dict[int, list[str]] = {}
-    for _, chain, block, text, aside in nodes:
+    for _, chain, block, text, aside in nodes[:end]:
         if not aside and (root is None or root in chain):
             blocks.setdefault(block, []).append(text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
