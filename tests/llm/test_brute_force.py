@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from timedspark.llm import decontaminate, exact_dedup, html_text, licences, mixing, near_dedup, sharding, token_counts, toxicity
@@ -286,6 +287,23 @@ def test_toxicity_holds_out_and_tolerates_disguise(spark):
     assert near == ["i.d-iot", "idiot"] and far == ["the"]
 
 
+def test_toxic_words_count_as_often_as_they_come():
+    class Known(toxicity.Memory):
+        def __init__(self, model):
+            self.known = dict.fromkeys([*(f"bad{k}" for k in range(40)), "idiot"], 0.5) | dict.fromkeys(["fine", *"idot"], -0.5)
+
+        def of(self, sets):
+            return self.known
+
+    def mass(*texts):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(toxicity, "Memory", Known)
+            batch = pa.RecordBatch.from_pydict({"text": list(texts)})
+            return np.expm1(next(toxicity._measures(None)(iter([batch]))).column(toxicity.MEASURES[1]).to_pylist())
+    kinds = lambda n: " ".join(f"bad{k}" for k in range(n) for _ in range(50)) + " fine"
+    assert np.allclose(mass(kinds(10), kinds(19), kinds(20), kinds(40), "i d i o t idiot", "fine", ""), [250, 475, 500, 1000, 1, 0, 0])
+
+
 def test_contracted_columns(spark):
     want = {"op1": "doc_id size text_crc32 law shard slot grown_shard", "op3": "doc_id keep_id group_size kept text_sha256", "op5": "page_id url text n_chars",
             "op4": "doc_id n_words n_base first_word last_word base_labels labels score", "op9": "page_id payload_bytes payload_digest record_type refers_to"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,10 +49,10 @@ def _symbol(code: int) -> int:
 _ASCII = np.array([_symbol(c) for c in range(128)], np.uint8)
 
 
-def tokens_of(text: str) -> set[str]:
-    """Distinct lower-case words of a text, and words whose letters stand apart (`i d i o t`) put together."""
+def tokens_of(text: str) -> Counter[str]:
+    """Lower-case words of a text, and words whose letters stand apart (`i d i o t`) put together, and how often they come."""
     low = text.lower()
-    words = set(low.split())
+    words = Counter(low.split())
     words.update("".join(m[0].split()) for m in APART.finditer(low))
     return words
 
@@ -246,7 +247,7 @@ class Memory:
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
 
-    def of(self, sets: list[set[str]]) -> dict[str, float]:
+    def of(self, sets: list[set[str]] | list[Counter[str]]) -> dict[str, float]:
         new = list(set().union(*sets) - self.known.keys())
         if len(self.known) + len(new) > CACHE:
             self.known, new = {}, list(set().union(*sets))
@@ -254,15 +255,16 @@ class Memory:
         return self.known
 
 
-def measure(text: str | None, words: set[str], margins: dict[str, float]) -> tuple[float, float, float]:
+def measure(words: Counter[str], margins: dict[str, float]) -> tuple[float, float, float]:
     """Worst margin, logarithm of the number of words on the toxic side (counted as often as they come), logarithm of the different words."""
     if not words:
         return -10.0, 0.0, 0.0
-    values = list(map(margins.__getitem__, words))
-    worst, mass = max(values), 0.0
-    if worst > 0:
-        side = {w: min(1.0, v) for w, v in zip(words, values) if v > 0}
-        mass = sum(max(text.lower().count(w), 1) * v for w, v in side.items()) if len(side) < 20 else sum(side.values())
+    worst, mass = -np.inf, 0.0
+    for word, count in words.items():
+        margin = margins[word]
+        worst = max(worst, margin)
+        if margin > 0:
+            mass += count * min(1.0, margin)
     return worst, float(np.log1p(mass)), float(np.log1p(len(words)))
 
 
@@ -274,9 +276,9 @@ def _measures(model: Model):
             texts = batch.column("text")
             for at in range(0, batch.num_rows, 256):
                 some = texts[at:at + 256].to_pylist()
-                sets = [tokens_of(t) if t else set() for t in some]
-                margins = memory.of(sets)
-                out += [measure(t, s, margins) for t, s in zip(some, sets)]
+                counted = [tokens_of(t or "") for t in some]
+                margins = memory.of(counted)
+                out += [measure(c, margins) for c in counted]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([r[k] for r in out], pa.float64()) for k in range(3)]], [*batch.schema.names, *MEASURES])
     return run
 
