@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedspark.llm import decontaminate, exact_dedup, html_text, licences, mixing, near_dedup, oracle, sharding, token_counts, toxicity, warc
+from timedspark.llm import block_search, decontaminate, exact_dedup, hard_negatives, html_text, licences, mixing, near_dedup, oracle, prefix_trie, sharding, token_counts, toxicity, warc
 from timedspark.llm.common import table
 
 #: Target weights of the sources; the others have `OTHER_WEIGHT`.
@@ -69,6 +69,20 @@ def op10_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.with_token_counts(table(spark, sf, "documents"), vocabulary))
 
 
+def op11_radix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
+
+
+def op12_vertical_scan(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = table(spark, sf, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine_hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_block_search(spark: SparkSession, sf: str) -> DataFrame:
+    return block_search.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sampled_splitters": op1_sampled_splitters,
     "op2_poisson_mixing": op2_poisson_mixing,
@@ -80,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dart_minhash": op8_dart_minhash,
     "op9_chunked_records": op9_chunked_records,
     "op10_length_histogram": op10_length_histogram,
+    "op11_radix_trie": op11_radix_trie,
+    "op12_vertical_scan": op12_vertical_scan,
+    "op13_block_search": op13_block_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -87,4 +104,7 @@ ORACLE: dict[str, str] = {
     "op3_quotient_filters": oracle.QUOTIENT_FILTERS,
     "op6_positional_index": oracle.POSITIONAL_INDEX,
     "op9_chunked_records": oracle.CHUNKED_RECORDS,
+    "op11_radix_trie": oracle.PREFIX_TRIE,
+    "op12_vertical_scan": oracle.HARD_NEGATIVES,
+    "op13_block_search": oracle.BLOCK_SEARCH,
 }
