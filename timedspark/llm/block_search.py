@@ -76,7 +76,7 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, asked: Column, k: int = 5) -> DataFrame:
+def top_k(vectors: DataFrame, asked: Column | str, k: int = 5) -> DataFrame:
     """The k rows with the highest integer inner product for each row where `asked` holds: query_id, rank, vec_id, score.
 
     Components are floor(256 * x). Rows and queries meet in cells of bounded size. A cell orders its rows by the signs of

@@ -145,7 +145,7 @@ def _negatives(k: int, low: int, top: int):
     return run
 
 
-def mine_hard_negatives(vectors: DataFrame, asked: Column, positives: int = 5, negatives: int = 3, low: int = 50, top: int = 95) -> DataFrame:
+def mine_hard_negatives(vectors: DataFrame, asked: Column | str, positives: int = 5, negatives: int = 3, low: int = 50, top: int = 95) -> DataFrame:
     """Negatives that score nearly as high as a positive: anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     Anchors are the rows where `asked` holds. An anchor's positives are its best `positives` other rows of the same label
