@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timedspark.llm.common import cut
 from timedspark.llm.vectors import best_first, in_cells, integer_vectors, keep_best, matrices
 
 #: Dimensions read between two looks at the candidates.
@@ -167,7 +168,7 @@ def mine_hard_negatives(vectors: DataFrame, asked: Column | str, positives: int
     near = keep_best(in_cells(rows, anchors, _positives(positives), POSITIVES), positives, ["anchor"], order)
     listed = near.groupBy(F.col("anchor").alias("row")).agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("positives"))
     kind = listed.schema["positives"].dataType
-    windowed = anchors.join(listed, "row")
+    windowed = cut(anchors.join(listed, "row"))
     found = in_cells(rows.withColumn("positives", F.lit(None).cast(kind)), windowed, _negatives(negatives, low, top), NEGATIVES)
     best = keep_best(found, negatives, ["anchor", "positive"], order)
     return best.select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
