@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,25 @@ from timedspark.operators.stage import shared_folder, stage
 from timedspark.operators.store import last_rows
 
 
+#: Typed state and timers need a state store with column families.
+KEYED_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Streams on the machine's clock would go on with empty batches for ever.
+NO_EMPTY_BATCHES = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the streams started inside; a stream keeps what it was started with."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
@@ -102,3 +122,30 @@ def run_appends(feed: Feed, stream: DataFrame, name: str) -> DataFrame:
     feed.run(stream.writeStream.outputMode("append").format("parquet").option("path", target)
              .option("checkpointLocation", target + "-state"))
     return spark.read.schema(stream.schema).parquet(target)
+
+
+def run_carried(feed: Feed, stream: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], opened: str, name: str) -> DataFrame:
+    """Rows that are final after each batch, where what is still open is carried to the next batch as a table.
+
+    `step(batch, carried)` gives (final rows, rows to carry); `opened` is the schema of the carried rows. Both are
+    written under the number of the batch and the carried ones are read from the one before, so a batch that runs again gives the same.
+    """
+    spark, target = stream.sparkSession, new_folder(stream.sparkSession, name)
+    kind: list[StructType] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        carried = session.read.schema(opened).parquet(f"{target}-open/batch={number - 1}") if number else session.createDataFrame([], opened)
+        final, rest = step(batch, carried)
+        kind[:] = [final.schema]
+        final.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rest.write.mode("overwrite").parquet(f"{target}-open/batch={number}")
+
+    feed.run(stream.writeStream.foreachBatch(write).option("checkpointLocation", target + "-state"))
+    return spark.read.schema(kind[0]).option("basePath", target).parquet(target + "/batch=*").drop("batch")
+
+
+def run_keyed(feed: Feed, stream: DataFrame, name: str, clock: bool = False) -> DataFrame:
+    """`run_appends` for streams of `streaming.keyed`; `clock` for those whose state lives by the machine's time."""
+    with settings(stream.sparkSession, KEYED_STORE | (NO_EMPTY_BATCHES if clock else {})):
+        return run_appends(feed, stream, name)

@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timedspark.operators.scan import TIMES, islands, peak
+from timedspark.operators.stage import stage
+
+OPEN_SESSION = "media_id BIGINT, start_ms BIGINT, end_ms BIGINT, n_words BIGINT"
+
 
 def rate_limits(requests: DataFrame, limit: int, keep: str = "60 minutes") -> DataFrame:
     """Requests per key and minute, flagged when over the limit."""
@@ -54,3 +59,20 @@ def job_progress(events: DataFrame) -> DataFrame:
     `events`: (job_id, place, selected, with); `with` orders the events of a job that give `selected` and is null for others.
     """
     return events.groupBy("job_id").agg(F.max("place").alias("place"), F.max_by("selected", "with").alias("selected"), F.max("with").alias("with"))
+
+
+def word_sessions(batch: DataFrame, carried: DataFrame, gap_ms: int = 700) -> tuple[DataFrame, DataFrame]:
+    """Sessions of words split by pauses of media time longer than `gap_ms`: (those that ended, those still open).
+
+    `batch`: (media_id, start_ms, end_ms, ended), words of a recording in order over the batches; a row with `ended`
+    closes the recording. `carried`: at most one open session a recording, which counts as one long word. The scan
+    cuts a recording into blocks of media time, so its words never meet in one task.
+    """
+    columns = ["media_id", "start_ms", "end_ms", "n_words"]
+    words = batch.filter("NOT ended").withColumn("n_words", F.lit(1).cast("bigint")).select(columns).unionByName(carried.select(columns))
+    marked = islands(words, TIMES, {"__end": peak(F.col("end_ms"))}, F.col("start_ms") - F.col("__end") > gap_ms, name="session")
+    sessions = marked.groupBy("media_id", "session").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n_words").alias("n_words"))
+    newest = marked.groupBy("media_id").agg(F.max("session").alias("newest"))
+    ended = batch.filter("ended").select("media_id").distinct().withColumn("over", F.lit(True))
+    found = stage(sessions.join(newest, "media_id").join(ended, "media_id", "left").withColumn("open", F.col("over").isNull() & (F.col("session") == F.col("newest"))))
+    return found.filter("NOT open").select(columns), found.filter("open").select(columns)
