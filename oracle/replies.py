@@ -137,6 +137,10 @@ WITH r AS (SELECT o_orderpriority AS model, year(o_orderdate)::INTEGER AS year,
 SELECT model, year, GROUPING_ID(model, year)::INTEGER AS level, count(*) AS requests, sum(cost)::BIGINT AS cost_usd, sum(sec)::BIGINT AS seconds,
        round(sum(cost)::BIGINT / sum(sec)::BIGINT * 3600, 4) AS cost_per_hour, min(el) AS fastest, max(el) AS slowest
 FROM r GROUP BY GROUPING SETS ((model, year), (model), ())""")
+oracle("stored_receipts", """
+WITH r AS (SELECT o_orderpriority AS model, year(o_orderdate)::INTEGER AS year, round(o_totalprice * 100)::BIGINT AS cost, o_custkey AS sec, o_orderkey % 9973 AS el FROM orders)
+SELECT model, year, GROUPING_ID(model, year)::INTEGER AS level, count(*) AS requests, sum(cost)::BIGINT AS cost_usd, sum(sec)::BIGINT AS seconds, min(el) AS fastest, max(el) AS slowest
+FROM r GROUP BY GROUPING SETS ((model, year), (model), ())""")
 oracle("judge_agreement", """
 SELECT dimension, round(c, 6) AS correlation, c > 0.7 AS agrees FROM (
   SELECT 'quality' AS dimension, corr(quality + doc_id % 3, quality * 2) AS c FROM labels

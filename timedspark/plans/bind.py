@@ -33,14 +33,14 @@ def turns_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Bound word tables of the running query; every query starts with none.
-SHARED: dict[str, DataFrame] = {}
+SHARED: dict[tuple[SparkSession, str], DataFrame] = {}
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """media_id, turn, pos, seq, role, start_ms, end_ms, text; written once per query."""
-    if sf not in SHARED:
-        SHARED[sf] = stage(_timed_words(spark, sf))
-    return SHARED[sf]
+    if (spark, sf) not in SHARED:
+        SHARED[spark, sf] = stage(_timed_words(spark, sf))
+    return SHARED[spark, sf]
 
 
 def _timed_words(spark: SparkSession, sf: str) -> DataFrame:

@@ -278,6 +278,23 @@ def usage_report(spark, sf):
     return r.withColumn("cost_per_hour", F.round("cost_per_hour", 4)).withColumnRenamed("day", "year")
 
 
+@query("stored_receipts")
+def stored_receipts(spark, sf):
+    """Receipts of two halves of the orders, appended as JSON lines one after the other, read back and rolled up."""
+    from timedspark.sources import manifests as M
+    from timedspark.streaming.run import new_folder
+    o = bind.table(spark, sf, "orders")
+    path, usage = new_folder(spark, "receipts"), F.create_map(F.lit("seconds"), F.col("o_custkey").cast("string"))
+    receipts = o.select("o_orderkey", F.col("o_orderpriority").alias("model"), F.col("o_custkey").cast("double").alias("seconds"), F.col("o_totalprice").cast("decimal(18,8)").alias("cost_usd"),
+                        usage.alias("usage"), F.col("o_orderkey").cast("string").alias("generation_id"), (F.col("o_orderkey") % 9_973).cast("double").alias("elapsed_seconds"),
+                        F.col("o_orderdate").cast("timestamp").alias("received_at"))
+    for half in (0, 1):
+        M.append_receipts(receipts.filter(F.col("o_orderkey") % 2 == half).drop("o_orderkey"), path)
+    report = A.usage_report(M.read_receipts(spark, path).withColumn("day", F.year("received_at")))
+    whole = lambda c, times=1: F.round(F.col(c) * times).cast(BIG).alias(c)
+    return report.select("model", F.col("day").alias("year"), "level", "requests", whole("cost_usd", 100), whole("seconds"), whole("fastest"), whole("slowest"))
+
+
 @query("judge_agreement")
 def judge_agreement(spark, sf):
     lab = bind.table(spark, sf, "labels")

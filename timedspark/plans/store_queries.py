@@ -22,7 +22,7 @@ def users(spark, sf):
     c = bind.table(spark, sf, "customer")
     members = c.filter("c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("group"))
-    groups = c.select("c_mktsegment").distinct().unionByName(spark.createDataFrame([("free",)], "c_mktsegment string")).select(
+    groups = c.select("c_mktsegment").distinct().unionByName(spark.range(1).select(F.lit("free").alias("c_mktsegment"))).select(
         F.col("c_mktsegment").alias("group"),
         F.when(F.col("c_mktsegment") == "BUILDING", None).when(F.col("c_mktsegment") == "free", 1).otherwise(2).cast("int").alias("monthly_videos"),
         F.when(F.col("c_mktsegment") == "MACHINERY", None).when(F.col("c_mktsegment") == "free", 30).otherwise(400).cast("int").alias("retention_days"),
@@ -94,6 +94,21 @@ def upsert_users(spark, sf):
     return D.upsert(c, e, ["user_id"], "at")
 
 
+@query("merge_users")
+def merge_users(spark, sf):
+    """Events of three thirds of the time merged one after the other into a stored table of customers."""
+    from timedspark.operators import merge as G
+    from timedspark.streaming.run import new_folder
+    c = bind.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.lit(0).cast(BIG).alias("at"))
+    e = bind.table(spark, sf, "events")
+    third = F.floor(F.col("event_id") * 3 / (e.agg(F.max("event_id").alias("n")).first()["n"] + 1))
+    changes = e.select((F.col("user_id") * 3).alias("user_id"), F.col("event_type").alias("name"), F.col("event_id").alias("at"), third.alias("third"))
+    path = new_folder(spark, "users")
+    for batch, rows in enumerate([c, *[changes.filter(F.col("third") == k).drop("third") for k in range(3)]]):
+        G.merge_stored(path, rows, ["user_id"], "at", 32, batch)
+    return G.read_stored(spark, path, c.schema).drop(G.BUCKET)
+
+
 @query("insert_ignore")
 def insert_ignore(spark, sf):
     held = reels(spark, sf).filter("line <= 2").select("job_id").distinct()

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from timedspark.operators.merge import BUCKET, merge_stored, read_stored
 from timedspark.operators.stage import shared_folder, stage
-from timedspark.operators.store import last_rows
 
 
 #: Typed state and timers need a state store with column families.
@@ -82,21 +82,19 @@ class Feed:
             self.push()
 
 
-def run_upserts(feed: Feed, stream: DataFrame, keys: list[str], name: str, mode: str = "update") -> DataFrame:
-    """Changed rows of every batch go to their own folder; the table is the last row per key.
+def run_upserts(feed: Feed, stream: DataFrame, keys: list[str], name: str, mode: str = "update", buckets: int = 16) -> DataFrame:
+    """Changed rows of every batch are merged into a stored table, of which only the touched buckets are rewritten.
 
-    A batch that runs again overwrites its own folder, so replays change nothing.
+    A batch that runs again merges the same rows again, so replays change nothing.
     """
     spark = stream.sparkSession
-    target = new_folder(spark, name)
+    target, schema = new_folder(spark, name), StructType(stream.schema.fields)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        merge_stored(target, batch, keys, None, buckets, number)
 
     feed.run(stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", target + "-state"))
-    written = spark.read.schema(StructType(stream.schema.fields)).option("basePath", target).parquet(target + "/batch=*")
-    rows = written.withColumn("__batch", F.regexp_extract(F.input_file_name(), r"batch=(\d+)", 1).cast("bigint"))
-    return last_rows(rows.select(*stream.columns, "__batch"), keys, "__batch").drop("__batch")
+    return read_stored(spark, target, schema).drop(BUCKET)
 
 
 def run_batches(feed: Feed, stream: DataFrame, summary: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
