@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -16,68 +17,96 @@ from pyspark.sql import functions as F
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
           "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-NEVER = {"aside", "audio", "button", "canvas", "datalist", "dialog", "embed", "footer", "form", "head", "iframe", "input", "menu", "nav", "noscript", "object", "option", "script", "search", "select",
-         "style", "svg", "template", "textarea", "title", "video"}
+NEVER = {"audio", "button", "canvas", "datalist", "embed", "head", "iframe", "input", "object", "option", "script", "select", "style", "svg", "template", "textarea", "title", "video"}
+#: Elements that hold side parts, unless the page's text turns out to be in them; `header` too, outside an article.
+SELDOM = {"aside", "dialog", "footer", "form", "header", "menu", "nav", "noscript", "search"}
 #: What an element's class, id or role says of it, as a whole token or a part of one.
 SIDE = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
            "signup login sidebar widget widgets related recommended recommendations share sharing social menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc footer masthead "
            "comment comments commentlist respond replies reply disqus discussion copyright legal disclaimer search complementary contentinfo skip".split())
+#: Words of SIDE that also occur in names of parts of an article, as in `recommended-dose`; inside an article they count only as whole tokens or where the path scores agree.
+WEAK = set("ad ads alert banner complementary copyright disclaimer discussion legal login masthead modal notice notices overlay popup promo promotion recommendations recommended related search share sharing skip "
+           "social sponsor sponsored subscription toc widget".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LISTS = {"ul", "ol", "dl", "details"}
+#: Headings of reader comments.
+COMMENTS = re.compile(r"\W*(?:\d+\s+)?(?:(?:reader|user|latest|all)\s+)?(?:comments?|responses?|replies|discussion|leave a|join the|kommentare|commentaires|comentarios)\b", re.IGNORECASE)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "select", "article", "section", "div", "main"}
 #: Parts of an article, never the whole.
 INLINE = {"p", "li", "td", "b", "i", "em", "strong", "span", "a", "blockquote", "pre", "h1", "h2", "h3"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 WORDS = re.compile(r"[a-z]+")
+COMMENT_END, SECTION_END = re.compile(r"--!?\s*>"), re.compile(r"\]\]>")
 MARKED = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata)\s*\[", re.IGNORECASE)
 #: Words in a class token that say of a wrapper what it has beside the text, as in `has-sidebar`.
 ABOUT = {"has", "have", "having", "no", "not", "with", "without", "hide", "show"}
 
 
-class Nodes(HTMLParser):
-    """Text nodes of a page in order: path, chain of element numbers, block, text, aside."""
+class Page(HTMLParser):
+    """Elements of a page, numbered in order, and its text nodes. Element 0 is the page itself.
+
+    An element has its tag, its parent, and the number of its tag path; a text node has its element, its block and its
+    text. So a page takes memory in proportion to its length, however deep its elements lie.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []
-        self.tags: list[str] = []
-        self.nodes: list[tuple[str, tuple[int, ...], int, str, bool]] = []
+        self.tags, self.parents, self.paths = [""], [-1], [0]
+        self.never, self.doubts = [False], {}
+        self.path_numbers: dict[tuple[int, str], int] = {}
+        self.open = [0]
+        #: Places in `open` of each tag.
+        self.places: dict[str, list[int]] = {}
+        self.elements: list[int] = []
+        self.blocks: list[int] = []
+        self.texts: list[str] = []
         self.block = 0
-        self.named: dict[int, bool] = {}
-        self.doubtful: set[int] = set()
+        #: From here on nothing ends a comment or a marked section.
+        self.endless = {COMMENT_END: 1 << 62, SECTION_END: 1 << 62}
 
-    def is_named(self, tag: str, attributes: list[tuple[str, str | None]]) -> bool | None:
-        """Whether class, id or role name the element as a side part: by a whole token (True) or by a part of one (False); None if they do not."""
+    def read(self, html: str) -> Page:
+        """Take in the page. What follows the last `>` holds no whole tag and is text."""
+        last = html.rfind(">") + 1
+        self.feed(html[:last])
+        self.close()
+        if html[last:]:
+            self.text(unescape(html[last:]))
+        return self
+
+    def doubt(self, tag: str, attributes: list[tuple[str, str | None]]) -> str | None:
+        """What speaks against the element: its tag, a whole token of class, id or role, or a part of one (`weak` if the part is a word of WEAK)."""
+        if tag in SELDOM and not (tag == "header" and (self.places.get("article") or self.places.get("main"))):
+            return "tag"
         found = None
         for name, value in attributes:
             if name in ("class", "id", "role"):
                 for token in (value or "").lower().split():
-                    words = set(WORDS.findall(token))
                     if token in SIDE:
-                        return True
+                        return "whole"
+                    words = set(WORDS.findall(token))
                     if SIDE & words and not ABOUT & words:
-                        found = False
+                        found = "part" if found == "part" or SIDE & words - WEAK else "weak"
         return found
 
-    def is_aside(self, tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    def is_hidden(self, tag: str, attributes: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER:
             return True
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open):
-            return True
         if tag in ("html", "body", "article", "main"):
             return False
-        for name, value in attributes:
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in (value or "").replace(" ", "").lower():
-                return True
-        return False
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in (value or "").replace(" ", "").lower()
+                   for name, value in attributes)
+
+    def pop(self, place: int) -> None:
+        """Close the element at a place of `open` and all inside it."""
+        while len(self.open) > place:
+            self.places[self.tags[self.open.pop()]].pop()
 
     def leave(self, tag: str, stops: set[str]) -> None:
         """Close the innermost `tag` and what is open inside it, unless an element of `stops` is nearer."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-            if self.open[k][0] in stops:
-                return
+        places = self.places.get(tag)
+        if places and not any(self.places.get(s) and self.places[s][-1] > places[-1] for s in stops):
+            self.pop(places[-1])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -89,14 +118,15 @@ class Nodes(HTMLParser):
             self.text("\n")
         if tag in VOID:
             return
-        aside = bool(self.open and self.open[-1][2]) or self.is_aside(tag, attrs)
-        if tag not in ("html", "body") and (named := self.is_named(tag, attrs)) is not None:
-            if tag in ("article", "main"):
-                self.doubtful.add(len(self.tags))
-            else:
-                self.named[len(self.tags)] = named
-        self.open.append((tag, len(self.tags), aside))
+        parent, number = self.open[-1], len(self.tags)
+        if tag not in ("html", "body") and (why := self.doubt(tag, attrs)):
+            self.doubts[number] = why
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(number)
         self.tags.append(tag)
+        self.parents.append(parent)
+        self.paths.append(self.path_numbers.setdefault((self.paths[parent], tag), len(self.path_numbers) + 1))
+        self.never.append(self.is_hidden(tag, attrs))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -106,9 +136,18 @@ class Nodes(HTMLParser):
             self.block += 1
         self.leave(tag, set() if tag in BLOCKS else BLOCKS)
 
+    def ends(self, mark: re.Pattern[str], i: int) -> bool:
+        """Whether `mark` comes after `i`; where it did not once, the rest is not searched again."""
+        if i < self.endless[mark] and not mark.search(self.rawdata, i):
+            self.endless[mark] = i
+        return i < self.endless[mark]
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return super().parse_comment(i, report) if self.ends(COMMENT_END, i + 4) else -1
+
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """Only CDATA and its like end at ]]>; any other <![ is a bogus comment up to the next >, as in browsers."""
-        if MARKED.match(self.rawdata, i) and self.rawdata.find("]]>", i) >= 0:
+        if MARKED.match(self.rawdata, i) and self.ends(SECTION_END, i):
             return super().parse_marked_section(i, report)
         return self.rawdata.find(">", i) + 1 or -1
 
@@ -116,90 +155,138 @@ class Nodes(HTMLParser):
         self.text(data)
 
     def text(self, data: str) -> None:
-        self.nodes.append(("/".join(t for t, _, _ in self.open), tuple(n for _, n, _ in self.open), self.block, data, bool(self.open and self.open[-1][2])))
+        if data:
+            self.elements.append(self.open[-1])
+            self.blocks.append(self.block)
+            self.texts.append(data)
+
+    def below(self, marked: set[int] | list[bool]) -> list[bool]:
+        """For every element, whether it or one that holds it is marked."""
+        if isinstance(marked, list):
+            out = [marked[0]]
+            for own, parent in zip(marked[1:], self.parents[1:]):
+                out.append(own or out[parent])
+        else:
+            out = [0 in marked]
+            for e, parent in enumerate(self.parents[1:], 1):
+                out.append(out[parent] or e in marked)
+        return out
+
+    def held(self, sizes: dict[int, int]) -> list[int]:
+        """For every element, the sum of `sizes` (by element) in it."""
+        sums = [sizes.get(e, 0) for e in range(len(self.tags))]
+        for e in range(len(self.tags) - 1, 0, -1):
+            sums[self.parents[e]] += sums[e]
+        return sums
 
 
-def path_scores(nodes: list[tuple[str, tuple[int, ...], int, str, bool]], radius: int = 1) -> np.ndarray:
-    """Score of each text node: text length and punctuation per node of its tag path, smoothed along the page, multiplied."""
+def path_scores(page: Page, aside: list[bool], radius: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Score of each text node: text length and punctuation per node of its tag path, smoothed along the page, multiplied; and the same without smoothing."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    sizes = []
-    for path, _, _, text, aside in nodes:
+    paths, shown = [page.paths[e] for e in page.elements], []
+    for path, e, text in zip(paths, page.elements, page.texts):
         bare = len(" ".join(text.split()))
-        sizes.append(bare)
-        if bare and not aside:
+        shown.append(bool(bare) and not aside[e])
+        if shown[-1]:
             length[path] += bare
             marks[path] += len(PUNCTUATION.findall(text))
             count[path] += 1
-    by_length = np.array([length[n[0]] / max(count[n[0]], 1) for n in nodes])
-    by_marks = np.array([marks[n[0]] / max(count[n[0]], 1) for n in nodes])
+    by_length = np.array([length[p] / max(count[p], 1) for p in paths])
+    by_marks = np.array([marks[p] / max(count[p], 1) for p in paths])
     kernel = np.exp(-0.5 * np.arange(-radius, radius + 1) ** 2)
     kernel /= kernel.sum()
     smooth = lambda x: np.convolve(np.pad(x, radius, mode="edge"), kernel, mode="valid")
-    shown = np.array([bool(s) and not n[4] for s, n in zip(sizes, nodes)])
-    return np.where(shown, smooth(by_length) * smooth(by_marks), 0.0)
+    return np.where(shown, smooth(by_length) * smooth(by_marks), 0.0), by_length * by_marks
 
 
-def set_aside(parser: Nodes, nodes: list[tuple[str, tuple[int, ...], int, str, bool]]) -> list[tuple[str, tuple[int, ...], int, str, bool]]:
-    """The nodes, aside also where an element is named as a side part, unless the page's text is in it.
+def chosen_nodes(page: Page, aside: list[bool]) -> tuple[list[int], np.ndarray]:
+    """Text nodes whose fused path score exceeds the standard deviation of all scores, and the scores of all without smoothing."""
+    scores, own = path_scores(page, aside)
+    return np.flatnonzero(scores > min(scores.std(), scores.max() * 0.999)).tolist(), own
 
-    An article or main element outside any of these holds the text, whatever the names. If there is none, an element stays that holds an
-    article or main without such a name, or text that the path scores choose: most of it, or all of it where a whole token names the element.
+
+def side_elements(page: Page, aside: list[bool]) -> set[int]:
+    """Elements in doubt that do not hold the page's text.
+
+    Where an article or main element lies outside all of them, the text is there; inside it a heading, and an element doubted for a weak part
+    of its name that holds text of the path scores' choice, stay. Otherwise elements stay that hold an article with most of the chosen text; else
+    those with most of the chosen text by their own: all of it where a whole token speaks against them, nine tenths where the tag does, more than half where a part does, a third where that is weak.
+    If only parts of names speak against all of the text, those with the most of it stay.
     """
-    named = parser.named
-    if not named:
-        return nodes
-    marks = {e for n in nodes for e in n[1] if not n[4] and parser.tags[e] in ("article", "main") and e not in parser.doubtful}
-    free = any(e in marks for n in nodes if not n[4] and not any(e in named for e in n[1]) for e in n[1])
-    kept: set[int] = set()
-    if not free:
-        scores = path_scores(nodes)
-        chosen = scores > min(scores.std(), scores.max() * 0.999)
-        holds: dict[int, int] = defaultdict(int)
-        total = 0
-        for (_, chain, _, text, _), taken in zip(nodes, chosen):
-            if taken:
-                total += len(text)
-                for e in chain:
-                    holds[e] += len(text)
-            for k, e in enumerate(chain):
-                if e in named and marks.intersection(chain[k + 1:]):
-                    kept.add(e)
-        if not kept:
-            kept = {e for e, whole in named.items() if total and (holds[e] == total if whole else 2 * holds[e] > total)}
-    left = named.keys() - kept
-    return [(path, chain, block, text, aside or not left.isdisjoint(chain)) for path, chain, block, text, aside in nodes]
-
-
-def main_text(html: str | None, marked: float = 0.6) -> str:
+    doubts = page.doubts
+    if not doubts:
+        return set()
+    sizes: dict[int, int] = defaultdict(int)
+    for k in chosen_nodes(page, aside)[0]:
+        sizes[page.elements[k]] += len(page.texts[k])
+    holds = page.held(sizes)
+    total = holds[0]
+    articles = {e for e, tag in enumerate(page.tags) if tag in ("article", "main") and e not in doubts and not aside[e]}
+    doubted = page.below(set(doubts))
+    if free := {e for e in articles if not doubted[e]}:
+        inside = page.below(free)
+        stay = {e for e, why in doubts.items() if inside[e] and (page.tags[e] in HEADINGS and why in ("weak", "part") or why == "weak" and holds[e])}
+        return set(doubts) - stay
+    kept = {e for e in articles if 2 * holds[e] > total}
+    stay = set()
+    for e in kept:
+        while e > 0:
+            if e in doubts:
+                stay.add(e)
+            e = page.parents[e]
+    if not stay and total:
+        least = {"whole": total, "tag": 0.9 * total, "part": total / 2 + 0.5, "weak": total / 3}
+        stay = {e for e, why in doubts.items() if holds[e] >= least[why]}
+    if not stay and total:
+        left = page.below({e for e, why in doubts.items() if why in ("whole", "tag")})
+        rest = page.held({e: n for e, n in sizes.items() if not left[e]})
+        parts = {e: rest[e] for e, why in doubts.items() if why in ("part", "weak") and rest[e]}
+        if parts and sum(n for e, n in sizes.items() if not doubted[e]) < max(parts.values()) / 2:
+            stay = {e for e, n in parts.items() if 2 * n >= max(parts.values())}
+    return set(doubts) - stay
+
+
+def main_text(html: str | None) -> str:
     """Text of the page's article: blocks in page order, two line ends between them.
 
     Text nodes whose fused path score exceeds the standard deviation of all scores are content. The smallest element that holds all of
-    them is the article, with all of its blocks that are not set aside by their element or its name. Where article and main elements hold `marked` of the
-    content, what comes after the last of them is not the article's, such as comments without a name. Where no node passes, an
-    article or main element is taken, else the whole page.
+    them is the article, with all of its blocks that are not set aside by their element or its name. What comes after the last article or main element with
+    content belongs to it where the path scores choose it and its own path has half the ratio of the article's, outside lists and up to a heading of reader comments. Where no node passes, an
+    article or main element is taken, else the whole page. Time and memory follow the length of the page, however many elements are open at once.
     """
-    parser = Nodes()
-    parser.feed(html or "")
-    parser.close()
-    nodes = set_aside(parser, [n for n in parser.nodes if n[3]])
-    if not nodes:
+    page = Page().read(html or "")
+    if not page.texts:
         return ""
-    scores = path_scores(nodes)
-    chosen = np.flatnonzero(scores > min(scores.std(), scores.max() * 0.999)).tolist()
-    articles = {e for e, tag in enumerate(parser.tags) if tag in ("article", "main")}
-    root, end = min(articles, default=None), len(nodes)
+    aside = page.below(page.never)
+    side = side_elements(page, aside)
+    aside = page.below([never or e in side for e, never in enumerate(page.never)])
+    chosen, own = chosen_nodes(page, aside)
+    articles = {e for e, tag in enumerate(page.tags) if tag in ("article", "main")}
+    in_article = page.below(articles)
+    root, end, late = min(articles, default=None), len(page.texts), set()
     if chosen:
-        within = [k for k in chosen if not articles.isdisjoint(nodes[k][1])]
-        if within and sum(len(nodes[k][3]) for k in within) >= marked * sum(len(nodes[k][3]) for k in chosen):
-            holding = articles.intersection(e for k in within for e in nodes[k][1])
-            end = 1 + max(k for k, n in enumerate(nodes) if not holding.isdisjoint(n[1]))
-            chosen = [k for k in chosen if k < end]
-        shared = set.intersection(*(set(nodes[k][1]) for k in chosen))
-        root = max((e for e in shared if parser.tags[e] not in INLINE), default=None)
+        within = [k for k in chosen if in_article[page.elements[k]]]
+        if within and 2 * sum(len(page.texts[k]) for k in within) > sum(len(page.texts[k]) for k in chosen):
+            holding = page.held({page.elements[k]: 1 for k in within})
+            marked = page.below({e for e in articles if holding[e]})
+            end = 1 + max(k for k, e in enumerate(page.elements) if marked[e])
+            if chosen[-1] >= end:
+                listed = page.below({e for e, tag in enumerate(page.tags) if tag in LISTS})
+                heads = page.below({e for e, tag in enumerate(page.tags) if tag in HEADINGS})
+                stop = next((k for k in range(end, len(page.texts)) if heads[page.elements[k]] and COMMENTS.match(page.texts[k])), len(page.texts))
+                alike = np.mean(own[within]) / 2
+                chosen = [k for k in chosen if k < end or k < stop and own[k] >= alike and not listed[page.elements[k]]]
+                late = {page.blocks[k] for k in chosen if k >= end}
+        counts: dict[int, int] = defaultdict(int)
+        for k in chosen:
+            counts[page.elements[k]] += 1
+        holding = page.held(counts)
+        root = max((e for e in range(len(page.tags)) if holding[e] == len(chosen) and page.tags[e] not in INLINE), default=None)
+    inside = page.below({0 if root is None else root})
     blocks: dict[int, list[str]] = {}
-    for _, chain, block, text, aside in nodes[:end]:
-        if not aside and (root is None or root in chain):
-            blocks.setdefault(block, []).append(text)
+    for k, (e, block) in enumerate(zip(page.elements, page.blocks)):
+        if not aside[e] and inside[e] and (k < end or block in late):
+            blocks.setdefault(block, []).append(page.texts[k])
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(b for b in joined if b)
 
