@@ -181,7 +181,7 @@ class Page(HTMLParser):
 
 
 def path_scores(page: Page, aside: list[bool], radius: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Score of each text node: text length and punctuation per node of its tag path, smoothed along the page, multiplied; and the same without smoothing."""
+    """Score of each text node: text length and punctuation per node of its tag path, smoothed along the page, multiplied; and both, a row each, without smoothing."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     paths, shown = [page.paths[e] for e in page.elements], []
     for path, e, text in zip(paths, page.elements, page.texts):
@@ -196,11 +196,11 @@ def path_scores(page: Page, aside: list[bool], radius: int = 1) -> tuple[np.ndar
     kernel = np.exp(-0.5 * np.arange(-radius, radius + 1) ** 2)
     kernel /= kernel.sum()
     smooth = lambda x: np.convolve(np.pad(x, radius, mode="edge"), kernel, mode="valid")
-    return np.where(shown, smooth(by_length) * smooth(by_marks), 0.0), by_length * by_marks
+    return np.where(shown, smooth(by_length) * smooth(by_marks), 0.0), np.stack([by_length, by_marks])
 
 
 def chosen_nodes(page: Page, aside: list[bool]) -> tuple[list[int], np.ndarray]:
-    """Text nodes whose fused path score exceeds the standard deviation of all scores, and the scores of all without smoothing."""
+    """Text nodes whose fused path score exceeds the standard deviation of all scores, and both ratios of all nodes."""
     scores, own = path_scores(page, aside)
     return np.flatnonzero(scores > min(scores.std(), scores.max() * 0.999)).tolist(), own
 
@@ -251,7 +251,7 @@ def main_text(html: str | None) -> str:
 
     Text nodes whose fused path score exceeds the standard deviation of all scores are content. The smallest element that holds all of
     them is the article, with all of its blocks that are not set aside by their element or its name. What comes after the last article or main element with
-    content belongs to it where the path scores choose it and its own path has half the ratio of the article's, outside lists and up to a heading of reader comments. Where no node passes, an
+    content belongs to it where the path scores choose it and its own path has half the article's length and punctuation, outside lists and up to a heading of reader comments. Where no node passes, an
     article or main element is taken, else the whole page. Time and memory follow the length of the page, however many elements are open at once.
     """
     page = Page().read(html or "")
@@ -274,8 +274,8 @@ def main_text(html: str | None) -> str:
                 listed = page.below({e for e, tag in enumerate(page.tags) if tag in LISTS})
                 heads = page.below({e for e, tag in enumerate(page.tags) if tag in HEADINGS})
                 stop = next((k for k in range(end, len(page.texts)) if heads[page.elements[k]] and COMMENTS.match(page.texts[k])), len(page.texts))
-                alike = np.mean(own[within]) / 2
-                chosen = [k for k in chosen if k < end or k < stop and own[k] >= alike and not listed[page.elements[k]]]
+                alike = own[:, within].mean(axis=1) / 2
+                chosen = [k for k in chosen if k < end or k < stop and (own[:, k] >= alike).all() and not listed[page.elements[k]]]
                 late = {page.blocks[k] for k in chosen if k >= end}
         counts: dict[int, int] = defaultdict(int)
         for k in chosen:
