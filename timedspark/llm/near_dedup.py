@@ -145,7 +145,7 @@ def _signatures(bands: int, rows: int, weighted: bool):
 
 
 def _sets(weighted: bool):
-    """node, its shingles as sorted 32-bit prints, their number n and parity map; a shingle that comes n times has n prints when weighted."""
+    """node, its shingles as sorted 64-bit prints, their number n and parity map; a shingle that comes n times has n prints when weighted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
@@ -157,10 +157,10 @@ def _sets(weighted: bool):
                 if weighted:
                     nth = np.arange(int(weights.sum())) - np.repeat(np.cumsum(weights) - weights, weights)
                     elements = mix(np.repeat(elements, weights) + nth.astype(np.uint64))
-                own = np.unique((elements >> np.uint64(32)).astype(np.uint32))
+                own = np.unique(elements)
                 prints.append(own.tobytes())
                 sizes.append(len(own))
-                maps.append(np.packbits((np.bincount(own % (64 * len(MAP)), minlength=64 * len(MAP)) & 1).astype(bool)).view(np.int64))
+                maps.append(np.packbits((np.bincount((own >> np.uint64(32)).astype(np.int64) % (64 * len(MAP)), minlength=64 * len(MAP)) & 1).astype(bool)).view(np.int64))
             words = np.array(maps, np.int64).reshape(-1, len(MAP))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), *map(pa.array, words.T.copy())],
                                              ["doc_id", "node", "prints", "n", *MAP])
@@ -172,7 +172,7 @@ def _similar(least: float):
         for batch in batches:
             kept = []
             for a, b in zip(batch.column("prints_a"), batch.column("prints_b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 common = 0 if min(len(x), len(y)) < least * max(len(x), len(y)) else len(np.intersect1d(x, y, assume_unique=True))
                 kept.append(common >= least * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
@@ -228,26 +228,36 @@ def components(links: DataFrame) -> DataFrame:
         mark = new
 
 
+def meetings(placed: DataFrame, mixed: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of mixed buckets (with their largest class in `major`) at the places where they meet: those that roam, and those that stay.
+
+    A bucket is dealt into blocks of about BLOCK nodes. Every node stays in its block; the nodes outside the largest class go to
+    every block as well. So one outsider in a bucket of m nodes costs m / BLOCK rows and m comparisons, and a bucket at most about
+    twice its pairs across classes.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    left = placed.join(_small(mixed.select("bucket", "major"), n_buckets), "bucket")
+    stay = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    roam = left.where("root != major").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return roam, stay
+
+
 def across(placed: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, int]:
     """Pairs (a, b) of nodes that share a bucket and not a class, from rows (bucket, node, members, root), and their number, repeats counted.
 
-    A bucket is dealt into blocks of about BLOCK nodes, and two blocks meet in one place, so no bucket is the work of one task. Pairs that cannot be
+    Nodes meet in blocks (`meetings`), so no bucket is the work of one task. Pairs that cannot be
     `least` similar are left out by bounds that hold for certain: the sizes of the sets, and the bits in which their parity maps differ, which
     are never more than the shingles that only one of them has.
     """
-    classes = placed.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("classes"))
+    classes = placed.groupBy("bucket", "root").agg(F.count("*").alias("nodes")).groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("nodes", "root")).alias("major"))
     mixed = cut(classes.where("classes > 1"))
-    n_buckets = mixed.count()
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    left = placed.join(_small(mixed.select("bucket"), n_buckets), "bucket").join(sets.select("node", "n", *MAP), "node")
-    left = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "n", *MAP)
-    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    once = (F.col("x.root") < F.col("y.root")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block")))
+    roam, stay = (side.join(sets.select("node", "n", *MAP), "node").select("bucket", "block", "node", "root", "major", "n", *MAP) for side in meetings(placed, mixed, mixed.count()))
+    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block"))
+    once = (F.col("y.root") == F.col("y.major")) | (F.col("x.root") < F.col("y.root"))
     sizes = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
     apart = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in MAP), F.lit(0))
     close = apart <= (1 - least) / (1 + least) * (F.col("x.n") + F.col("y.n")) + 1e-6
-    met = cut(left.alias("x").join(left.alias("y"), meet & once & sizes & close).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")))
+    met = cut(roam.alias("x").join(stay.alias("y"), meet & once & sizes & close).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")))
     return met, met.count()
 
 
