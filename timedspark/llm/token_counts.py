@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from timedspark.llm.common import cut
+
 #: Fixed value: the split pattern that the byte-level vocabularies are made for.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -54,7 +56,8 @@ def length_histogram(counts: DataFrame, length: str = "n_tokens", block: int = 1
     whole blocks, are added. A null length counts as zero. An empty table gives an empty result.
     """
     n = F.coalesce(F.col(length), F.lit(0)).cast("long")
-    bars = counts.groupBy(n.alias("n_tokens")).agg(F.count("*").alias("docs")).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
+    # Written once: the sums by block and those inside a block both start from it, and the texts are encoded once.
+    bars = cut(counts.groupBy(n.alias("n_tokens")).agg(F.count("*").alias("docs"))).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
     bars = bars.withColumn("_block", F.floor(F.col("n_tokens") / block))
     blocks = bars.groupBy("_block").agg(F.sum("docs").alias("_docs"), F.sum("tokens").alias("_tokens"))
     above = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
