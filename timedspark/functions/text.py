@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -147,6 +148,22 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+@F.pandas_udf(DoubleType())
+def similarity_bound(a: pd.Series, b: pd.Series) -> pd.Series:
+    """At least the matching-block ratio: twice the letters in common, wherever they stand, over all letters."""
+    letters: dict[str, list[tuple[str, int]]] = {}
+
+    def bound(x, y):
+        if x is None or y is None:
+            return None
+        counts = letters.get(y)
+        if counts is None:
+            counts = letters[y] = list(Counter(y).items())
+        common = sum(min(n, x.count(c)) for c, n in counts)
+        return 2.0 * common / (len(x) + len(y)) if x or y else 1.0
+    return pd.Series([bound(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 def token_digest(value: Column) -> Column:
     return F.sha2(value, 256)
 

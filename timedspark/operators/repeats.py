@@ -7,12 +7,15 @@ from difflib import SequenceMatcher
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedspark.functions.text import similarity, skeleton
+from timedspark.functions.text import similarity, similarity_bound, skeleton
 from timedspark.operators.fold import streaming_fold
 from timedspark.operators.scan import Axis, scan, total
 from timedspark.operators.sequence import rolling
 from timedspark.operators.stage import stage
 
+#: Words of a block of phrase windows.
+BLOCK_WORDS = 4_096
+
 
 def repeated_lines(lines: DataFrame, min_count: int = 2) -> DataFrame:
     """Exactly repeated lines per recording: count and first position. `norm` is the compared text."""
@@ -56,16 +59,39 @@ def refrains(lines: DataFrame, threshold: float = 0.55, min_words: int = 3) -> D
             .select("media_id", (-F.col("b.l")).alias("leader"), F.col("b.n").alias("n")))
 
 
-def locate_phrase(words: DataFrame, phrases: DataFrame, length: int, minimum: float = 0.5) -> DataFrame:
-    """Onset of the best match of a phrase of `length` words per recording; the earliest on a tie.
+def phrase_windows(words: DataFrame, phrases: DataFrame, length: int, minimum: float) -> DataFrame:
+    """Windows of `length` words that can reach `minimum`, written once: media_id, __block, seq, start_ms, window, phrase, bound.
 
-    `phrases`: (media_id, phrase), already in skeleton form.
+    The bound counts the letters that window and phrase have in common, wherever they stand; matching blocks have no more.
     """
     plain = words.withColumn("__w", skeleton("text"))
-    numbered = stage(scan(plain, Axis(("media_id",), ("seq",), 8_192), __i=total(F.lit(1).cast("bigint"))))
+    numbered = stage(scan(plain, Axis(("media_id",), ("seq",), BLOCK_WORDS), __i=total(F.lit(1).cast("bigint"))))
     run = F.collect_list(F.struct("__i", "__w"))
-    spans = rolling(numbered, Axis(("media_id",), ("__i",), 4_096), 0, length - 1, __run=run)
-    text = F.array_join(F.transform(F.array_sort("__run"), lambda r: r["__w"]), " ")
-    rated = spans.join(phrases, "media_id").withColumn("ratio", similarity(text, F.col("phrase")))
+    spans = rolling(numbered, Axis(("media_id",), ("__i",), BLOCK_WORDS), 0, length - 1, __run=run)
+    window = F.array_join(F.transform(F.array_sort("__run"), lambda r: r["__w"]), " ")
+    bounded = (spans.join(phrases, "media_id").select("media_id", F.floor(F.col("__i") / BLOCK_WORDS).alias("__block"), "seq", "start_ms", window.alias("window"), "phrase")
+               .withColumn("bound", similarity_bound("window", "phrase")))
+    return stage(bounded.filter(F.col("bound") >= minimum))
+
+
+def contenders(windows: DataFrame, minimum: float) -> DataFrame:
+    """The windows that can still be the best of their recording.
+
+    Of each block the window with the highest bound is compared first. What the best of them reaches is a floor for
+    the recording, and only windows whose bound reaches the floor remain.
+    """
+    heads = windows.groupBy("media_id", "__block").agg(F.max_by(F.struct("window", "phrase"), F.struct("bound", -F.col("seq"))).alias("h"))
+    rated = heads.select("media_id", similarity("h.window", "h.phrase").alias("ratio"))
+    floors = rated.groupBy("media_id").agg(F.greatest(F.max("ratio"), F.lit(minimum)).alias("floor"))
+    return windows.join(floors, "media_id").filter(F.col("bound") >= F.col("floor")).drop("floor")
+
+
+def locate_phrase(words: DataFrame, phrases: DataFrame, length: int, minimum: float = 0.5) -> DataFrame:
+    """Onset of the best match of a phrase of `length` words per recording; the earliest on a tie.
+
+    `phrases`: (media_id, phrase), already in skeleton form. The matching-block ratio is computed for windows whose
+    upper bound reaches what another window of the recording has reached already; no other can be the best.
+    """
+    rated = contenders(phrase_windows(words, phrases, length, minimum), minimum).withColumn("ratio", similarity("window", "phrase"))
     best = F.max_by(F.struct("seq", "start_ms", "ratio"), F.struct("ratio", -F.col("seq")))
     return rated.groupBy("media_id").agg(best.alias("b")).filter(F.col("b.ratio") >= minimum).select("media_id", "b.*")
