@@ -54,3 +54,53 @@ def test_bound_is_never_below_the_ratio(spark):
     rows = [(text(), text()) for _ in range(3_000)] + [("", ""), (None, "a"), ("a", None)]
     frame = spark.createDataFrame(rows, "a string, b string").select(similarity("a", "b").alias("r"), similarity_bound("a", "b").alias("u"))
     assert frame.filter("u < r OR (u IS NULL) <> (r IS NULL)").count() == 0
+
+
+def clusters(rows, threshold=0.55):
+    """(media_id, line, leader) by comparing every line with every leader."""
+    out, heads = {}, {}
+    for media, seq, line in sorted(rows):
+        if len(line.split(" ")) >= 3 and (media, line) not in out:
+            similar = [at for at, head in heads.setdefault(media, []) if SequenceMatcher(None, line, head).ratio() >= threshold]
+            out[media, line] = similar[0] if similar else seq
+            if not similar:
+                heads[media].append((seq, line))
+    return out
+
+
+def test_clusters_of_random_lines(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.randrange(2, 7))) for _ in range(120)]
+    rows = [(k % 3, k, rng.choice(texts)) for k in range(900)]
+    frame = spark.createDataFrame(rows, "media_id long, seq long, text string")
+    assert {(r["media_id"], r["norm"]): r["leader"] for r in Q.line_clusters(frame).collect()} == clusters(rows)
+
+
+def test_clusters_and_refrains_of_the_table(spark):
+    from collections import Counter
+    from timedspark.functions.text import skeleton
+    from timedspark.plans.source_queries import sung_lines
+    lines = sung_lines(spark, "/root/testdata/sf0.001")
+    rows = [(r["media_id"], r["seq"], r["t"]) for r in lines.withColumn("t", skeleton("text")).collect()]
+    want = clusters(rows)
+    assert {(r["media_id"], r["norm"]): r["leader"] for r in Q.line_clusters(lines).collect()} == want
+    sizes = Counter((m, want[m, line]) for m, _, line in rows if (m, line) in want)
+    best = {m: min((-n, leader) for (other, leader), n in sizes.items() if other == m) for m, _ in sizes}
+    assert sorted(tuple(r) for r in Q.refrains(lines).collect()) == sorted((m, leader, -n) for m, (n, leader) in best.items() if n <= -2)
+
+
+def test_few_leaders_are_compared():
+    """Lines in different letters: the bound leaves the leaders of the own kind, and finds the same as a full comparison."""
+    rng = random.Random(6)
+    kinds = ["abcdefg", "hijklmn", "opqrstu", "vwxyz01"]
+    lines = ["".join(rng.choice(rng.choice(kinds) if k % 50 == 0 else kinds[k % 4]) for _ in range(rng.randrange(10, 30))) for k in range(600)]
+    leaders, heads = Q.Leaders(0.55), []
+    for line in lines:
+        found = leaders.find(line)
+        full = next((k for k, head in enumerate(heads) if SequenceMatcher(None, line, head).ratio() >= 0.55), None)
+        assert found == full
+        if found is None:
+            leaders.add(line)
+            heads.append(line)
+    assert leaders.compared < 0.3 * len(lines) * len(heads)

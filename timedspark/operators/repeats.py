@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from timedspark.operators.stage import stage
 
 #: Words of a block of phrase windows.
 BLOCK_WORDS = 4_096
+#: Columns of letter counts of a line.
+COLUMNS = 64
 
 
 def repeated_lines(lines: DataFrame, min_count: int = 2) -> DataFrame:
@@ -23,25 +26,60 @@ def repeated_lines(lines: DataFrame, min_count: int = 2) -> DataFrame:
             .filter(F.col("n") >= min_count))
 
 
+class Leaders:
+    """Lines that head a cluster, in order, with the counts of their letters in COLUMNS columns.
+
+    The letters that two lines have in common, wherever they stand, bound their matching blocks from above, and
+    letters that share a column only loosen the bound. So `candidates` never leaves out a leader that is similar enough.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold, self.lines, self.compared = threshold, [], 0
+        self.counts, self.lengths = np.zeros((64, COLUMNS), np.int32), np.zeros(64)
+
+    @staticmethod
+    def letters(line: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) % COLUMNS, minlength=COLUMNS).astype(np.int32)
+
+    def candidates(self, line: str) -> np.ndarray:
+        n = len(self.lines)
+        common = np.minimum(self.counts[:n], self.letters(line)).sum(axis=1)
+        return np.flatnonzero(2 * common >= self.threshold * (self.lengths[:n] + len(line)) - 1e-9)
+
+    def find(self, line: str) -> int | None:
+        """Number of the first leader whose matching-block ratio reaches the threshold."""
+        matcher = SequenceMatcher(None)
+        matcher.set_seq1(line)
+        for k in self.candidates(line).tolist():
+            self.compared += 1
+            matcher.set_seq2(self.lines[k])
+            if matcher.ratio() >= self.threshold:
+                return k
+        return None
+
+    def add(self, line: str) -> None:
+        n = len(self.lines)
+        if n == len(self.lengths):
+            self.counts, self.lengths = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.counts[n], self.lengths[n] = self.letters(line), len(line)
+        self.lines.append(line)
+
+
 def line_clusters(lines: DataFrame, threshold: float = 0.55, min_words: int = 3) -> DataFrame:
     """(media_id, norm, leader, n, first_seq): each line joins the first cluster whose leader is similar.
 
     Equal lines always land in one cluster, so each distinct line is compared
-    once, in order of first appearance. Lengths alone rule out most leaders.
+    once, in order of first appearance, and only with leaders that share enough letters.
     """
     def start():
-        leaders = []
+        leaders, places = Leaders(threshold), []
 
         def step(seq, norm):
-            matcher = SequenceMatcher(None)
-            matcher.set_seq1(norm)
-            for at, leader in leaders:
-                if 2 * min(len(norm), len(leader)) < threshold * (len(norm) + len(leader)):
-                    continue
-                matcher.set_seq2(leader)
-                if matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold:
-                    return (at,)
-            leaders.append((seq, norm))
+            found = leaders.find(norm)
+            if found is not None:
+                return (places[found],)
+            leaders.add(norm)
+            places.append(seq)
             return (seq,)
         return step
 
