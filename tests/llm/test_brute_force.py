@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -199,6 +200,27 @@ def test_expressions(text, want):
     assert licences.expression_labels(text) == want
 
 
+@pytest.mark.parametrize("text, want", [
+    (b"The license is described below", None), (b"MIT for the code, see LICENSE", {"mit"}), (b"MIT or the other", {"mit"}), (b"MIT.", {"mit"}), (b"apache-2.0+", {"apache-2"}),
+    (b"LicenseRef-Mine AND DocumentRef-a:LicenseRef-b", {"licenseref-mine", "documentref-a:licenseref-b"}), (b"GPL-3.0-or-later WITH care", {"gpl-3"}),
+    (b"GPL-2.0-only WITH GCC-exception-3.1 WITH GCC-exception-3.1", {"gpl-2 with gcc-exception-3.1"}), (b"(MIT OR ISC) WITH GCC-exception-3.1", {"mit", "isc"}),
+    (b"Python is a language", None), (b"Python-2.0", {"python-2"}), (b"() MIT", None), (b"", None)])
+def test_identifiers_are_known_ones(text, want):
+    assert licences.expression_labels(text, licences.is_identifier) == want
+
+
+def test_long_expressions_take_linear_time():
+    many = b" or ".join(b"LicenseRef-%d" % k for k in range(50_000))
+    assert len(licences.expression_labels(many, licences.is_identifier)) == 50_000
+    nested = b"(MIT or " * 50_000 + b"ISC" + b")" * 50_000
+    assert licences.expression_labels(nested, licences.is_identifier) == {"mit", "isc"}
+    half = b"(" + b" or ".join(b"LicenseRef-%d" % k for k in range(2_000)) + b")"
+    assert len(licences.expression_labels(half + b" with " + half, licences.is_identifier)) == 2_000
+    started = time.monotonic()
+    licences.scan_text("SPDX-License-Identifier: " + nested.decode(), licences.automaton())
+    assert time.monotonic() - started < 5
+
+
 def test_tags_are_read():
     got = licences.scan_text("# SPDX-License-Identifier: MIT OR BSD-3-Clause\nx", licences.automaton())
     assert got[5] == "bsd-3-clause,mit" and got[6] > 0.99

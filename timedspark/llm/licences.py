@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -24,7 +24,23 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 TAGGED = re.compile(rb"spdx[-_ ]license[-_ ]identifier\s*:?\s*([^\r\n]*)", re.IGNORECASE)
-SYMBOL = re.compile(rb"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+SYMBOL = re.compile(rb"[()]|(?:[Dd]ocument[Rr]ef-[A-Za-z0-9.-]+:)?[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: Identifiers of the public licence list that are whole as they stand, and families that a version follows.
+PLAIN_IDS = (
+    "0bsd", "beerware", "blessing", "bsd-1-clause", "bsd-2-clause", "bsd-2-clause-patent", "bsd-2-clause-views", "bsd-3-clause", "bsd-3-clause-clear",
+    "bsd-3-clause-lbnl", "bsd-4-clause", "bsd-4-clause-uc", "bsd-source-code", "cc-pddc", "curl", "fair", "ftl", "hpnd", "icu", "ijg", "imagemagick", "info-zip",
+    "intel", "isc", "json", "libpng", "libtiff", "mit", "mit-0", "mit-cmu", "mit-feh", "mit-modern-variant", "ms-lpl", "ms-pl", "ms-rl", "ncsa", "ntp",
+    "openssl", "postgresql", "ruby", "sax-pd", "sissl", "sleepycat", "tcl", "unicode-tou", "unlicense", "vim", "w3c", "wtfpl", "x11", "xnet", "zlib", "zlib-acknowledgement",
+)
+VERSIONED_IDS = (
+    "afl", "agpl", "apache", "apsl", "artistic", "blueoak", "bsl", "busl", "bzip2", "cc-by", "cc-by-nc", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-by-sa", "cc0",
+    "cddl", "cecill", "cpal", "cpl", "ecl", "efl", "elastic", "epl", "eudatagrid", "eupl", "gfdl", "gpl", "hippocratic", "ipl", "lgpl", "libpng", "lppl", "mpl",
+    "mulanpsl", "nasa", "ncl", "nposl", "odbl", "odc-by", "ofl", "ogl-uk", "oldap", "osl", "pddl", "php", "polyform-noncommercial", "polyform-small-business", "psf",
+    "python", "qpl", "rpl", "rpsl", "spl", "sspl", "unicode-dfs", "upl", "vsl", "w3c", "xfree86", "zpl",
+)
+IDENTIFIER = re.compile("(?:" + "|".join(PLAIN_IDS) + r")\+?|(?:" + "|".join(VERSIONED_IDS) + r")-v?[0-9][a-z0-9.]*(?:-[a-z0-9.]+)*\+?"
+                        r"|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
+EXCEPTION = re.compile(r"[a-z0-9.+-]*exception[a-z0-9.+-]*|additionref-[a-z0-9.-]+|llgpl")
 BINDING = {"or": 1, "and": 2, "with": 3}
 #: How sure a label is by where it was found; several finds add up as chances do.
 SURE = {"tag": 0.95, "base": 0.9, "notice": 0.6}
@@ -50,47 +66,74 @@ def identifier_label(name: str) -> str:
     return re.sub(r"^(cc-by[a-z-]*)-\d.*$", r"\1", name)
 
 
-def expression_labels(expression: bytes) -> set[str] | None:
+def is_identifier(name: str, exception: bool) -> bool:
+    """Whether a lower-case name is one of a licence, or of an exception after `with`; other words are prose."""
+    return bool((EXCEPTION if exception else IDENTIFIER).fullmatch(name))
+
+
+def expression_symbols(expression: bytes, accepts: Callable[[str, bool], bool]) -> list[str]:
+    """Lower-case symbols of the longest valid beginning of a licence expression; none if no beginning is valid.
+
+    `with` stands between one name of a licence and one of an exception, so it cannot follow a bracket or another
+    exception. `accepts(name, exception)` says which names there are; the first that is not accepted ends it.
+    """
+    symbols: list[str] = []
+    whole = depth = 0
+    operand, named = True, False
+    for match in SYMBOL.finditer(expression):
+        word = match[0].decode().lower().rstrip(".")
+        exception = operand and symbols[-1:] == ["with"]
+        if operand and word == "(" and not exception:
+            depth += 1
+        elif operand and word not in BINDING and word not in ("(", ")") and accepts(word, exception):
+            operand, named = False, not exception
+        elif not operand and word == ")" and depth:
+            depth, named = depth - 1, False
+        elif not operand and word in BINDING and (named or word != "with"):
+            operand = True
+        else:
+            break
+        symbols.append(word)
+        if not operand and not depth:
+            whole = len(symbols)
+    return symbols[:whole]
+
+
+def expression_labels(expression: bytes, accepts: Callable[[str, bool], bool] = lambda name, exception: True) -> set[str] | None:
     """Labels of a licence expression such as `(MIT OR Apache-2.0) AND GPL-2.0 WITH x`, or None if it is none.
 
     Operators bind as with, and, or. `a or b` and `a and b` have the labels of both sides, `a with b` is one
-    label. What follows the longest valid beginning is not read.
+    label. What follows the longest valid beginning is not read. Symbols are read once and the smaller set joins
+    the larger one, so that time and memory follow the length of the line.
     """
     output: list[set[str]] = []
     waiting: list[str] = []
-    best: set[str] | None = None
-    operand = True
 
-    def reduce(values: list[set[str]], operators: list[str]) -> None:
-        right, left = values.pop(), values.pop()
-        values.append({f"{a} with {b}" for a in left for b in right} if operators.pop() == "with" else left | right)
+    def reduce() -> None:
+        right, left = output.pop(), output.pop()
+        if waiting.pop() == "with":
+            left = {f"{left.pop()} with {right.pop()}"}
+        else:
+            left, right = (left, right) if len(left) >= len(right) else (right, left)
+            left |= right
+        output.append(left)
 
-    for match in SYMBOL.finditer(expression):
-        word = match[0].decode().lower()
-        if operand and word == "(":
+    for word in expression_symbols(expression, accepts):
+        if word == "(":
             waiting.append(word)
-            continue
-        if operand and word not in BINDING and word != ")":
-            output.append({identifier_label(word)})
-            operand = False
-        elif not operand and word == ")" and "(" in waiting:
+        elif word == ")":
             while waiting[-1] != "(":
-                reduce(output, waiting)
+                reduce()
             waiting.pop()
-        elif not operand and word in BINDING:
+        elif word in BINDING:
             while waiting and waiting[-1] != "(" and BINDING[waiting[-1]] >= BINDING[word]:
-                reduce(output, waiting)
+                reduce()
             waiting.append(word)
-            operand = True
-            continue
         else:
-            break
-        if "(" not in waiting:
-            values, operators = [set(x) for x in output], list(waiting)
-            while operators:
-                reduce(values, operators)
-            best = values[0]
-    return best
+            output.append({identifier_label(word)})
+    while waiting:
+        reduce()
+    return output[0] if output else None
 
 
 def scan_text(text: str | None, finder: ahocorasick.Automaton) -> tuple:
@@ -116,7 +159,7 @@ def scan_text(text: str | None, finder: ahocorasick.Automaton) -> tuple:
             labels[label] = how
     if tagged:
         for match in TAGGED.finditer(text.encode()):
-            for label in expression_labels(match[1]) or ():
+            for label in expression_labels(match[1], is_identifier) or ():
                 labels[label] = "tag"
     unsure = 1.0
     for how in labels.values():
@@ -138,9 +181,12 @@ def scan_licences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per document.
 
     A-Z is lower-cased and the words joined by blanks; one automaton finds the phrases of BASE and NOTICES and the
-    identifier tag in it. After a tag the rest of the line is read as a licence expression. `score` is the chance
-    that at least one label is right, from SURE. Null and wordless texts have zeros, nulls for places and empty
-    labels. Rows that repeat are scanned alike; an empty table gives an empty result; other columns are not read.
+    identifier tag in it. After a tag the rest of the line is read as a licence expression of known identifiers;
+    a line that begins with another word has none. `score` is the chance that at least one label is right, from
+    SURE. Null and wordless texts have zeros, nulls for places and empty labels. A very long text is one value of
+    its task, held a few times over; time follows its length, also that of its expressions. Labels found twice
+    count once, by their surest find. Rows that repeat are scanned alike; an empty table gives an empty result;
+    other columns, whatever their names, are not read.
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
