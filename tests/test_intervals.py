@@ -24,14 +24,51 @@ def covered(rows, media):
     return {t for m, _, s, e in rows if m == media for t in range(s, e)}
 
 
-@pytest.mark.parametrize("salt", [1, 3])
-def test_overlap_join_equals_theta_join(table, salt):
+@pytest.mark.parametrize("salt, long_spans", [(1, False), (3, False), (3, True)])
+def test_overlap_join_equals_theta_join(table, salt, long_spans):
     a, b = spans(1, 80), spans(2, 60, 200)
     right = table(b, SPAN).toDF("media_id", "r_seq", "r_start_ms", "r_end_ms")
-    got = {(r.seq, r.r_seq) for r in I.overlap_join(table(a, SPAN), right, 50, salt=salt).collect()}
+    got = {(r.seq, r.r_seq) for r in I.overlap_join(table(a, SPAN), right, 50, salt=salt, long_spans=long_spans).collect()}
     want = {(x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < y[3] and x[3] > y[2]}
     assert got == want
-    assert I.overlap_join(table(a, SPAN), right, 50, salt=salt).count() == len(want)
+    assert I.overlap_join(table(a, SPAN), right, 50, salt=salt, long_spans=long_spans).count() == len(want)
+
+
+@pytest.mark.parametrize("width", [1, 7, 50, 100_000])
+def test_overlap_join_of_short_and_long_spans(table, width):
+    """Lengths from 1 to 40,000 on both sides, empty and negative spans too: same pairs as comparing all."""
+    rng = random.Random(width)
+    sides = [[(rng.choice("mn"), i, s := rng.randrange(-20_000, 20_000), s + rng.choice([0, 1, 3, 60, 900, 9_000, 40_000])) for i in range(150)] for _ in "ab"]
+    a, b = sides
+    right = table(b, SPAN).toDF("media_id", "r_seq", "r_start_ms", "r_end_ms")
+    got = sorted((r.seq, r.r_seq) for r in I.overlap_join(table(a, SPAN), right, width, long_spans=True).collect())
+    assert got == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < y[3] and x[3] > y[2])
+
+
+def test_a_long_span_is_copied_a_few_times_only(table):
+    """One span of 12 hours among words: every row has at most four places and two more a wider level."""
+    words = table([("m", i, 500 * i, 500 * i + 300) for i in range(1_000)], SPAN)
+    long = table([("m", 0, 0, 43_200_000), ("m", 1, 10_000, 30_000), ("m", 2, 600_000, 1_500_000)], SPAN)
+    span = ("start_ms", "end_ms")
+    for rows, other, role in ((words, long, 1), (long, words, 2), (long, long, 1)):
+        places = I.overlap_places(rows, span, 60_000, I.levels_of(other, span, 60_000), role)
+        most = places.groupBy("seq").count().agg(F.max("count")).first()[0]
+        assert most <= 8, "12 hours are 720 buckets of a minute"
+    right = long.toDF("media_id", "r_seq", "r_start_ms", "r_end_ms")
+    assert I.overlap_join(words, right, 60_000, long_spans=True).groupBy("r_seq").count().orderBy("r_seq").collect() == [(0, 1_000), (1, 40)]
+    # Spans of one level meet at one place, as if there were no levels.
+    assert I.overlap_places(words, span, 60_000, I.levels_of(words, span, 60_000), 1).count() < 1_010
+
+
+@pytest.mark.parametrize("long_spans", [False, True])
+def test_overlap_join_of_nulls_and_empty_tables(table, long_spans):
+    some, none = table([("m", 0, None, 5), ("m", 1, 3, None), (None, 2, 1, 9), ("m", 3, 1, 9)], SPAN), table([], SPAN)
+
+    def pairs(a, b):
+        right = b.toDF("media_id", "r_seq", "r_start_ms", "r_end_ms")
+        return [(r.seq, r.r_seq) for r in I.overlap_join(a, right, 4, long_spans=long_spans).collect()]
+    assert pairs(some, some) == [(3, 3)]
+    assert pairs(some, none) == pairs(none, some) == []
 
 
 def test_union_is_idempotent_and_covers(table):

@@ -17,7 +17,7 @@ BUCKET = 60_000
 
 def clip_words(words: DataFrame, clips: DataFrame) -> DataFrame:
     """Words overlapping a clip, cut to it and moved to clip time."""
-    return (overlap_join(words, clips, BUCKET, right_span=("clip_start", "clip_end"))
+    return (overlap_join(words, clips, BUCKET, right_span=("clip_start", "clip_end"), long_spans=True)
             .withColumn("start_ms", F.greatest("start_ms", "clip_start") - F.col("clip_start"))
             .withColumn("end_ms", F.least("end_ms", "clip_end") - F.col("clip_start")))
 
@@ -35,7 +35,7 @@ def clip_texts(pieces: DataFrame, clips: DataFrame, opening_ms: int = 5_000, end
     Pieces are words, plus whole segments where a segment has no words.
     """
     start, end = F.col("clip_start"), F.col("clip_end")
-    inside = (overlap_join(pieces, clips, BUCKET, right_span=("clip_start", "clip_end"))
+    inside = (overlap_join(pieces, clips, BUCKET, right_span=("clip_start", "clip_end"), long_spans=True)
               .filter((F.col("start_ms") >= start) & (F.col("end_ms") <= end)))
     seq, text = F.col("seq"), F.col("text")
     texts = inside.groupBy("media_id", "clip").agg(

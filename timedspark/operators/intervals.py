@@ -16,16 +16,76 @@ from timedspark.operators.scan import Axis, latest, peak, scan, total, upcoming
 from timedspark.operators.stage import stage
 
 MEDIA = ("media_id",)
+# Each level's buckets are 16 times as wide as those below; the levels reach from 1 ms to centuries.
+LEVELS = 12
+# Meetings of a bucket, over three times the levels; a power of two.
+PLACES = 64
 
 
-def _bucket(value: Column, width: int) -> Column:
-    return F.floor(value / F.lit(width)).cast("bigint")
+def _last(start: Column, end: Column) -> Column:
+    return F.greatest(end - 1, start)
+
+
+def _last(start: Column, end: Column) -> Column:
+    return F.greatest(end - 1, start)
+
+
+def _bucket(value: Column, width: int, level: Column | None = None) -> Column:
+    """Number of the bucket of `width` ms, or of `width` * 16^level."""
+    lowest = F.floor(value / F.lit(width)).cast("bigint")
+    return lowest if level is None else F.call_function("shiftright", lowest, level * 4)
+
+
+def _level(start: Column, end: Column, width: int) -> Column:
+    """Lowest level whose buckets are as wide as the span, which then touches at most two of them."""
+    length = _last(start, end) - start + 1
+    wider = [(length > F.lit(min(width * 16 ** k, 2 ** 62))).cast("int") for k in range(LEVELS - 1)]
+    return sum(wider[1:], wider[0])
+
+
+def overlap_places(df: DataFrame, span: tuple[str, str], width: int, others: Column, visits: int) -> DataFrame:
+    """Add `__place` to each row, once per place where it can meet spans of the other side: bucket * 64 + meeting.
+
+    A row is at home in the buckets of its own level and visits those of wider levels. Of a pair the shorter
+    visits the longer, or both are at home, so two visitors never meet and a pair has one meeting: three times
+    the level, and 0 at home, 1 or 2 when the left or right row visits. `others` has the bits of the levels of
+    the other side; places at other levels are left out. A row has at most four places at home and two at each
+    wider level, whatever its length.
+    """
+    start, end = (F.col(c) for c in span)
+    level, there = F.col("__level"), F.col("__others")
+    here = F.expr("shiftleft(1L, __level)")
+    no_meetings = F.array().cast("array<struct<level: int, meeting: int>>")
+
+    def at(on: Column, kind: int) -> Column:
+        return F.struct(on.cast("int").alias("level"), (on * 3 + kind).cast("int").alias("meeting"))
+
+    def places(on: Column, meeting: Column) -> Column:
+        first, last = (_bucket(x, width, on) * PLACES + meeting for x in (start, _last(start, end)))
+        return F.sequence(first, last, F.lit(PLACES).cast("bigint"))
+
+    equal = F.when(there.bitwiseAND(here) != 0, F.array(at(level, 0))).otherwise(no_meetings)
+    shorter = F.when(there.bitwiseAND(here - 1) != 0, F.array(at(level, 3 - visits))).otherwise(no_meetings)
+    wider = F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: (k > level) & (F.call_function("getbit", there, k) == 1))
+    meetings = F.concat(equal, shorter, F.transform(wider, lambda k: at(k, visits)))
+    # Most tables have short spans only; these meet in one set of buckets, without the general expression.
+    plain = (level == 0) & (there == 1)
+    found = F.when(plain, places(F.lit(0), F.lit(0))).otherwise(F.flatten(F.transform(meetings, lambda m: places(m["level"], m["meeting"]))))
+    return (df.withColumn("__level", _level(start, end, width)).withColumn("__others", others)
+            .withColumn("__place", F.explode(found)).drop("__level", "__others"))
+
+
+def levels_of(df: DataFrame, span: tuple[str, str], width: int) -> Column:
+    """Bits of the levels that the spans of `df` are on: a scalar subquery of one aggregate over two columns."""
+    start, end = (F.col(c) for c in span)
+    bits = df.select(_level(start, end, width).alias("level")).agg(F.bit_or(F.expr("shiftleft(1L, level)")))
+    return F.coalesce(bits.scalar(), F.lit(0).cast("bigint"))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, width: int, keys: tuple[str, ...] = MEDIA,
                  left_span: tuple[str, str] = ("start_ms", "end_ms"),
                  right_span: tuple[str, str] = ("r_start_ms", "r_end_ms"),
-                 salt: int = 1) -> DataFrame:
+                 salt: int = 1, long_spans: bool = False) -> DataFrame:
     """Inner join of overlapping pairs, each pair once.
 
     Both sides are cut into buckets of `width` ms and equi-joined on the
@@ -33,24 +93,32 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int, keys: tuple[str,
     starts, so no distinct is needed. Column names apart from `keys` must
     differ. `salt` spreads the left rows of a bucket over that many join keys,
     for buckets known to be hot; otherwise skew is left to adaptive execution.
+
+    With `long_spans`, spans beyond `width` lie in wider buckets of their own
+    level, so that none is copied into more than a few (see `overlap_places`);
+    both sides are then read twice, first for the levels they have. Without,
+    a span is copied into every bucket it touches: right where lengths are
+    bounded by what made them. The pairs are the same.
     """
     ls, le = (F.col(c) for c in left_span)
     rs, re = (F.col(c) for c in right_span)
-
-    def cut(df: DataFrame, start: Column, end: Column) -> DataFrame:
-        last = F.greatest(end - 1, start)
-        return df.withColumn("__bucket", F.explode(F.sequence(_bucket(start, width), _bucket(last, width))))
-
-    lhs, rhs = cut(left, ls, le), cut(right, rs, re)
-    on = [*keys, "__bucket"]
+    later = F.greatest(ls, rs)
+    if long_spans:
+        lhs = overlap_places(left, left_span, width, levels_of(right, right_span, width), 1)
+        rhs = overlap_places(right, right_span, width, levels_of(left, left_span, width), 2)
+        level = F.expr(f"int(pmod(__place, {PLACES}) div 3)")
+        first = F.call_function("shiftright", "__place", F.lit(6)) == _bucket(later, width, level)
+    else:
+        lhs, rhs = (df.withColumn("__place", F.explode(F.sequence(_bucket(s, width), _bucket(_last(s, e), width))))
+                    for df, s, e in ((left, ls, le), (right, rs, re)))
+        first = F.col("__place") == _bucket(later, width)
+    on = [*keys, "__place"]
     if salt > 1:
         spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salt)).cast("int")
         lhs = lhs.withColumn("__salt", spread)
         rhs = rhs.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         on.append("__salt")
-    return (lhs.join(rhs, on)
-            .filter((ls < re) & (le > rs) & (F.col("__bucket") == _bucket(F.greatest(ls, rs), width)))
-            .drop("__bucket", "__salt"))
+    return lhs.join(rhs, on).filter((ls < re) & (le > rs) & first).drop("__place", "__salt")
 
 
 def point_join(points: DataFrame, spans: DataFrame, width: int, at: str,
@@ -108,7 +176,7 @@ def subtract(ranges: DataFrame, removed: DataFrame, ident: list[str], width: int
     holes = union_ranges(removed, keys, width).select(
         *keys, F.col("start_ms").alias("r_start_ms"), F.col("end_ms").alias("r_end_ms"))
     base = ranges.select(*keys, *ident, "start_ms", "end_ms")
-    cuts = overlap_join(base, holes, bucket or width, keys).select(
+    cuts = overlap_join(base, holes, bucket or width, keys, long_spans=True).select(
         *keys, *ident, "start_ms", "end_ms",
         F.greatest("r_start_ms", "start_ms").alias("hole_start"),
         F.least("r_end_ms", "end_ms").alias("hole_end"))
