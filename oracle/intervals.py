@@ -201,8 +201,7 @@ SELECT media_id, window_no, c AS core_start, e AS core_end, greatest(c - 4000, 0
 FROM num JOIN durs USING (media_id) WHERE window_no <= 8""")
 oracle("unreliable_chunks", """
 WITH loc AS (SELECT o.media_id, o.idx, greatest(i.start_ms, o.start_ms) - o.start_ms AS a, least(i.end_ms, o.end_ms) - o.start_ms AS b
-             FROM issues i JOIN owned100e o ON o.media_id = i.media_id AND i.start_ms < o.end_ms AND i.end_ms > o.start_ms
-             WHERE (i.start_ms + i.end_ms) % 3 = 0),
+             FROM issues i JOIN owned100e o ON o.media_id = i.media_id AND i.start_ms < o.end_ms AND i.end_ms > o.start_ms),
 tot AS (SELECT media_id, idx, sum(b - a)::BIGINT AS issue_ms FROM loc GROUP BY ALL),
 j AS (SELECT o.*, coalesce(issue_ms, 0) AS issue_ms, coalesce(issue_ms, 0) > (end_ms - start_ms) * 0.1::DOUBLE AS rejected
       FROM owned100e o LEFT JOIN tot USING (media_id, idx)),

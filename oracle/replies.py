@@ -5,7 +5,7 @@ from oracle.sequences import fold
 
 oracle("discovery", """
 WITH e AS (SELECT event_id, event_id % 9 AS v, 1000 + event_id * 1237 % 700000 AS s,
-                  1000 + event_id * 1237 % 700000 + 10000 + event_id * 7 % 90 * 1000 AS e FROM events WHERE event_type = 'purchase'),
+                  1000 + event_id * 1237 % 700000 + 10000 + event_id * 7 % 90 * 1000 AS e FROM events),
 c AS (SELECT *, unnest(CASE WHEN v = 7 THEN [0, 1] ELSE [0] END)::BIGINT AS pos, least(s, 650000) AS a, least(e, 650000) AS b FROM e WHERE v NOT IN (4, 6, 8))
 SELECT event_id, pos, a AS start_ms, b AS end_ms,
        CASE WHEN v = 2 THEN 'Clip ' || round_even(a / 1000, 0)::BIGINT || '-' || round_even(b / 1000, 0)::BIGINT ELSE 'Big idea ' || event_id END AS title,
@@ -92,9 +92,9 @@ SELECT media_id, round(fv, 6) AS face_visibility, round(st, 6) AS crop_stability
 
 define("qt", """
   SELECT * FROM (
-    SELECT event_id AS media_id, 0::BIGINT AS seq, (b + 20) * 1000 AS s, (b + 29) * 1000 AS e, 'later words' AS t FROM (SELECT *, event_id * 13 % 500 AS b FROM events WHERE event_type = 'click')
-    UNION ALL SELECT event_id, 1, b * 1000, (b + event_id % 12) * 1000, 'first words' FROM (SELECT *, event_id * 13 % 500 AS b FROM events WHERE event_type = 'click')
-    UNION ALL SELECT event_id, 2, (b + 5) * 1000, (b + 15) * 1000, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'middle' END FROM (SELECT *, event_id * 13 % 500 AS b FROM events WHERE event_type = 'click'))
+    SELECT event_id AS media_id, 0::BIGINT AS seq, (b + 20) * 1000 AS s, (b + 29) * 1000 AS e, 'later words' AS t FROM (SELECT *, event_id * 13 % 500 AS b FROM events)
+    UNION ALL SELECT event_id, 1, b * 1000, (b + event_id % 12) * 1000, 'first words' FROM (SELECT *, event_id * 13 % 500 AS b FROM events)
+    UNION ALL SELECT event_id, 2, (b + 5) * 1000, (b + 15) * 1000, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'middle' END FROM (SELECT *, event_id * 13 % 500 AS b FROM events))
   WHERE e > s AND t <> '' AND e <= 520000""")
 oracle("quotables", "WITH s AS (" + fold("qt", "media_id", "{'seq': seq, 's': s, 'e': e, 't': t}", "s, seq",
                                         "CASE WHEN x[1].s < a[-1].e THEN a ELSE list_concat(a, x) END") + """)

@@ -120,16 +120,16 @@ oracle("boundary_words", "WITH s AS (" + fold(
                  [{'seq': x[1].seq, 's': (a[-1].raw + x[1].s) // 2, 'e': x[1].e, 'raw': x[1].raw, 'p': x[1].p, 'l': x[1].l}]) END""") + """)
 SELECT media_id, r.seq AS seq, r.s AS start_ms, r.e AS end_ms FROM s""")
 
-define("buys", "SELECT media_id, seq, start_ms, end_ms, score FROM ev WHERE kind = 'purchase'")
+define("candidates", "SELECT media_id, seq, start_ms, end_ms, score FROM ev")
 oracle("score_order", """
-SELECT * FROM (SELECT media_id, seq, score, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, seq)::INTEGER AS place FROM buys b)""")
-GREEDY = fold("buys", "media_id", "{'seq': seq, 's': start_ms, 'e': end_ms, 'score': score}", "score DESC, seq",
+SELECT * FROM (SELECT media_id, seq, score, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, seq)::INTEGER AS place FROM candidates b)""")
+GREEDY = fold("candidates", "media_id", "{'seq': seq, 's': start_ms, 'e': end_ms, 'score': score}", "score DESC, seq",
               "CASE WHEN len(a) >= 5 OR len(list_filter(a, lambda y: y.s < x[1].e AND y.e > x[1].s)) > 0 THEN a ELSE list_concat(a, x) END")
 oracle("greedy_clips", "WITH s AS (" + GREEDY + """)
 SELECT media_id, r.seq AS seq, r.s AS start_ms, r.e AS end_ms, r.score AS score,
        row_number() OVER (PARTITION BY media_id ORDER BY r.score DESC, r.seq)::INTEGER AS pick FROM s""")
 oracle("greedy_by_start", "WITH s AS (" + fold(
-    "buys", "media_id", "{'seq': seq, 's': start_ms, 'e': end_ms}", "start_ms, seq",
+    "candidates", "media_id", "{'seq': seq, 's': start_ms, 'e': end_ms}", "start_ms, seq",
     "CASE WHEN x[1].s < a[-1].e THEN a ELSE list_concat(a, x) END") + """)
 SELECT media_id, r.seq AS seq, r.s AS start_ms, r.e AS end_ms FROM s""")
 oracle("clip_caps", """

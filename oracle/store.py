@@ -61,8 +61,8 @@ oracle("fingerprint_reuse", """
 SELECT o_orderkey AS key, sha256('{"settings":"' || o_orderstatus || '","words":' || o_custkey || '}') AS fingerprint FROM orders
 WHERE NOT (o_orderkey % 3 = 1 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0)""")
 oracle("resume_selection", """
-WITH s AS (SELECT media_id, seq, start_ms, start_ms + (end_ms - start_ms) // 4 AS end_ms FROM ev WHERE kind = 'purchase' AND seq % 5 = 0),
-x AS (SELECT * FROM ev WHERE kind = 'signup' AND seq % 9 = 0),
+WITH s AS (SELECT media_id, seq, start_ms, start_ms + (end_ms - start_ms) // 4 AS end_ms FROM ev WHERE kind = 'purchase'),
+x AS (SELECT * FROM ev WHERE kind = 'signup'),
 f AS (SELECT s.*, max(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach,
              EXISTS (SELECT 1 FROM x WHERE x.media_id = s.media_id AND x.start_ms < s.end_ms AND x.end_ms > s.start_ms) AS hit FROM s)
 SELECT media_id, bool_and(media_id % 9 <> 0 AND seq % 61 <> 0 AND NOT hit AND NOT coalesce(start_ms < reach, false)) AND count(*) <= 12 AS resumable FROM f GROUP BY media_id""")

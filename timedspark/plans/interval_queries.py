@@ -213,7 +213,7 @@ def retry_windows(spark, sf):
 @query("unreliable_chunks")
 def unreliable_chunks(spark, sf):
     owned = stage(I.owned_ranges(I.overlapping_chunks(bind.durations(spark, sf), 100_000, 10_000)))
-    issues = V.coverage_issues(V.coverage_findings(*audit_tables(spark, sf))).filter("(start_ms + end_ms) % 3 = 0")
+    issues = V.coverage_issues(V.coverage_findings(*audit_tables(spark, sf)))
     local = (I.overlap_join(issues, owned.select("media_id", "idx", F.col("start_ms").alias("cs"), F.col("end_ms").alias("ce")),
                             60_000, right_span=("cs", "ce"))
              .select("media_id", "idx", (F.greatest("start_ms", "cs") - F.col("cs")).alias("start_ms"),

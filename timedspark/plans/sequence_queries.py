@@ -177,26 +177,26 @@ def boundary_words(spark, sf):
     return rows.select("media_id", "seq", "start_ms", "end_ms")
 
 
-def purchases(spark, sf):
-    return bind.events(spark, sf, "purchase").select("media_id", "seq", "start_ms", "end_ms", "score")
+def candidates(spark, sf):
+    return bind.events(spark, sf).select("media_id", "seq", "start_ms", "end_ms", "score")
 
 
 @query("score_order")
 def score_order(spark, sf):
     from pyspark.sql import Window
     best = Window.partitionBy("media_id").orderBy(F.col("score").desc(), "seq")
-    return purchases(spark, sf).select("media_id", "seq", "score", F.row_number().over(best).alias("place"))
+    return candidates(spark, sf).select("media_id", "seq", "score", F.row_number().over(best).alias("place"))
 
 
 @query("greedy_clips")
 def greedy_clips(spark, sf):
-    return K.greedy_by_score(purchases(spark, sf), 5, width=HALF_DAY).select(
+    return K.greedy_by_score(candidates(spark, sf), 5, width=HALF_DAY).select(
         "media_id", "seq", "start_ms", "end_ms", "score", "pick")
 
 
 @query("greedy_by_start")
 def greedy_by_start(spark, sf):
-    return K.greedy_by_start(purchases(spark, sf), width=HALF_DAY).select("media_id", "seq", "start_ms", "end_ms")
+    return K.greedy_by_start(candidates(spark, sf), width=HALF_DAY).select("media_id", "seq", "start_ms", "end_ms")
 
 
 @query("clip_caps")

@@ -183,9 +183,9 @@ def fingerprint_reuse(spark, sf):
 @query("resume_selection")
 def resume_selection(spark, sf):
     b = bind.events(spark, sf, "purchase")
-    saved = b.filter("seq % 5 = 0").select("media_id", "seq", "start_ms", (F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) / 4)).alias("end_ms"),
+    saved = b.select("media_id", "seq", "start_ms", (F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) / 4)).alias("end_ms"),
                                            (F.col("media_id") % 7).alias("context"), (F.col("seq") % 61 != 0).alias("valid"))
-    excluded = bind.events(spark, sf, "signup").filter("seq % 9 = 0")
+    excluded = bind.events(spark, sf, "signup")
     caps = b.select("media_id").distinct().select("media_id", F.when(F.col("media_id") % 9 == 0, 99).otherwise(F.col("media_id") % 7).alias("context"),
                                                   F.lit(12).alias("target"))
     return D.resumable(saved, excluded, caps, bind.HALF_DAY)
