@@ -161,7 +161,7 @@ oracle("select_clips", "WITH f AS (" + fold(
 SELECT media_id, r.sec AS section, r.seq AS seq, r.fs AS final_start, r.fe AS final_end, r.score AS score, r.st = 1 AS in_order FROM f""")
 
 oracle("beat_snap", """
-WITH b AS (SELECT media_id, start_ms FROM words WHERE pos % 4 = 0 AND media_id % 10 <> 9)
+WITH b AS (SELECT media_id, start_ms FROM words WHERE media_id % 10 <> 9)
 SELECT c.media_id, clip, coalesce(arg_min(start_ms, abs(start_ms - clip_start) * 10000000 + start_ms), (clip_start + 5) // 10 * 10) AS snapped
 FROM clips c LEFT JOIN b ON b.media_id = c.media_id GROUP BY c.media_id, clip, clip_start""")
 oracle("peak_sections", "WITH e AS (SELECT media_id, frame, level::BIGINT * 1000 + frame % 7 AS v FROM energy), t AS (SELECT media_id, max(v) AS top FROM e GROUP BY ALL),\ns AS (" + fold(
