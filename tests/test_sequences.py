@@ -164,3 +164,14 @@ def test_split_span_ends_exactly(table):
     df = table([(["a", "bbb", "cc"],)], "t ARRAY<STRING>")
     got = df.select(S.split_span(F.col("t"), F.lit(100).cast("bigint"), F.lit(200).cast("bigint")).alias("p")).first().p
     assert [(p.start_ms, p.end_ms) for p in got] == [(100, 117), (117, 167), (167, 200)]
+
+
+def test_all_frames_are_never_broadcast(spark, tmp_path):
+    """A supplier makes 300 frames, three panels each: joins shuffle them whatever Spark takes their size to be."""
+    from timedspark.plans import bind, frame_queries
+    spark.range(5).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    boxes = spark.range(1_000).selectExpr("id % 5 AS media_id", "id % 300 AS frame", "id AS det")
+    for frames, keys in ((bind.media_frames(spark, tmp_path), ["media_id", "frame"]), (frame_queries.panels(spark, tmp_path), ["media_id", "frame"]),
+                         (bind.media_frames(spark, tmp_path).drop("frame"), ["media_id"])):
+        assert "Broadcast" not in boxes.join(frames, keys)._jdf.queryExecution().executedPlan().toString()
+    assert bind.media_frames(spark, tmp_path).distinct().count() == 1_500

@@ -104,9 +104,14 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def media_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Every frame of every recording, with or without a box."""
+    """Every frame of every recording, with or without a box.
+
+    Spark takes an exploded table to be about as small as what it came from and would broadcast all frames through the
+    driver; the hint has joins shuffle them. They are dealt out by the keys of most joins before panels multiply them.
+    """
     media = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("media_id"))
-    return media.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(299).cast("bigint"))))
+    frames = media.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(299).cast("bigint"))))
+    return frames.repartition("media_id", "frame").hint("merge")
 
 
 def signatures(spark: SparkSession, sf: str) -> DataFrame:
