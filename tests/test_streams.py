@@ -100,6 +100,30 @@ def test_chunks_are_forgotten_after_their_time(spark):
     assert [r["outcome"] for r in out.collect()] == ["stored", "stored"]
 
 
+CHUNK = "job_id long, chunk_index long, sha256 string, total long, arrival long"
+
+
+def chunk_results(spark, rows, keep_ms=K.DAY_MS, parts=3):
+    feed = S.Feed(spark.createDataFrame(rows, CHUNK), "intake", "arrival", parts=parts)
+    out = S.run_known(feed, feed.stream(), W.chunk_outcomes, W.CHUNK_KNOWN, keep_ms, "intake")
+    return sorted((tuple(r) for r in out.collect()), key=str)
+
+
+def test_chunks_judged_by_earlier_batches(spark):
+    """As the typed state says it, over restarts, with repeats in the same and in later batches, and no digest at all."""
+    rows = [(1, 2, "x", 3, 0), (1, 0, "y", 3, 1), (1, 2, "x", 3, 2), (2, 0, "z", 1, 3), (1, 2, "q", 3, 4), (1, 1, "w", 3, 5), (1, 1, "w", 3, 6),
+            (3, 0, None, 2, 0), (3, 0, None, 2, 7), (3, 1, "a", 2, 8)]
+    feed = S.Feed(spark.createDataFrame(rows, CHUNK), "typed", "arrival", parts=3)
+    typed = S.run_keyed(feed, K.chunk_intake(feed.stream()), "typed", clock=True)
+    got = chunk_results(spark, rows)
+    assert got == sorted((tuple(r) for r in typed.collect()), key=str) and (1, 1, "w", "complete") in got and (3, 0, None, "repeat") in got
+
+
+def test_found_chunks_are_forgotten_after_their_time(spark):
+    rows = [(1, 0, "x", 2, 0), (1, 0, "x", 2, 9)]
+    assert [r[3] for r in chunk_results(spark, rows, 1, 2)] == ["stored", "stored"]
+
+
 SELECTION = "media_id long, section long, seq long, score long, allowance long, target long, start_ms long, end_ms long, final_start long, final_end long, last boolean, arrival long"
 
 

@@ -6,12 +6,13 @@ to date until the watermark passes it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timedspark.operators.scan import TIMES, islands, peak
 from timedspark.operators.stage import stage
 
+CHUNK_KNOWN = "outcome IN ('stored', 'complete')"
 OPEN_SESSION = "media_id BIGINT, start_ms BIGINT, end_ms BIGINT, n_words BIGINT"
 
 
@@ -76,3 +77,23 @@ def word_sessions(batch: DataFrame, carried: DataFrame, gap_ms: int = 700) -> tu
     ended = batch.filter("ended").select("media_id").distinct().withColumn("over", F.lit(True))
     found = stage(sessions.join(newest, "media_id").join(ended, "media_id", "left").withColumn("open", F.col("over").isNull() & (F.col("session") == F.col("newest"))))
     return found.filter("NOT open").select(columns), found.filter("open").select(columns)
+
+
+def chunk_outcomes(batch: DataFrame, found: DataFrame | None) -> DataFrame:
+    """What `keyed.chunk_intake` says of upload chunks, for many uploads at once: (job_id, chunk_index, sha256, outcome, came_ms).
+
+    `batch`: (job_id, chunk_index, sha256, total, arrival, came_ms); `found`: the stored and complete rows of earlier
+    batches that are still known (`CHUNK_KNOWN`). One shuffle by upload and sorted windows, so no upload is held in memory.
+    """
+    columns = ["job_id", "chunk_index", "sha256", "total", "arrival", "came_ms"]
+    rows = batch.select(*columns, F.lit(True).alias("fresh"))
+    if found is not None:
+        rows = rows.unionByName(found.select("job_id", "chunk_index", "sha256", "came_ms", F.lit(False).alias("fresh")), allowMissingColumns=True)
+    order = [F.col("fresh"), F.col("arrival"), F.col("chunk_index")]
+    chunk = Window.partitionBy("job_id", "chunk_index").orderBy(*order)
+    upload = Window.partitionBy("job_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.repartition("job_id").withColumn("n", F.row_number().over(chunk)).withColumn("held", F.first("sha256").over(chunk))
+    counted = placed.withColumn("have", F.count_if(F.col("n") == 1).over(upload)).filter("fresh")
+    outcome = (F.when((F.col("n") > 1) & F.col("sha256").eqNullSafe(F.col("held")), "repeat").when(F.col("n") > 1, "conflict")
+               .when(F.col("have") == F.col("total"), "complete").otherwise("stored"))
+    return counted.select("job_id", "chunk_index", "sha256", outcome.alias("outcome"), "came_ms")
