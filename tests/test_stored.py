@@ -66,6 +66,18 @@ def test_a_result_appears_with_its_third_file(spark):
     assert seen == [[], ["a"], ["a", "b"]]
 
 
+def test_many_folders_are_listed_by_few_tasks(spark):
+    """Not a task for each of them: 60 folders, 8 cores."""
+    folder, context = S.new_folder(spark, "many"), spark.sparkContext
+    write_files(spark, folder, *[f"{k}.mp4" for k in range(60)])
+    context.setJobGroup("many-folders", "listing")
+    L.watch_files(spark, folder)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("many-folders") for s in tracker.getJobInfo(j).stageIds]
+    context._jsc.clearJobGroup()
+    assert stages and max(s.numTasks for s in stages) <= 2 * context.defaultParallelism
+
+
 def test_names_of_files(spark):
     paths = ["s3://x/reels/12 b.captions.json", "file:/x/file=7.mp4/part-00000-a.txt", "/x/9.txt", "/x/9.jpg", "/x/file=9.jpg/part-0.txt"]
     frame = spark.createDataFrame([(p,) for p in paths], "path string")
