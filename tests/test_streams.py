@@ -138,6 +138,36 @@ def test_sections_wait_for_their_turn(spark):
     assert kept[-1] == 1  # a finished recording is one word
 
 
+def test_sections_in_batches_as_with_typed_state(spark):
+    """The same picks over one, two and four rounds, with late rows, repeats, a recording that never ends and rows after the last section."""
+    rows = []
+    for media in range(6):
+        for section in range(5):
+            at = section + (-2 * (section % 2) if media % 2 else 0)
+            for seq in range(4):
+                begin = (section * 37 + seq * 13 + media * 7) % 150
+                rows.append((media, section, section * 10 + seq, (seq * 31 + section * 17) % 50, 1 + section // 2, 4, begin, begin + 25, begin, begin + 20, False, at * 10 + seq))
+            if (media, section) != (5, 3):
+                rows.append((media, section, -1, *[0] * 7, section == 4, at * 10 + 5))
+        rows.append(rows[-3])
+        rows.append((media, 0, 99, 999, 5, 5, 0, 5, 400, 405, False, 90))
+    found = []
+    for parts in (1, 2, 4):
+        feed = S.Feed(spark.createDataFrame(rows, SELECTION), "rounds", "arrival", parts=parts)
+        found.append(sorted(tuple(r) for r in S.run_carried(feed, feed.stream(), K.admit_in_batches, K.OPEN_SELECTION, "rounds").collect()))
+    feed = S.Feed(spark.createDataFrame(rows, SELECTION), "typed", "arrival", parts=4)
+    typed = sorted(tuple(r) for r in S.run_keyed(feed, K.admit_incrementally(feed.stream()), "typed").collect())
+    assert found[2] == typed and {r[0] for r in typed} == set(range(6)) and {r[-1] for r in typed} == {True, False}
+    assert all({r for r in f if r[2] != 99} >= {r for r in typed if r[-1]} for f in found[1:])
+
+
+def test_selection_keeps_its_state_in_tables(spark, monkeypatch):
+    """The query must not ask a state store entry by entry."""
+    from timedspark.plans import stream_queries as Q
+    monkeypatch.setattr(S, "run_keyed", None)
+    assert Q.stream_selection(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_latest_count_wins(spark):
     rows = spark.createDataFrame([(1, 1, 9, 1), (1, 2, 4, 2), (1, 1, None, None)], "job_id long, place int, selected long, with long")
     once = W.job_progress(rows)

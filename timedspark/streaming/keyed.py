@@ -6,13 +6,15 @@ history. Event-time timers forget or report a key when the watermark passes its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from timedspark.operators.fold import grouped_fold
 from timedspark.operators.selection import Admission
+from timedspark.operators.stage import stage
 
 TOKEN_RESULT = "token STRING, at_ms BIGINT, outcome STRING"
 LEASE_RESULT = "owner BIGINT, last_ms BIGINT, stale_ms BIGINT"
@@ -21,6 +23,9 @@ PICK_RESULT = "media_id BIGINT, section BIGINT, seq BIGINT, final_start BIGINT,
 #: Fields of a waiting candidate, in the order they are worked.
 ITEM = ("section", "rank", "seq", "allowance", "target", "start_ms", "end_ms", "final_start", "final_end")
 DAY_MS = 86_400_000
+#: Rows of `admit_in_batches`: how far a recording is, its accepted spans, deferred and waiting candidates, closed sections; and picks.
+PLACE, SPAN, DEFERRED, WAITING, SHUT, PICK = range(6)
+OPEN_SELECTION = "media_id BIGINT, kind INT, " + ", ".join(f"{f} BIGINT" for f in ITEM) + ", last BOOLEAN"
 
 
 def on_event_time(stream: DataFrame, at_ms: str, late: str) -> DataFrame:
@@ -220,3 +225,59 @@ def admit_incrementally(stream: DataFrame) -> DataFrame:
     recording is remembered by one word.
     """
     return stream.groupBy("media_id").transformWithState(Sections(), PICK_RESULT, "append", "None")
+
+
+def _work_sections(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """What `Sections` does, for all that one recording has in a batch: rows of `OPEN_SELECTION` by kind in, picks and what is carried out."""
+    following, done = 0, False
+    admission, put_off, waiting, shut = Admission(), [], set(), {}
+    for media_id, kind, *item, last in rows:
+        if kind == PLACE:
+            following, done = item[0], last
+        elif done:
+            continue
+        elif kind == SPAN:
+            admission.spans.append((item[7], item[8]))
+        elif kind == DEFERRED:
+            put_off.append(tuple(item))
+        elif item[0] >= following and kind == WAITING:
+            waiting.add(tuple(item))
+        elif item[0] >= following:
+            shut[item[0]] = shut.get(item[0], False) or bool(last)
+    sections: dict[int, list[tuple]] = {}
+    for item in waiting:
+        sections.setdefault(item[0], []).append(item)
+    closed = done
+    while following in shut and not done:
+        for item in sorted(sections.pop(following, [])):
+            outcome = admission.offer(following, item[3], item[4], *item[5:])
+            if outcome == "accepted":
+                yield media_id, PICK, *item, True
+            elif outcome == "deferred":
+                put_off.append(item)
+        done = shut.pop(following)
+        following += 1
+    yield media_id, PLACE, following, *[None] * 8, done
+    if not done:
+        yield from ((media_id, SPAN, *[None] * 7, *span, None) for span in admission.spans)
+        yield from ((media_id, DEFERRED, *item, None) for item in put_off)
+        yield from ((media_id, WAITING, *item, None) for items in sections.values() for item in items)
+        yield from ((media_id, SHUT, section, *[None] * 8, last) for section, last in shut.items())
+    elif not closed:
+        for item in sorted(put_off, key=lambda i: (i[1], i[0], i[2:])):
+            if len(admission.spans) < item[4] and admission.take(*item[5:]) == "accepted":
+                yield media_id, PICK, *item, False
+
+
+def admit_in_batches(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `admit_incrementally` says, for many recordings at once: (picks, rows to carry to the next batch).
+
+    One shuffle by recording and a sorted pass; a recording's open sections, accepted spans and deferred candidates are
+    rows of the carried table (`OPEN_SELECTION`), not entries that a state store is asked for one by one.
+    """
+    kind = F.when(F.col("seq") >= 0, WAITING).otherwise(SHUT)
+    told = batch.withColumn("rank", -F.col("score")).select("media_id", kind.alias("kind"), *ITEM, "last")
+    found = stage(grouped_fold(told.unionByName(carried), ["media_id"], ["kind"], _work_sections, OPEN_SELECTION))
+    picks = found.filter(F.col("kind") == PICK).select(
+        "media_id", "section", "seq", "final_start", "final_end", (-F.col("rank")).alias("score"), F.col("last").alias("in_order"))
+    return picks, found.filter(F.col("kind") != PICK)
