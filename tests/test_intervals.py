@@ -183,3 +183,12 @@ def test_tolerance_is_strict(table):
     clips = table([("m", 0, 1_000, 2_000), ("m", 1, 1_049, 2_049), ("m", 2, 1_050, 2_000)], clip)
     done = table([("m", 9, 1_000, 2_000)], clip)
     assert [r.clip for r in C.skip_finished(clips, done).collect()] == [2]
+
+
+def test_tokens_of_all_scripts(table):
+    """The short rule for plain letters gives what the rule for all scripts gives, and only texts beyond ASCII go through it."""
+    from timedspark.operators.clips import _token
+    texts = ["Hello", "it's", "A_b-9!", "...", "", "Naïve,", "नमस्ते।", "İx", "\u212aelvin", "e\u0301!", "tab\there", "\x7f!a", None]
+    df = table([(t,) for t in texts], "text string")
+    for got, want in df.select(_token(F.col("text")), F.regexp_replace(F.lower("text"), r"(?U)[^\w]", "")).collect():
+        assert got == want

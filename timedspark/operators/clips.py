@@ -143,6 +143,13 @@ def reuse_containing(requests: DataFrame, stored: DataFrame, stored_words: DataF
         (F.least(b, F.col("clip_end")) - F.col("clip_start")).alias("end_ms"), "text")
 
 
+def _token(text: Column) -> Column:
+    """Lower case without anything but word characters; the slow rule for all scripts is for texts that need it."""
+    low = F.lower(text)
+    latin = F.when(low.rlike("^[a-z0-9_]*$"), low).otherwise(F.regexp_replace(low, "[^a-z0-9_]", ""))
+    return F.when(low.rlike(r"^[\x00-\x7F]*$"), latin).otherwise(F.regexp_replace(low, r"(?U)[^\w]", ""))
+
+
 def splice_words(words: DataFrame, replacement: DataFrame, windows: DataFrame) -> DataFrame:
     """Replace the words of repair windows by a second transcription.
 
@@ -155,7 +162,7 @@ def splice_words(words: DataFrame, replacement: DataFrame, windows: DataFrame) -
     text) to be read in start order; `j` is null for kept words, and `seq` of
     an inserted word is the first word it replaces, if any.
     """
-    key = lambda text: F.regexp_replace(F.lower(text), r"(?U)[^\w]", "")
+    key = _token
     win = windows.select("media_id", "win", F.col("start_ms").alias("ws"), F.col("end_ms").alias("we"))
     # Anchors lie within a second of a replacement word: bucket both by second.
     new = (replacement.join(win, ["media_id", "win"])
