@@ -20,6 +20,15 @@ def test_a_second_recording_is_not_late(spark):
     assert per == {1: (101, 600), 2: (101, 600)}
 
 
+def test_a_running_aggregate_is_worked_out_once_per_batch(spark, monkeypatch):
+    """The merge reads its rows several times; it must not run the stateful plan of the batch for each."""
+    plans, merge = [], S.merge_stored
+    monkeypatch.setattr(S, "merge_stored", lambda path, rows, *rest: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), merge(path, rows, *rest)))
+    feed = S.Feed(recordings(spark), "once", "place", parts=2)
+    S.run_upserts(feed, W.speech_density(feed.stream()), ["media_id", "start_ms", "arrived"], "once")
+    assert plans and not any("StateStore" in p for p in plans)
+
+
 def test_sessions_end_with_their_recording(spark):
     feed = S.Feed(recordings(spark, ended=True), "sessions", "place", parts=4)
     rows = S.run_carried(feed, feed.stream(), W.word_sessions, W.OPEN_SESSION, "sessions").orderBy("media_id").collect()

@@ -85,13 +85,14 @@ class Feed:
 def run_upserts(feed: Feed, stream: DataFrame, keys: list[str], name: str, mode: str = "update", buckets: int = 16) -> DataFrame:
     """Changed rows of every batch are merged into a stored table, of which only the touched buckets are rewritten.
 
-    A batch that runs again merges the same rows again, so replays change nothing.
+    A batch that runs again merges the same rows again, so replays change nothing. The merge reads its rows more than
+    once, so they are written first: a batch is a running aggregate, which would else be worked out each time.
     """
     spark = stream.sparkSession
     target, schema = new_folder(spark, name), StructType(stream.schema.fields)
 
     def write(batch: DataFrame, number: int) -> None:
-        merge_stored(target, batch, keys, None, buckets, number)
+        merge_stored(target, stage(batch), keys, None, buckets, number)
 
     feed.run(stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", target + "-state"))
     return read_stored(spark, target, schema).drop(BUCKET)
