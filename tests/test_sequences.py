@@ -175,3 +175,19 @@ def test_all_frames_are_never_broadcast(spark, tmp_path):
                          (bind.media_frames(spark, tmp_path).drop("frame"), ["media_id"])):
         assert "Broadcast" not in boxes.join(frames, keys)._jdf.queryExecution().executedPlan().toString()
     assert bind.media_frames(spark, tmp_path).distinct().count() == 1_500
+
+
+def test_boxes_are_numbered_in_one_shuffle(spark, monkeypatch):
+    """Equal boxes count once, and no hash table of a task's boxes comes before the numbers."""
+    from pyspark.sql import Window
+    from timedspark.plans import bind
+    from timedspark.plans.frame_queries import KEYS, box_overlaps, numbered_boxes
+    box = "media_id long, frame long, x long, y long, w long, h long"
+    rows = [(1, 0, 5, 0, 9, 9), (1, 0, 5, 0, 9, 9), (1, 0, 4, 9, 9, 9), (1, 0, 5, 0, 9, 8), (1, 1, 0, 0, 1, 1), (2, 0, 7, 7, 7, 7), (2, 0, 7, 7, 7, 7), (None, 0, 1, 1, 1, 1), (None, 0, 1, 1, 1, 1)]
+    monkeypatch.setattr(bind, "detections", lambda *_: spark.createDataFrame(rows, box))
+    got = numbered_boxes(spark, "")
+    want = spark.createDataFrame(rows, box).distinct().withColumn("person", F.row_number().over(Window.partitionBy(*KEYS).orderBy("x", "y", "w", "h")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
+    for df, sorts in ((got, 1), (box_overlaps(spark, ""), 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan and plan.count("Sort [") == sorts

@@ -18,11 +18,19 @@ KEYS = ["media_id", "frame"]
 CUT = 0.165
 
 
+def box_order():
+    return Window.partitionBy(*KEYS).orderBy("x", "y", "w", "h")
+
+
 def numbered_boxes(spark, sf, extra=()):
-    """Distinct boxes with a number per frame (frames hold a few boxes)."""
-    order = Window.partitionBy(*KEYS).orderBy("x", "y", "w", "h")
-    return (bind.detections(spark, sf).select(*KEYS, "x", "y", "w", "h").distinct()
-            .withColumn("person", F.row_number().over(order)))
+    """Distinct boxes with a number per frame (frames hold a few boxes).
+
+    Equal boxes stand together in the order that numbers them, and the first stays: one shuffle and one sort, which
+    spills, where a distinct before the numbers would hold the boxes of a task in a hash table and shuffle them twice.
+    """
+    number, place, row = (f().over(box_order()) for f in (F.dense_rank, F.rank, F.row_number))
+    return (bind.detections(spark, sf).select(*KEYS, "x", "y", "w", "h")
+            .select("*", number.alias("person"), (place == row).alias("first")).filter("first").drop("first"))
 
 
 def face_boxes(spark, sf):
@@ -203,8 +211,8 @@ def panel_crops(spark, sf):
 def box_overlaps(spark, sf):
     """IoU of each box with the next one of its frame, and whether its face is visible in the other."""
     d = numbered_boxes(spark, sf)
-    follow = Window.partitionBy(*KEYS).orderBy("person")
-    b = d.withColumn("box", G.box("x", "y", "w", "h")).withColumn("other", F.lead("box").over(follow)).filter("other IS NOT NULL")
+    # The order of the numbers, by the columns that the boxes are sorted by already.
+    b = d.withColumn("box", G.box("x", "y", "w", "h")).withColumn("other", F.lead("box").over(box_order())).filter("other IS NOT NULL")
     face = G.box(F.col("x") + F.floor(F.col("w") / 3), F.col("y") + 5, F.floor(F.col("w") / 4), F.floor(F.col("h") / 8))
     return b.select(*KEYS, "person", F.round(G.iou(F.col("box"), F.col("other")), 6).alias("iou"),
                     G.face_visible(face, F.col("other")).alias("visible"))
