@@ -119,3 +119,18 @@ def test_scorer_runs_over_prompts(table):
     assert got == {"a": "su1", "b": "su2"}
     tries = table([("a", 1, "x"), ("a", 2, ""), ("b", 1, "")], "key STRING, attempt INT, raw STRING")
     assert [tuple(r) for r in M.latest_good(tries, ["key"], F.lit(True)).collect()] == [("a", 1, "x")]
+
+
+def test_tags_by_hash(spark, table):
+    """The first spelling of each, fifteen at most, in order; the tags of one text are not compared one with another."""
+    texts = [" ".join(f"W{i % 40}!" if i % 3 else f"w{i % 40}" for i in range(3_000)), "a A b. , B# a_", "", "!! ??", None, "x" * 9 + " é1 1"]
+    df = table([(t,) for t in texts], "t string").select(T.clean_tags(F.split("t", " ")).alias("tags"))
+
+    def want(text):
+        kept = []
+        for tag in ("#" + "".join(c for c in word if c.isascii() and (c.isalnum() or c == "_")) for word in text.split(" ")):
+            if len(tag) > 1 and tag.lower() not in [k.lower() for k in kept] and len(kept) < 15:
+                kept.append(tag)
+        return kept
+    assert [r[0] for r in df.collect()] == [None if t is None else want(t) for t in texts]
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()

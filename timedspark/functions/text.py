@@ -118,11 +118,9 @@ def clean_tags(tags: Column, limit: int = 15) -> Column:
     cleaned = F.filter(F.transform(tags, lambda t: F.concat(F.lit("#"), F.regexp_replace(t, r"[^A-Za-z0-9_]", ""))),
                        lambda t: F.char_length(t) > 1)
 
-    def add(kept: Column, tag: Column) -> Column:
-        known = F.exists(kept, lambda k: F.lower(k) == F.lower(tag))
-        return F.when(known | (F.size(kept) >= limit), kept).otherwise(F.concat(kept, F.array(tag)))
-
-    return F.aggregate(cleaned, F.filter(cleaned, lambda t: F.lit(False)), add)
+    # Distinct spellings are found by hash; the first place of each of the few that stay gives its spelling.
+    return F.get(F.transform(F.array(cleaned), lambda all_tags: F.get(F.transform(F.array(F.transform(all_tags, F.lower)), lambda low: F.transform(
+        F.slice(F.array_distinct(low), 1, limit), lambda k: F.get(all_tags, (F.array_position(low, k) - 1).cast("int")))), F.lit(0))), F.lit(0))
 
 
 def caption_with_tags(caption: Column, tags: Column, limit: int = 2_200) -> Column:

@@ -344,9 +344,9 @@ def video_links(spark, sf):
 @query("hashtags")
 def hashtags(spark, sf):
     d = bind.table(spark, sf, "documents")
-    cleaned = T.clean_tags(F.split("text", " "))
-    return d.select("doc_id", F.array_join(cleaned, " ").alias("tags"),
-                    F.char_length(T.caption_with_tags(F.col("text"), cleaned)).cast(BIG).alias("caption_chars"))
+    tagged = d.select("doc_id", "text", T.clean_tags(F.split("text", " ")).alias("clean"))
+    return tagged.select("doc_id", F.array_join("clean", " ").alias("tags"),
+                         F.char_length(T.caption_with_tags(F.col("text"), F.col("clean"))).cast(BIG).alias("caption_chars"))
 
 
 @query("danda_words")
