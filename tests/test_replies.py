@@ -134,3 +134,12 @@ def test_tags_by_hash(spark, table):
         return kept
     assert [r[0] for r in df.collect()] == [None if t is None else want(t) for t in texts]
     assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prompt_lines_without_a_formatter(table):
+    """The same text as the formatter gives, also for odd times; it is left for negative ones."""
+    from timedspark.operators import replies as M
+    times = [0, 4, 5, 14, 15, 994, 995, 999, 1_000, 59_994, 59_995, 9_999_994, 9_999_995, 123_456_785, -5, -1_234, None]
+    df = table([(t, 0) for t in times], "start_ms long, z int").select(M._seconds("start_ms"), F.format_string("%7.2f", F.col("start_ms") / 1_000))
+    for got, formatted in df.collect():
+        assert got == formatted

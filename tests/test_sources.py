@@ -75,3 +75,22 @@ def test_probe_problems(table):
     got = {r.path: r for r in N.probed_media(df).collect()}
     assert got["ok"].problem is None and got["ok"].fps == 30.0 and got["ok"].duration_ms == 2_500 and got["ok"].has_audio
     assert got["fps"].problem == "bad frame rate" and got["none"].problem == "no video stream"
+
+
+def test_word_times_of_long_turns(spark, monkeypatch):
+    """Times run on over the pieces of a turn and over turns; words become rows only when all is added up."""
+    from timedspark.plans import bind
+    turns = [(1, t, "user", " ".join("w" * (1 + (i * 7 + t) % 9) for i in range(n)) + "\t") for t, n in enumerate((1, 127, 128, 129, 0, 1_000))] + [(2, 7, "user", " a\nbb "), (3, 0, "user", None)]
+    monkeypatch.setattr(bind, "table", lambda *_: spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    found = bind._timed_words(spark, "")
+    want, at, of = [], 0, None
+    for media, turn, role, text in turns:
+        at, of = (0 if media != of else at), media
+        for pos, word in enumerate((text or "").split()):
+            start = at + (bind.TURN_GAP if pos == 0 else 40 + 170 * (pos % 7))
+            at = start + len(word) * 80 + 60
+            want.append((media, turn, pos, (turn << 32) + pos, role, start, at, word))
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert found.columns == ["media_id", "turn", "pos", "seq", "role", "start_ms", "end_ms", "text"] and dict(found.dtypes)["pos"] == "bigint"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -129,15 +130,20 @@ def caption_with_tags(caption: Column, tags: Column, limit: int = 2_200) -> Colu
     return F.left(full, F.lit(limit))
 
 
+@lru_cache(maxsize=65_536)
+def _bare(value: str | None) -> str | None:
+    if value is None:
+        return None
+    plain = value.lower()
+    if not plain.isascii():
+        plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
+    return " ".join(token if token.isalnum() else "".join(filter(str.isalnum, token)) for token in plain.split()).strip()
+
+
 @F.pandas_udf(StringType())
 def skeleton(text: pd.Series) -> pd.Series:
-    """Lower case without combining marks and punctuation, one space between tokens."""
-    def bare(value):
-        if value is None:
-            return None
-        plain = (c for c in unicodedata.normalize("NFKD", value.lower()) if not unicodedata.combining(c))
-        return " ".join("".join(filter(str.isalnum, token)) for token in "".join(plain).split()).strip()
-    return text.map(bare)
+    """Lower case without combining marks and punctuation, one space between tokens. Words come again and again, so what they gave is kept."""
+    return text.map(_bare)
 
 
 @F.pandas_udf(DoubleType())

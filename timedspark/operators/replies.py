@@ -219,11 +219,22 @@ def section_scores(replies: DataFrame, sections: DataFrame) -> DataFrame:
     return usable.select("clip", F.posexplode("scores").alias("position", "score")).join(sections, "position")
 
 
+def _padded(text: Column, width: int) -> Column:
+    return F.when(F.char_length(text) < width, F.lpad(text, width, " ")).otherwise(text)
+
+
+def _seconds(name: str) -> Column:
+    """Milliseconds as `%7.2f` seconds, by integers: a formatter is slow for every word of every clip."""
+    ms = F.col(name)
+    cents = F.expr(f"({name} + 5) div 10")
+    plain = F.concat(F.expr(f"({name} + 5) div 1000").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(ms >= 0, _padded(plain, 7)).otherwise(F.format_string("%7.2f", ms / 1_000))
+
+
 def context_prompt(context: DataFrame, keys: list[str]) -> DataFrame:
     """Numbered word lines of each clip, as one text."""
-    seconds = lambda c: F.format_string("%7.2f", F.col(c) / 1_000)
-    line = F.concat(F.lit("  ["), F.format_string("%4d", "idx"), F.lit("] "), seconds("start_ms"), F.lit("-"),
-                    seconds("end_ms"), F.lit("  "), F.col("text"))
+    number = F.when(F.col("idx") >= 0, _padded(F.col("idx").cast("string"), 4)).otherwise(F.format_string("%4d", "idx"))
+    line = F.concat(F.lit("  ["), number, F.lit("] "), _seconds("start_ms"), F.lit("-"), _seconds("end_ms"), F.lit("  "), F.col("text"))
     rows = F.array_sort(F.collect_list(F.struct("idx", line.alias("line"))))
     return context.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("prompt"))
 

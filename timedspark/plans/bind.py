@@ -14,6 +14,8 @@ from timedspark.operators.stage import stage
 
 TURN_GAP = 900
 HALF_DAY = 43_200_000
+# Words of a turn whose times are added up inside one row.
+PIECE = 128
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,8 +34,8 @@ def turns_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("media_id"), "turn", "role", tokens.alias("tokens"))
 
 
-# Bound word tables of the running query; every query starts with none.
-SHARED: dict[tuple[SparkSession, str], DataFrame] = {}
+# Bound tables of words and durations of the running query; every query starts with none.
+SHARED: dict[tuple, DataFrame] = {}
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,15 +46,29 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _timed_words(spark: SparkSession, sf: str) -> DataFrame:
-    w = (turns_tokens(spark, sf)
-         .select("media_id", "turn", "role", F.posexplode("tokens").alias("pos", "text"))
-         .withColumn("seq", word_number(F.col("turn"), F.col("pos")))
-         .withColumn("len_ms", (F.char_length("text") * 80 + 60).cast("bigint"))
-         .withColumn("gap_ms", F.when(F.col("pos") == 0, F.lit(TURN_GAP))
-                     .otherwise(40 + 170 * (F.col("pos") % 7)).cast("bigint")))
-    timed = scan(w, WORDS, end_ms=total(F.col("gap_ms") + F.col("len_ms"), inclusive=True))
-    return timed.select("media_id", "turn", F.col("pos").cast("bigint").alias("pos"), "seq", "role",
-                        (F.col("end_ms") - F.col("len_ms")).alias("start_ms"), "end_ms", "text")
+    """Times are added up inside pieces of a turn and over the pieces of a recording; only then does each word become a row."""
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"int((size(tokens) - 1) div {PIECE})")), lambda k: F.slice("tokens", k * PIECE + 1, PIECE))
+    pieces = (turns_tokens(spark, sf).filter(F.size("tokens") > 0)
+              .select("media_id", "turn", "role", F.posexplode(cut).alias("piece", "tokens"))
+              .withColumn("first", F.col("piece") * PIECE).withColumn("seq", word_number(F.col("turn"), F.col("first"))))
+
+    def item(text: Column, at: Column) -> Column:
+        pos = F.col("first") + at
+        gap = F.when(pos == 0, F.lit(TURN_GAP)).otherwise(40 + 170 * (pos % 7))
+        return F.struct(text.alias("text"), (F.char_length(text) * 80 + 60).cast("bigint").alias("len_ms"), gap.cast("bigint").alias("gap_ms"))
+
+    def add(sums: Column, word: Column) -> Column:
+        reached = F.element_at(sums, -1) + word["gap_ms"] + word["len_ms"]
+        return F.concat(sums, F.array(reached))
+
+    start = F.array(F.lit(0).cast("bigint"))
+    timed = stage(pieces.withColumn("words", F.transform("tokens", item)).withColumn("sums", F.aggregate("words", start, add)).drop("tokens"))
+    placed = scan(timed, WORDS, before=total(F.element_at("sums", -1)))
+    word, pos = F.col("word"), F.col("first") + F.col("at")
+    return (placed.select("media_id", "turn", "role", "first", "before", "sums", F.posexplode("words").alias("at", "word"))
+            .select("media_id", "turn", pos.cast("bigint").alias("pos"), word_number(F.col("turn"), pos).alias("seq"), "role",
+                    (F.col("before") + F.get("sums", F.col("at")) + word["gap_ms"]).alias("start_ms"),
+                    (F.col("before") + F.get("sums", F.col("at") + 1)).alias("end_ms"), word["text"].alias("text")))
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +81,10 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def durations(spark: SparkSession, sf: str) -> DataFrame:
-    return words(spark, sf).groupBy("media_id").agg(F.max("end_ms").alias("duration_ms"))
+    """One row per recording; written once per query, so that its many readers do not read all words."""
+    if (spark, sf, "durations") not in SHARED:
+        SHARED[spark, sf, "durations"] = stage(words(spark, sf).groupBy("media_id").agg(F.max("end_ms").alias("duration_ms")))
+    return SHARED[spark, sf, "durations"]
 
 
 def clips(spark: SparkSession, sf: str) -> DataFrame:
