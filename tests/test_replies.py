@@ -143,3 +143,11 @@ def test_prompt_lines_without_a_formatter(table):
     df = table([(t, 0) for t in times], "start_ms long, z int").select(M._seconds("start_ms"), F.format_string("%7.2f", F.col("start_ms") / 1_000))
     for got, formatted in df.collect():
         assert got == formatted
+
+
+def test_prompt_lines_are_made_per_word(table):
+    """The number of a line is all that a clip adds to the text of a word."""
+    from timedspark.operators import replies as M
+    words = M.spoken_lines(table([(1, 5, 900, 1_415, "b"), (1, 4, 0, 896, "a")], "media_id long, seq long, start_ms long, end_ms long, text string"))
+    context = words.withColumn("clip", F.lit(3)).withColumn("idx", F.col("seq") - 4).select("media_id", "clip", "idx", "spoken")
+    assert M.context_prompt(context, ["media_id", "clip"]).first()["prompt"] == "  [   0]    0.00-   0.90  a\n  [   1]    0.90-   1.42  b"

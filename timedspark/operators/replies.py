@@ -231,10 +231,15 @@ def _seconds(name: str) -> Column:
     return F.when(ms >= 0, _padded(plain, 7)).otherwise(F.format_string("%7.2f", ms / 1_000))
 
 
+def spoken_lines(words: DataFrame) -> DataFrame:
+    """Add `spoken`, the prompt line of a word without its number: made once per word, not once per clip that shows it."""
+    return words.withColumn("spoken", F.concat(_seconds("start_ms"), F.lit("-"), _seconds("end_ms"), F.lit("  "), F.col("text")))
+
+
 def context_prompt(context: DataFrame, keys: list[str]) -> DataFrame:
-    """Numbered word lines of each clip, as one text."""
+    """Numbered word lines (`idx`, `spoken`) of each clip, as one text."""
     number = F.when(F.col("idx") >= 0, _padded(F.col("idx").cast("string"), 4)).otherwise(F.format_string("%4d", "idx"))
-    line = F.concat(F.lit("  ["), number, F.lit("] "), _seconds("start_ms"), F.lit("-"), _seconds("end_ms"), F.lit("  "), F.col("text"))
+    line = F.concat(F.lit("  ["), number, F.lit("] "), F.col("spoken"))
     rows = F.array_sort(F.collect_list(F.struct("idx", line.alias("line"))))
     return context.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("prompt"))
 

@@ -135,13 +135,17 @@ def coverage_gaps(spark, sf):
     return I.gaps(padded, bind.durations(spark, sf))
 
 
+def heard_words(spark, sf):
+    """Words with holes and overlong words."""
+    overlong = (F.col("turn") * 31 + F.col("pos")) % 97 == 0
+    return (bind.words(spark, sf).filter("NOT (turn % 3 = 1 AND pos % 5 < 4)")
+            .withColumn("end_ms", F.when(overlong, F.col("start_ms") + 3_000).otherwise(F.col("end_ms")))
+            .select("media_id", "seq", "start_ms", "end_ms", "text"))
+
+
 def audit_tables(spark, sf):
     """Words with holes and overlong words, speech regions, reference words, durations."""
-    w = bind.words(spark, sf)
-    overlong = (F.col("turn") * 31 + F.col("pos")) % 97 == 0
-    heard = (w.filter("NOT (turn % 3 = 1 AND pos % 5 < 4)")
-             .withColumn("end_ms", F.when(overlong, F.col("start_ms") + 3_000).otherwise(F.col("end_ms")))
-             .select("media_id", "seq", "start_ms", "end_ms", "text"))
+    w, heard = bind.words(spark, sf), heard_words(spark, sf)
     span = w.groupBy("media_id", "turn").agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
     middle = F.floor((F.col("s") + F.col("e")) / 2).cast("bigint")
     speech = (span.select("media_id", F.explode(F.array(
@@ -169,8 +173,7 @@ def coverage_audit(spark, sf):
 
 @query("valid_words")
 def valid_words(spark, sf):
-    heard, _, _, durs = audit_tables(spark, sf)
-    return V.valid_words(heard, durs)
+    return V.valid_words(heard_words(spark, sf), bind.durations(spark, sf))
 
 
 @query("chunk_plan")

@@ -214,7 +214,7 @@ def section_choice(spark, sf):
 
 @query("context_prompts")
 def context_prompts(spark, sf):
-    context = C.context_words(bind.words(spark, sf).select("media_id", "seq", "start_ms", "end_ms", "text"),
+    context = C.context_words(M.spoken_lines(bind.words(spark, sf)).select("media_id", "seq", "start_ms", "spoken"),
                               bind.clips(spark, sf).select("media_id", "clip", "clip_start", "clip_end"))
     return M.context_prompt(context, ["media_id", "clip"])
 
@@ -363,7 +363,7 @@ def danda_words(spark, sf):
 @query("scored_prompts")
 def scored_prompts(spark, sf):
     """A deterministic scorer over prompts; real scorers plug in the same way."""
-    context = C.context_words(bind.words(spark, sf).select("media_id", "seq", "start_ms", "end_ms", "text"),
+    context = C.context_words(M.spoken_lines(bind.words(spark, sf)).select("media_id", "seq", "start_ms", "spoken"),
                               bind.clips(spark, sf).select("media_id", "clip", "clip_start", "clip_end"))
     prompts = M.context_prompt(context, ["media_id", "clip"]).select(
         F.concat_ws("-", F.col("media_id").cast("string"), F.col("clip").cast("string")).alias("key"), F.lit("count").alias("system_prompt"),
