@@ -6,6 +6,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
+from timedspark.functions.numeric import spread
 from timedspark.operators import frames as R
 from timedspark.operators import repeats as Q
 from timedspark.operators import sequence as S
@@ -214,3 +215,25 @@ def test_centres_are_staged_three_times(spark, table, monkeypatch):
         state = target if state is None else 0.1 * target + 0.9 * state
         want.append((frame, target, state))
     assert [(r["frame"], r["target"], r["center"]) for r in got] == want and len(staged) <= 2
+
+
+def test_equal_movement_goes_to_the_smaller_cluster(spark, table):
+    """The same distances at other heights are the same movement, in whatever order and however many tasks they come."""
+    shapes = [[12, 24, 48], [0, 12, 12, 36, 60, 0, 12], [0, 24, 36], [36, 0, 48, 12, 24]]
+    rows = []
+    for media in range(200):
+        shape, r = shapes[media % 4], random.Random(media)
+        for cluster in range(4):
+            height = 150 + r.randrange(600)
+            values = [float(height + distance) for distance in shape]
+            r.shuffle(values)
+            rows += [(media, frame, cluster, value) for frame, value in enumerate(values)]
+    random.Random(1).shuffle(rows)
+    samples = table(rows, "media_id long, frame long, cluster int, openness double").repartition(7)
+    turns = spark.range(200).selectExpr("id AS media_id", "'S0' AS speaker_id", "0L AS start_ms", "1000L AS end_ms")
+    assert {r["cluster"] for r in R.link_speakers(turns, samples, 30.0).collect()} == {0}
+
+
+def test_spread(table):
+    got = table([([],), ([3.0],), ([7.0, 7.0, 7.0],), ([1.0, 2.0, 4.0],), ([0.25, 0.5],)], "v array<double>").select(spread(F.col("v"))).collect()
+    assert [r[0] for r in got] == [0.0, 0.0, 0.0, 14 / 9, 0.015625]
