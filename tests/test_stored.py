@@ -78,6 +78,54 @@ def test_many_folders_are_listed_by_few_tasks(spark):
     assert stages and max(s.numTasks for s in stages) <= 2 * context.defaultParallelism
 
 
+def test_a_batch_of_many_files_is_few_tasks(spark):
+    """Names and times of 600 files are no work for a task per 32 of them."""
+    folder, context = S.new_folder(spark, "batch"), spark.sparkContext
+    L.write_files(spark.range(600).selectExpr("id || '.mp4' AS file", "'x' AS value"), folder, 4)
+    with S.settings(spark, L.listing(spark)):
+        query = L.watch_files(spark, folder).writeStream.format("noop").option("checkpointLocation", folder + "-state").trigger(availableNow=True).start()
+        assert query.awaitTermination(180)
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 600
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 2 * context.defaultParallelism
+
+
+def test_tasks_write_the_files_themselves(spark, monkeypatch):
+    """One plain file per row in a few folders, nothing beside them; Spark's writer, where Python cannot, gives the same results."""
+    rows = [(f"{k}{suffix}", f"line {k}") for k in range(40) for suffix in L.SUFFIXES] + [("é 9.mp4", None), (None, "x"), ("x.jpg", "x")]
+    frame = spark.createDataFrame(rows, "file string, value string").repartition(5)
+    stems = lambda folder: sorted((r["stem"], r["suffix"]) for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+                                  .select(F.regexp_extract("path", L.NAMED, 1).alias("stem"), F.regexp_extract("path", L.NAMED, 2).alias("suffix")).filter("stem <> ''").collect())
+    folder, other = S.new_folder(spark, "plain"), S.new_folder(spark, "spark")
+    for _ in range(2):
+        L.write_files(frame, folder, 8)
+    found = [f for f in glob.glob(L.local_path(folder) + "/**", recursive=True, include_hidden=True) if not f.endswith("/")]
+    names = {f.rsplit("/", 1)[1]: f for f in found if f.rsplit("/", 1)[1] not in map(str, range(8))}
+    assert set(names) == {n for n, _ in rows if n} and len(found) <= len(names) + 8
+    assert open(names["7.txt"]).read() == "line 7\n" and open(names["é 9.mp4"]).read() == "\n"
+    monkeypatch.setattr(L, "local_path", lambda folder: None)
+    L.write_files(frame, other)
+    assert stems(folder) == stems(other) and len(stems(folder)) == 121
+
+
+def test_paths_that_python_can_open():
+    got = [L.local_path(p) for p in ("file:/a/b c#1%20", "file:///a/b", "hdfs://n/a", "viewfs:/a", "s3a://a/b", "file://host/a", "/a/b")]
+    assert got == ["/a/b c#1%20", "/a/b", None, None, None, None, None]
+
+
+def test_results_make_no_folder_per_file(spark, monkeypatch):
+    """The query writes plain files and lists the folder once to define its stream, not once a round."""
+    from timedspark.plans import stream_queries as Q
+    folders, watched, new, watch = {}, [], S.new_folder, L.watch_files
+    monkeypatch.setattr(S, "new_folder", lambda session, name: folders.setdefault(name, new(session, name)))
+    monkeypatch.setattr(L, "watch_files", lambda *given: watched.append(given) or watch(*given))
+    got = sorted(tuple(r) for r in Q.stream_results(spark, "/root/testdata/sf0.001").collect())
+    keys = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").select("s_suppkey").collect()]
+    assert got == sorted((k, 1, max((k * 7 + i * (k % 3)) % 3 for i in range(3))) for k in keys if k % 4 != 1)
+    assert len(watched) == 1 and not glob.glob(folders["files"].removeprefix("file:") + "/**/file=*", recursive=True)
+
+
 def test_names_of_files(spark):
     paths = ["s3://x/reels/12 b.captions.json", "file:/x/file=7.mp4/part-00000-a.txt", "/x/9.txt", "/x/9.jpg", "/x/file=9.jpg/part-0.txt"]
     frame = spark.createDataFrame([(p,) for p in paths], "path string")
